@@ -64,7 +64,9 @@ def _in_stages(df: DataFrame, source: str, out: str, steps) -> DataFrame:
     df = df.withColumn(out, F.col(source).cast("bigint").bitwiseAND(F.lit(MASK32)))
     for step in steps:
         df = df.withColumn(out, step(F.col(out)))
-    return df
+    # A filter on the result would be pushed through the projections and nest
+    # them after all; it is not pushed below a generator.
+    return df.withColumn(out, F.explode(F.array(out)))
 
 
 def with_murmur_u32(df: DataFrame, source: str, out: str) -> DataFrame:
