@@ -39,7 +39,7 @@ class TomoConfig(_FromMapping):
     # source
     ntask_sirt: int = 1
     num_sinograms: int = 0
-    beg_sinogram: int = 0
+    beg_sinogram: int = 0  # where the table's rows begin in the full detector; not a filter
     num_sinogram_columns: int = 0
     num_sinogram_projections: int = 1440
     d_iteration: int = 1
@@ -73,9 +73,7 @@ class TomoConfig(_FromMapping):
 
     @property
     def rows_per_second(self) -> int:
-        if self.proj_sleep <= 0:
-            return 1
-        return max(1, round(1.0 / self.proj_sleep))
+        return max(1, round(1.0 / max(self.proj_sleep, 1e-9)))
 
 
 @dataclass(frozen=True)

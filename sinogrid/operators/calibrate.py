@@ -46,7 +46,7 @@ def calibration_sets(frames: DataFrame) -> DataFrame:
 
 def calibration_rays(frames: DataFrame) -> DataFrame:
     """The same state with one array per (row, calibration frame)."""
-    whole = F.array_sort(F.collect_list(F.struct("pix", "white_mean", "dark_mean")))
+    whole = F.sort_array(F.collect_list(F.struct("pix", "white_mean", "dark_mean")))
     sets = calibration_sets(frames).groupBy("row_id", "seq").agg(whole.alias("_s"))
     return sets.select("row_id", F.col("seq").alias("calib_seq"),
                        F.col("_s.white_mean").alias("white"), F.col("_s.dark_mean").alias("dark"))

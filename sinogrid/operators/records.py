@@ -77,9 +77,14 @@ def reject_reason(nx: int) -> Column:
             .when(size != nx, "wrong length"))
 
 
+def mark_rows(rows: DataFrame, nx: int) -> DataFrame:
+    """Add `reason`, NULL for usable rows; one pass serves both outcomes."""
+    return rows.withColumn("reason", reject_reason(nx))
+
+
 def validate_rows(rows: DataFrame, nx: int, strict: bool = False) -> tuple[DataFrame, DataFrame]:
     """(usable rows, rejected rows with `reason`). In strict mode a bad row fails the job."""
-    rows = rows.withColumn("reason", reject_reason(nx))
+    rows = mark_rows(rows, nx)
     if strict:
         fail = F.raise_error(F.concat(F.lit("bad message: "), F.col("reason")))
         rows = rows.withColumn("reason", F.when(F.col("reason").isNotNull(), fail).cast("string"))

@@ -129,7 +129,7 @@ def image_cells(image: DataFrame, outs: list[str]) -> DataFrame:
 def _to_arrays(cells: DataFrame) -> DataFrame:
     # A list is as long as a tile has cells, whatever the size of the data.
     listed = cells.groupBy("row_id", "tile").agg(
-        F.expr("array_sort(collect_list(struct(cell, val)))").alias("_l"))
+        F.expr("sort_array(collect_list(struct(cell, val)))").alias("_l"))
     return listed.selectExpr("row_id", "tile", "_l.val AS vals")
 
 

@@ -233,6 +233,7 @@ def all_oracles() -> dict[str, str]:
     q["sink_kv_csv"] = f"WITH {KV}, {CHECKSUMS} SELECT key, val, checksum, count(*) AS n FROM kv JOIN sums USING (key) GROUP BY ALL"
     q["sink_iterations"] = f"""WITH {FRAMES} SELECT lpad(projection_id::VARCHAR, 6, '0') AS iteration, count(DISTINCT row_id) AS row_ids,
  CAST(sum(len(ray)) AS BIGINT) AS samples, {r(f"sum({list_total('ray')})")} AS total FROM frames GROUP BY projection_id"""
+    q["stream_kv_reroute"] = q["stream_kv_interleave"] = q["sink_kv_csv"]
     q["upper_map"] = "SELECT event_id, upper(event_type) AS event_type FROM events"
     q["split_rows_even"] = f"""WITH {IMAGES}, parts AS (SELECT * FROM (VALUES (0, 0, 3), (1, 3, 3), (2, 6, 2)) p(part, row_offset, nrows))
  SELECT seq, part, row_offset, nrows AS rows, nrows * 8 AS samples,
@@ -290,6 +291,10 @@ def all_oracles() -> dict[str, str]:
     q["kv_reroute_summary"] = f"WITH {SHIFTED}, {CHECKSUMS} " + summary("(SELECT * REPLACE (CAST(sink_id AS INTEGER) AS sink_id) FROM shifted)")
     q["kv_interleave_summary"] = f"WITH {INTERLEAVED}, {CHECKSUMS} " + summary("(SELECT * REPLACE (CAST(sink_id AS INTEGER) AS sink_id) FROM interleaved)")
     q["kv_broadcast_summary"] = f"WITH {KV_WIDE}, {CHECKSUMS_WIDE} " + summary("(SELECT kv_wide.*, CAST(i AS INTEGER) AS sink_id FROM kv_wide, range(0, 4) t(i))")
+    q["ray_geometry"] = f"""WITH {MESSAGES}, line AS (SELECT row_id, seq, col, sin(theta) AS s, cos(theta) AS c,
+ col - 31.5::DOUBLE + 1e-6::DOUBLE AS off FROM sample JOIN angles USING (seq))
+ SELECT row_id, seq, col, 64 AS nx, abs(s) > abs(c) AS steep, {r('CASE WHEN abs(s) > abs(c) THEN c / s ELSE s / c END')} AS slope,
+ {r('CASE WHEN abs(s) > abs(c) THEN 32 - 32 * c / s - off / s ELSE 32 - 32 * s / c + off / c END')} AS icept FROM line"""
     q["ray_weights"] = f"""WITH {MESSAGES}, {weights('angles', 'seq, theta')}
  SELECT seq, pix, count(*) AS rays, {r('sum(len)')} AS chord FROM weight WHERE len > 0 GROUP BY seq, pix"""
     q["forward_project"] = f"""WITH {MESSAGES}, {weights('angles', 'seq, theta')}, {NORM}, {START}
@@ -312,10 +317,14 @@ def all_oracles() -> dict[str, str]:
  WHERE k > 0 AND k = {NFRAMES} // 16 GROUP BY ALL"""
     q["sirt_iterated"] = f"""{reconstruction('31::DOUBLE', 40, 40, 2)}
  SELECT row_id, {label} AS iteration, pix, {r('val')} AS val FROM image WHERE k > 0"""
+    q["tomography_job"] = tomography_sql()
+    q["stream_reconstruct"] = q["sirt_emit"]
     q["assemble_iterations"] = f"""WITH {GATHER} SELECT iteration, row_id, pix, arrival, {r('val')} AS val FROM messages JOIN done USING (iteration)
  WHERE arrival <= done_at QUALIFY arrival = max(arrival) OVER (PARTITION BY iteration, row_id)"""
     q["iteration_notices"] = f"""WITH {GATHER} SELECT row_id, 'DENOISED' AS status, iteration FROM firsts JOIN done USING (iteration) WHERE f = done_at"""
     q["count_windows"] = f"WITH {WINDOWS} SELECT row_id, pass, rn, event_id FROM member"
+    by_id = WINDOWS.replace("ORDER BY ts, event_id", "ORDER BY event_id")
+    q["stream_count_windows"] = f"WITH {by_id} SELECT row_id, pass, rn, event_id AS seq FROM member"
     q["window_view"] = f"""WITH {WINDOWS} SELECT row_id, pass, count(*) AS messages, min(rn) AS first_rn, max(rn) AS last_rn,
  CAST(trunc(arg_max(center, rn)) AS BIGINT) AS center, {r('min(theta)')} AS min_theta, {r('max(theta)')} AS max_theta FROM member GROUP BY row_id, pass"""
     q["snapshot_points"] = f"WITH {ARRIVALS} SELECT row_id, event_id, rn AS processed FROM arrivals WHERE rn % 4 = 0"
@@ -333,6 +342,30 @@ def all_oracles() -> dict[str, str]:
     return q
 
 
+def tomography_sql() -> str:
+    """Four windows over images of 8 x 8 samples, rows 8 to 11 repeating 0 to 3."""
+    n = "(SELECT count(*) FROM embeddings)"
+    frames = """frames AS (SELECT j AS row_id, vec_id + 1 AS seq, vec_id * 0.01::DOUBLE AS theta,
+ list_transform(embedding[(j % 8) * 8 + 1 : (j % 8) * 8 + 8], lambda x: greatest(x, 0::FLOAT)) AS ray FROM embeddings, range(0, 12) t(j))"""
+    body = f"""WITH RECURSIVE {frames}, angles AS (SELECT DISTINCT seq, theta, 4::DOUBLE AS mid FROM frames),
+sample AS (SELECT row_id, seq, CAST(generate_subscripts(ray, 1) - 1 AS INTEGER) AS col, unnest(ray)::DOUBLE AS v FROM frames),
+{weights('angles', 'seq, theta', 8)}, {NORM}, step AS (SELECT {n} // 4 AS s),
+image AS (SELECT row_id, CAST(i AS INTEGER) AS pix, 0::DOUBLE AS val, CAST(0 AS BIGINT) AS k
+ FROM (SELECT DISTINCT row_id FROM frames), range(0, 64) t(i)
+ UNION ALL (WITH n AS (SELECT row_id, pix, val, k + 1 AS k FROM image WHERE k < 4),
+ inwin AS (SELECT DISTINCT n.row_id, f.seq FROM (SELECT DISTINCT row_id, k FROM n) n, step JOIN (SELECT DISTINCT row_id, seq FROM frames) f
+  ON f.row_id = n.row_id AND f.seq <= n.k * s AND f.seq > (n.k - 1) * s),
+ sim AS (SELECT m.row_id, w.seq, w.col, sum(w.len * p.val) AS sim FROM inwin m JOIN weight w ON w.seq = m.seq
+  JOIN n p ON p.row_id = m.row_id AND p.pix = w.pix GROUP BY ALL),
+ upd AS (SELECT x.row_id, x.seq, x.col, (v - sim) / a2 AS u FROM sim x JOIN sample USING (row_id, seq, col) JOIN norm USING (seq, col)),
+ chg AS (SELECT u.row_id, w.pix, sum(w.len * u.u) / sum(w.len) AS d FROM upd u JOIN weight w ON w.seq = u.seq AND w.col = u.col GROUP BY ALL)
+ SELECT p.row_id, p.pix, p.val + coalesce(c.d, 0) AS val, p.k FROM n p LEFT JOIN chg c ON c.row_id = p.row_id AND c.pix = p.pix))
+"""
+    return f"""{body} SELECT 'DENOISED' AS status, lpad((k - 1)::VARCHAR, 6, '0') AS iteration, 1::BIGINT AS notices,
+ count(*) AS pixels, {clean_round('sum(val)')} AS total FROM image WHERE k > 0 AND (k - 1) % 3 = 0 GROUP BY k
+ UNION ALL SELECT 'WARMUP', NULL, 12, NULL, NULL UNION ALL SELECT 'FIN', NULL, 12, NULL, NULL"""
+
+
 def inverse_sql() -> str:
     """Undo the hash steps in reverse order, with modular inverses."""
     inv = lambda c: _mul(pow(c, -1, 2**32))

@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 
 from sinogrid import scratch
 from sinogrid.config import TomoConfig
-from sinogrid.operators import sirt, windows
+from sinogrid.operators import routing, sirt, windows
 from sinogrid.operators.blocked import block_of, keyed_rank
 
 # Steps whose messages share a folder of the work table.
@@ -73,7 +73,12 @@ def write_work(rows: DataFrame, cfg: TomoConfig, path: str) -> None:
     rows = rows.withColumn("chunk", F.floor(F.col("step") / F.lit(CHUNK)))
     # the step is part of the key so that a row id with many messages takes several tasks
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    (rows.repartition(parts, "chunk", "step", "row_id").sortWithinPartitions("chunk", "step")
+    if cfg.keying == "modulo":
+        placed = routing.place(rows.withColumn("_to", F.pmod(F.col("row_id") + F.col("step"), F.lit(parts))),
+                               parts, "_to").drop("_to")
+    else:
+        placed = rows.repartition(parts, "chunk", "step", "row_id")
+    (placed.sortWithinPartitions("chunk", "step")
      .write.mode("overwrite").partitionBy("chunk").parquet(path))
 
 

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import math
+from dataclasses import replace
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sinogrid import scratch, sinks
@@ -10,12 +13,15 @@ from sinogrid.config import KvConfig, TomoConfig
 from sinogrid.functions import cleaning
 from sinogrid.functions import hashing as h
 from sinogrid.operators import assemble, calibrate, records, routing, sirt, stats, windows
-from sinogrid.operators.blocked import block_of
-from sinogrid.plans import kv_jobs
+from sinogrid.plans import kv_jobs, tomography
 from sinogrid.plans.reconstruct import sirt_reconstruct
 from sinogrid.sources import frames as fr
 from sinogrid.sources import generators as gen
 from sinogrid.sources import views
+from sinogrid.streaming import kv as stream_kv
+from sinogrid.streaming import tomography as stream_tomo
+from sinogrid.streaming import windows as streams
+from sinogrid.streaming.tomography import OPEN
 
 TARGETS = 4
 NX = 64
@@ -197,9 +203,8 @@ def explode_rows(spark, d):
 
 @query
 def validate_rows(spark, d):
-    good, bad = records.validate_rows(views.bad_rows(spark, d), NX)
-    both = good.withColumn("reason", F.lit("ok")).unionByName(bad)
-    return both.groupBy("projection_id", "reason").agg(F.count(F.lit(1)).alias("n"))
+    marked = records.mark_rows(views.bad_rows(spark, d), NX)
+    return marked.withColumn("reason", F.coalesce("reason", F.lit("ok"))).groupBy("projection_id", "reason").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query
@@ -386,11 +391,23 @@ def _messages(spark, d):
     return views.frames(spark, d, spread=True).select("row_id", "seq", "theta", "center", "ray")
 
 
-def _first_image(spark, d):
-    """A start image made of the data: pixel value from row, place and samples."""
-    return (views.frames(spark, d, spread=True).where("seq <= 64")
-            .selectExpr("row_id", "seq", "posexplode(ray) AS (col, x)")
-            .selectExpr("row_id", "cast((seq - 1) * 64 + col AS INT) AS pix", "cast(x AS DOUBLE) AS val"))
+def _first_image(spark, d, tile):
+    """A start image made of the data, written out as the image between sweeps is."""
+    pixels = (views.frames(spark, d, spread=True).where("seq <= 64")
+              .selectExpr("row_id", "seq", "posexplode(ray) AS (col, x)")
+              .selectExpr("row_id", "cast((seq - 1) * 64 + col AS INT) AS pix", "cast(x AS DOUBLE) AS val"))
+    path = scratch.new_folder(spark, "image")
+    image = sirt.image_tiles(pixels, NX, tile)
+    image.write.parquet(path)
+    return spark.read.schema(image.schema).parquet(path)
+
+
+@query
+def ray_geometry(spark, d):
+    """Line of each ray over the grid; angles come in degrees, centres are the defaults."""
+    rows = views.frames(spark, d).withColumn("theta", F.degrees("theta"))
+    rows = fr.prepare_scan(rows, angles_in="degrees").select("row_id", "seq", "theta", "center", "ray")
+    return sirt.ray_lines(rows).selectExpr("row_id", "seq", "col", "nx", "steep", *_round("slope", "icept"))
 
 
 @query
@@ -406,7 +423,7 @@ def ray_weights(spark, d):
 
 @query
 def forward_project(spark, d):
-    image = sirt.image_tiles(_first_image(spark, d), NX, 16)
+    image = _first_image(spark, d, 16)
     lines = sirt.ray_lines(_messages(spark, d))
     return sirt.forward_project(lines, image, ["seq"], 16).selectExpr("row_id", "seq", "col", *_round("sim", "norm"))
 
@@ -414,15 +431,15 @@ def forward_project(spark, d):
 @query
 def back_project(spark, d):
     lines = sirt.ray_lines(_messages(spark, d))
-    out = sirt.back_project(sirt.forward_project(lines, None, ["seq"], TILE), ["seq"], TILE)
+    out = sirt.back_project(sirt.forward_project(lines, None, ["seq"], TILE, NX), ["seq"], TILE, NX)
     return out.selectExpr("row_id", "cell AS pix", *_round("num", "den"))
 
 
 @query
 def sirt_update(spark, d):
     """One sweep over all frames from a start image."""
-    image = sirt.image_tiles(_first_image(spark, d), NX, TILE)
-    out = sirt.sweep(sirt.ray_lines(_messages(spark, d)), image, None, ["seq"], TILE)
+    image = _first_image(spark, d, TILE)
+    out = sirt.sweep(sirt.ray_lines(_messages(spark, d)), image, None, ["seq"], TILE, NX)
     return sirt.image_pixels(out, NX, TILE).selectExpr("row_id", "pix", *_round("val"))
 
 
@@ -472,6 +489,24 @@ def iteration_notices(spark, d):
     return assemble.iteration_notices(_recon_messages(spark, d), views.ROWS)
 
 
+@query
+def tomography_job(spark, d):
+    """Ticks, frame lookup, detector rows, windowed reconstruction and gathering as one job.
+
+    Images of 8 x 8 samples; rows are repeated to 12.
+    """
+    n = views.table(spark, d, "embeddings").count()
+    cfg = TomoConfig(num_sinogram_projections=n, num_sinograms=12, window_length=64, window_step=n // 4,
+                     write_freq=3, tile=4, keying="modulo", remove_invalids=True)
+    path = scratch.new_folder(spark, "recon")
+    notices = tomography.run_batch(spark, views.images(spark, d), cfg, path)
+    written = sinks.read_iterations(spark, path, OPEN)
+    sums = sirt.image_pixels(written, views.SIDE, cfg.tile).groupBy("iteration").agg(
+        F.count(F.lit(1)).alias("pixels"), F.round(F.sum("val"), 6).alias("total"))
+    out = notices.groupBy("status", "iteration").agg(F.count(F.lit(1)).alias("notices"))
+    return out.join(sums, "iteration", "left")
+
+
 # -- windows and order ------------------------------------------------------
 
 @query
@@ -506,6 +541,55 @@ def after_fin_filter(spark, d):
     return out.select("row_id", "event_id", "kind")
 
 
+# -- streams ----------------------------------------------------------------
+# A given table is the stream; the query runs until all of it is taken in.
+
+def _stream(spark, d, name):
+    schema = views.table(spark, d, name).schema
+    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(d)
+
+
+@query
+def stream_count_windows(spark, d):
+    rows = _stream(spark, d, "events").selectExpr("user_id AS row_id", "event_id AS seq")
+    out, path = streams.stream_count_windows(rows, WINDOW, STEP), scratch.new_folder(spark, "windows")
+    (out.writeStream.format("parquet").option("path", path)
+     .option("checkpointLocation", scratch.new_folder(spark, "windows-progress"))
+     .trigger(availableNow=True).start().awaitTermination())
+    return spark.read.schema(out.schema).parquet(path)
+
+
+def _stream_kv(spark, d, job):
+    rows = _stream(spark, d, "events").selectExpr(
+        "event_id AS seq", "concat('key', user_id % 20) AS key", "cast(floor(value) AS INT) % 10 AS val")
+    path = scratch.new_folder(spark, "kv-stream")
+    stream_kv.start(spark, job, KvConfig(sinkParallelism=TARGETS), path, source=rows,
+                    available_now=True).awaitTermination()
+    return stream_kv.read_output(spark, job, path).groupBy("key", "val", "checksum").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def stream_kv_reroute(spark, d):
+    return _stream_kv(spark, d, kv_jobs.REROUTE)
+
+
+@query
+def stream_kv_interleave(spark, d):
+    return _stream_kv(spark, d, kv_jobs.INTERLEAVE)
+
+
+@query
+def stream_reconstruct(spark, d):
+    step = math.pi / views.frames_per_row(spark, d)
+    rows = _stream(spark, d, "embeddings").selectExpr(*views.frame_columns(step)).select(
+        "row_id", "seq", "theta", "center", "ray")
+    cfg = replace(SIRT, num_sinograms=views.ROWS)
+    root = scratch.new_folder(spark, "recon-stream")
+    stream_tomo.start(rows, cfg, root, scratch.new_folder(spark, "recon-progress"), True).awaitTermination()
+    images = stream_tomo.Reconstruction(spark, root, cfg).iterations()
+    return sirt.image_pixels(images, NX, cfg.tile).selectExpr("row_id", "iteration", "pix", *_round("val"))
+
+
 # -- statistics -------------------------------------------------------------
 
 @query

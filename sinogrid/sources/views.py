@@ -41,10 +41,13 @@ def frames(spark: SparkSession, folder: str, spread: bool = False) -> DataFrame:
     if spread:
         parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
         vectors = vectors.repartition(parts, "vec_id")
-    return vectors.selectExpr(
-        f"vec_id % {ROWS} AS row_id", f"vec_id div {ROWS} AS projection_id",
-        f"vec_id div {ROWS} + 1 AS seq", f"(vec_id div {ROWS} + 0.37D) * {step!r}D AS theta",
-        "0D AS center", "embedding AS ray")
+    return vectors.selectExpr(*frame_columns(step))
+
+
+def frame_columns(angle_step: float) -> list[str]:
+    return [f"vec_id % {ROWS} AS row_id", f"vec_id div {ROWS} AS projection_id",
+            f"vec_id div {ROWS} + 1 AS seq", f"(vec_id div {ROWS} + 0.37D) * {angle_step!r}D AS theta",
+            "0D AS center", "embedding AS ray"]
 
 
 def images(spark: SparkSession, folder: str) -> DataFrame:

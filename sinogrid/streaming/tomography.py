@@ -127,8 +127,6 @@ class Reconstruction:
         rows = rows.select(F.col("row_id").cast("bigint"), F.col("seq").cast("bigint"),
                            F.col("theta").cast("double"), F.col("center").cast("double"),
                            F.col("ray").cast("array<double>"))
-        if int(self.cfg.beg_sinogram):
-            rows = rows.where(F.col("row_id") >= self.cfg.beg_sinogram)
         ends = before.select("row_id", "fin_seq")
         if fins is not None:
             ends = ends.unionByName(fins).groupBy("row_id").agg(F.min("fin_seq").alias("fin_seq"))
