@@ -14,6 +14,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sinogrid import scratch
+
 _AGG = {"sum": F.sum, "max": F.max, "min": F.min}
 
 
@@ -31,15 +33,32 @@ def block_of(order: Column, width: int) -> Column:
     return F.floor(order / F.lit(width)).cast("bigint")
 
 
-def running(df: DataFrame, keys: list[str], order: list[str], block: Column,
+def range_blocks(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """`df` with `_blk`, the part of a range partitioning by keys and order.
+
+    The ranges are chosen from a sample of the data, so their sizes are even
+    however it is spread, as long as (keys, order) is unique. The ranges differ
+    from run to run, so the result is written once and read by all who use it.
+    """
+    spark = df.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranged = df.repartitionByRange(parts, *keys, *order).withColumn("_blk", F.spark_partition_id())
+    path = scratch.new_folder(spark, "ranges")
+    ranged.write.parquet(path)
+    return spark.read.schema(ranged.schema).parquet(path)
+
+
+def running(df: DataFrame, keys: list[str], order: list[str], block: Column | None,
             outs: dict[str, Running]) -> DataFrame:
     """Add the columns of `outs`, running over `order` within `keys`.
 
-    `block` must not fall while `order` rises; rows of one key and block must
-    fit one task. `keys` may be empty and must not contain nulls.
+    `block` must not fall while `order` rises, and rows of one key and block
+    must fit one task: right for unique sequence numbers, whose blocks have a
+    largest size. Without it, blocks of even size are cut by `range_blocks`.
+    `keys` may be empty and must not contain nulls.
     """
     blk, group = "_blk", [*keys, "_blk"]
-    rows = df.withColumn(blk, block)
+    rows = range_blocks(df, keys, order) if block is None else df.withColumn(blk, block)
 
     totals = rows.groupBy(*group).agg(
         *[_AGG[r.kind](r.value).alias(f"_t_{name}") for name, r in outs.items()])
@@ -69,7 +88,7 @@ def _combine(kind: str, here: Column, before: Column) -> Column:
     return (F.greatest if kind == "max" else F.least)(here, before)
 
 
-def keyed_rank(df: DataFrame, keys: list[str], order: list[str], block: Column,
+def keyed_rank(df: DataFrame, keys: list[str], order: list[str], block: Column | None = None,
                out: str = "rn", total: str | None = None) -> DataFrame:
     """Add the 1-based row number `out` per key, and the key's row count."""
     one = Running(F.lit(1).cast("bigint"), "sum", total=total)

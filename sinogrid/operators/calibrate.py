@@ -7,7 +7,7 @@ when it arrives.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sinogrid.config import TomoConfig
@@ -15,62 +15,67 @@ from sinogrid.functions import cleaning
 from sinogrid.operators.blocked import Running, block_of, running
 from sinogrid.sources.frames import ITYPES
 
-_SETS = {"white": ("White", "WhiteReset"), "dark": ("Dark", "DarkReset")}
+# Frame types of each set, the one that resets it last.
+SETS = {"white": ("White", "WhiteReset"), "dark": ("Dark", "DarkReset")}
 
+BLOCK = 65536
 
-def _is_calibration() -> Column:
-    return F.col("itype").isin(*[ITYPES[n] for names in _SETS.values() for n in names])
 
+def _in_set(name: str) -> Column:
+    return F.col("itype").isin(*[ITYPES[n] for n in SETS[name]])
 
-def calibration_sets(frames: DataFrame) -> DataFrame:
-    """State of both sets after each calibration frame, one row per sample position.
 
-    Only calibration frames are read. Grouping by (row, position) spreads a row
-    that holds much of the data over all its positions.
+def _is_reset() -> Column:
+    return F.col("itype").isin(*[ITYPES[names[-1]] for names in SETS.values()])
+
+
+def calibration_sets(frames: DataFrame, block_width: int = BLOCK) -> DataFrame:
+    """Mean of a set after each of its frames, one row per sample position.
+
+    Only calibration frames are read. The epoch between resets is found before
+    the samples are listed, and both running values work in blocks, so neither a
+    row id with much of the data nor a set that is never reset ends in one task.
     """
-    member = {name: F.col("itype").isin(*[ITYPES[n] for n in names]) for name, names in _SETS.items()}
-    samples = frames.where(_is_calibration()).select(
-        "row_id", "seq", "itype", F.posexplode("ray").alias("pix", "x"))
-    place = ["row_id", "pix"]
-    by_seq = Window.partitionBy(*place).orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-    for name, (_, reset) in _SETS.items():
-        resets = F.sum(F.when(F.col("itype") == ITYPES[reset], 1).otherwise(0))
-        samples = samples.withColumn(f"{name}_epoch", resets.over(by_seq))
-    for name in _SETS:
-        epoch = (Window.partitionBy(*place, f"{name}_epoch").orderBy("seq")
-                 .rowsBetween(Window.unboundedPreceding, 0))
-        own = F.when(member[name], F.col("x").cast("double"))
-        samples = samples.withColumn(f"{name}_mean", F.avg(own).over(epoch))
-    return samples.select("row_id", "seq", "pix", "white_mean", "dark_mean")
-
-
-def calibration_rays(frames: DataFrame) -> DataFrame:
-    """The same state with one array per (row, calibration frame)."""
-    whole = F.sort_array(F.collect_list(F.struct("pix", "white_mean", "dark_mean")))
-    sets = calibration_sets(frames).groupBy("row_id", "seq").agg(whole.alias("_s"))
-    return sets.select("row_id", F.col("seq").alias("calib_seq"),
-                       F.col("_s.white_mean").alias("white"), F.col("_s.dark_mean").alias("dark"))
-
-
-def latest_calibration(frames: DataFrame, block_width: int = 65536) -> DataFrame:
-    """Projections with `calib_seq`, the last calibration frame before each."""
-    seen = F.when(_is_calibration(), F.col("seq"))
-    marked = running(frames, ["row_id"], ["seq"], block_of(F.col("seq"), block_width),
-                     {"calib_seq": Running(seen, "max")})
+    block = block_of(F.col("seq"), block_width)
+    calib = frames.where(_in_set("white") | _in_set("dark")).select(
+        "row_id", "seq", F.when(_in_set("white"), "white").otherwise("dark").alias("set"), "itype", "ray")
+    resets = F.when(_is_reset(), 1).otherwise(0)
+    calib = running(calib, ["row_id", "set"], ["seq"], block, {"epoch": Running(resets, "sum")})
+    samples = calib.select("row_id", "set", "epoch", "seq", F.posexplode("ray").alias("pix", "x"))
+    x = F.col("x").cast("double")
+    sums = running(samples, ["row_id", "set", "epoch", "pix"], ["seq"], block,
+                   {"total": Running(x, "sum"), "members": Running(F.lit(1), "sum")})
+    return sums.select("row_id", "set", "seq", "pix", (F.col("total") / F.col("members")).alias("mean"))
+
+
+def calibration_rays(frames: DataFrame, block_width: int = BLOCK) -> DataFrame:
+    """The same with one array per calibration frame; it is as long as a detector row."""
+    whole = F.sort_array(F.collect_list(F.struct("pix", "mean")))
+    sets = calibration_sets(frames, block_width).groupBy("row_id", "set", "seq").agg(whole.alias("_s"))
+    return sets.select("row_id", "set", "seq", F.col("_s.mean").alias("level"))
+
+
+def latest_calibration(frames: DataFrame, block_width: int = BLOCK) -> DataFrame:
+    """Projections with `white_seq` and `dark_seq`, the last frame of each set before them."""
+    seen = {f"{name}_seq": Running(F.when(_in_set(name), F.col("seq")), "max") for name in SETS}
+    marked = running(frames, ["row_id"], ["seq"], block_of(F.col("seq"), block_width), seen)
     return marked.where(F.col("itype") == ITYPES["Projection"])
 
 
-def normalize(frames: DataFrame, block_width: int = 65536) -> DataFrame:
+def normalize(frames: DataFrame, block_width: int = BLOCK) -> DataFrame:
     """Projections with `ray` normalised; unchanged while a set is empty."""
     rows = latest_calibration(frames, block_width)
-    rows = rows.join(calibration_rays(frames), ["row_id", "calib_seq"], "left")
+    levels = calibration_rays(frames, block_width)
+    for name in SETS:
+        one = levels.where(F.col("set") == name).select(
+            "row_id", F.col("seq").alias(f"{name}_seq"), F.col("level").alias(name))
+        rows = rows.join(one, ["row_id", f"{name}_seq"], "left")
     sample = lambda t: cleaning.flat_dark(t["x"].cast("double"), t["w"], t["d"])
-    # A set without members has a NULL mean in every position.
-    ready = F.col("white")[0].isNotNull() & F.col("dark")[0].isNotNull()
+    ready = F.col("white").isNotNull() & F.col("dark").isNotNull()
     corrected = F.transform(F.arrays_zip(F.col("ray").alias("x"), F.col("white").alias("w"),
                                          F.col("dark").alias("d")), sample)
     ray = F.when(ready, corrected).otherwise(F.col("ray").cast("array<double>"))
-    return rows.withColumn("ray", ray).drop("white", "dark", "calib_seq")
+    return rows.withColumn("ray", ray).drop("white", "dark", "white_seq", "dark_seq")
 
 
 def calibrate(frames: DataFrame, cfg: TomoConfig) -> DataFrame:

@@ -36,7 +36,7 @@ def last_pass(rn: Column, length: int, step: int) -> Column:
 
 
 def count_windows(rows: DataFrame, length: int, step: int, keys: list[str],
-                  order: list[str], block: Column) -> DataFrame:
+                  order: list[str], block: Column | None = None) -> DataFrame:
     """One row per (message, window it belongs to); `pass` counts from 1.
 
     A message joins at most ceil(max(W, S)/S) windows beyond the ramp-up.
@@ -68,21 +68,22 @@ def pass_label(pass0: Column) -> Column:
 
 
 def snapshot_points(rows: DataFrame, freq: int, keys: list[str], order: list[str],
-                    block: Column) -> DataFrame:
+                    block: Column | None = None) -> DataFrame:
     """Messages after which the state of their key is saved."""
     ranked = keyed_rank(rows, keys, order, block, out="processed")
     return ranked.where(F.pmod(F.col("processed"), F.lit(freq)) == 0)
 
 
-def monotone_dedup(rows: DataFrame, keys: list[str], order: list[str], block: Column,
-                   seq: str = "seq") -> DataFrame:
+def monotone_dedup(rows: DataFrame, keys: list[str], order: list[str],
+                   block: Column | None = None, seq: str = "seq") -> DataFrame:
     """Keep messages whose `seq` is above every earlier one of their key."""
     top = {"_top": Running(F.col(seq), "max", own_row=False)}
     out = running(rows, keys, order, block, top)
     return out.where(F.col("_top").isNull() | (F.col(seq) > F.col("_top"))).drop("_top")
 
 
-def after_fin_filter(rows: DataFrame, keys: list[str], order: list[str], block: Column) -> DataFrame:
+def after_fin_filter(rows: DataFrame, keys: list[str], order: list[str],
+                     block: Column | None = None) -> DataFrame:
     """Drop what follows the FIN message of its key."""
     fin = F.when(F.col("kind") == "FIN", 1).otherwise(0)
     out = running(rows, keys, order, block, {"_ended": Running(fin, "max", own_row=False)})

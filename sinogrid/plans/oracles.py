@@ -149,19 +149,18 @@ messages AS (SELECT row_id, pix, val + again AS val, lpad(projection_id::VARCHAR
 firsts AS (SELECT iteration, row_id, min(arrival) AS f FROM messages GROUP BY ALL),
 done AS (SELECT iteration, max(f) AS done_at FROM firsts GROUP BY iteration HAVING count(*) = 10)"""
 
-MEANS = """sets AS (SELECT c.row_id, c.seq, c.pix,
- (SELECT avg(m.x) FROM samples m WHERE m.row_id = c.row_id AND m.pix = c.pix AND m.itype IN (2, 4) AND m.seq <= c.seq
-  AND m.seq >= (SELECT coalesce(max(r.seq), -1) FROM coded r WHERE r.row_id = c.row_id AND r.itype = 4 AND r.seq <= c.seq)) AS white_mean,
- (SELECT avg(m.x) FROM samples m WHERE m.row_id = c.row_id AND m.pix = c.pix AND m.itype IN (3, 5) AND m.seq <= c.seq
-  AND m.seq >= (SELECT coalesce(max(r.seq), -1) FROM coded r WHERE r.row_id = c.row_id AND r.itype = 5 AND r.seq <= c.seq)) AS dark_mean
- FROM samples c WHERE c.itype <> 1)"""
+MEANS = """member AS (SELECT *, CASE WHEN itype IN (2, 4) THEN 'white' ELSE 'dark' END AS set FROM samples WHERE itype <> 1),
+sets AS (SELECT c.row_id, c.set, c.seq, c.pix, (SELECT avg(m.x) FROM member m WHERE m.row_id = c.row_id AND m.pix = c.pix
+ AND m.set = c.set AND m.seq <= c.seq AND m.seq >= (SELECT coalesce(max(r.seq), -1) FROM coded r
+  WHERE r.row_id = c.row_id AND r.itype = CASE c.set WHEN 'white' THEN 4 ELSE 5 END AND r.seq <= c.seq)) AS mean FROM member c)"""
 NORMALIZED = f"""{CALIB}, {MEANS},
-used AS (SELECT p.row_id, p.seq, (SELECT max(c.seq) FROM coded c WHERE c.row_id = p.row_id AND c.itype <> 1 AND c.seq <= p.seq) AS cs
- FROM coded p WHERE p.itype = 1),
-normal AS (SELECT s.row_id, s.seq, s.pix, CASE WHEN white_mean IS NULL OR dark_mean IS NULL THEN x
- ELSE (x - dark_mean) / greatest(white_mean - dark_mean, 1e-6::DOUBLE) END AS x
+used AS (SELECT p.row_id, p.seq, max(c.seq) FILTER (WHERE c.itype IN (2, 4)) AS ws, max(c.seq) FILTER (WHERE c.itype IN (3, 5)) AS ds
+ FROM coded p LEFT JOIN coded c ON c.row_id = p.row_id AND c.itype <> 1 AND c.seq <= p.seq WHERE p.itype = 1 GROUP BY ALL),
+normal AS (SELECT s.row_id, s.seq, s.pix, CASE WHEN w.mean IS NULL OR k.mean IS NULL THEN x
+ ELSE (x - k.mean) / greatest(w.mean - k.mean, 1e-6::DOUBLE) END AS x
  FROM samples s JOIN used u ON u.row_id = s.row_id AND u.seq = s.seq
- LEFT JOIN sets t ON t.row_id = s.row_id AND t.seq = u.cs AND t.pix = s.pix WHERE s.itype = 1)"""
+ LEFT JOIN sets w ON w.set = 'white' AND w.row_id = s.row_id AND w.seq = u.ws AND w.pix = s.pix
+ LEFT JOIN sets k ON k.set = 'dark' AND k.row_id = s.row_id AND k.seq = u.ds AND k.pix = s.pix WHERE s.itype = 1)"""
 
 WINDOWS = f"""{ARRIVALS}, passes AS (SELECT row_id, unnest(range(1, max(n) // 4 + 1)) AS pass FROM arrivals GROUP BY row_id),
 member AS (SELECT a.*, p.pass FROM passes p JOIN arrivals a ON a.row_id = p.row_id AND a.rn <= p.pass * 4
@@ -248,7 +247,7 @@ def all_oracles() -> dict[str, str]:
  checksum = {fnv_floats('ray')} AS checksum_ok FROM bad WHERE m <> 2"""
     q["reinterpret"] = f"""WITH {FRAMES} SELECT row_id, seq, pix, trunc(abs(x::DOUBLE) * 100) AS u8,
  trunc(abs(x::DOUBLE) * 100) * 256 AS u16, x::DOUBLE AS f32 FROM ({long_frames})"""
-    q["calibration_sets"] = f"WITH {CALIB}, {MEANS} SELECT row_id, seq, pix, {r('white_mean')} AS white_mean, {r('dark_mean')} AS dark_mean FROM sets"
+    q["calibration_sets"] = f"WITH {CALIB}, {MEANS} SELECT row_id, set, seq, pix, {r('mean')} AS mean FROM sets"
     q["normalize"] = f"WITH {NORMALIZED} SELECT row_id, seq, pix, {r('x')} AS x FROM normal"
     log = "CASE WHEN x > 0 THEN -ln(x) ELSE 0 END"
     q["calibrate_frames"] = f"""WITH {NORMALIZED} SELECT row_id, seq, pix, {r(f'greatest({log}, 0)')} AS x FROM normal"""
@@ -325,6 +324,7 @@ def all_oracles() -> dict[str, str]:
     q["count_windows"] = f"WITH {WINDOWS} SELECT row_id, pass, rn, event_id FROM member"
     by_id = WINDOWS.replace("ORDER BY ts, event_id", "ORDER BY event_id")
     q["stream_count_windows"] = f"WITH {by_id} SELECT row_id, pass, rn, event_id AS seq FROM member"
+    q["stateful_count_windows"] = q["stream_count_windows"]
     q["window_view"] = f"""WITH {WINDOWS} SELECT row_id, pass, count(*) AS messages, min(rn) AS first_rn, max(rn) AS last_rn,
  CAST(trunc(arg_max(center, rn)) AS BIGINT) AS center, {r('min(theta)')} AS min_theta, {r('max(theta)')} AS max_theta FROM member GROUP BY row_id, pass"""
     q["snapshot_points"] = f"WITH {ARRIVALS} SELECT row_id, event_id, rn AS processed FROM arrivals WHERE rn % 4 = 0"

@@ -228,7 +228,7 @@ def reinterpret(spark, d):
 @query
 def calibration_sets(spark, d):
     return calibrate.calibration_sets(views.frames_calib(spark, d)).selectExpr(
-        "row_id", "seq", "pix", *_round("white_mean", "dark_mean"))
+        "row_id", "set", "seq", "pix", *_round("mean"))
 
 
 @query
@@ -372,17 +372,17 @@ def routing_skew(spark, d):
 @query
 def kv_reroute_summary(spark, d):
     """Rerouted records per target with the XOR of their checksums."""
-    return kv_jobs.target_summary(kv_jobs.route(views.kv(spark, d), "reroute", TARGETS))
+    return kv_jobs.target_summary(kv_jobs.with_target(views.kv(spark, d), "reroute", TARGETS))
 
 
 @query
 def kv_interleave_summary(spark, d):
-    return kv_jobs.target_summary(kv_jobs.route(views.kv(spark, d), "reroute-interleave", TARGETS))
+    return kv_jobs.target_summary(kv_jobs.with_target(views.kv(spark, d), "reroute-interleave", TARGETS))
 
 
 @query
 def kv_broadcast_summary(spark, d):
-    return kv_jobs.target_summary(kv_jobs.route(views.kv_wide(spark, d), "broadcast", TARGETS))
+    return kv_jobs.target_summary(kv_jobs.with_target(views.kv_wide(spark, d), "broadcast", TARGETS))
 
 
 # -- reconstruction ---------------------------------------------------------
@@ -511,13 +511,13 @@ def tomography_job(spark, d):
 
 @query
 def count_windows(spark, d):
-    out = windows.count_windows(views.arrivals(spark, d), WINDOW, STEP, block=views.arrival_block(), **ARRIVAL_WINDOW)
+    out = windows.count_windows(views.arrivals(spark, d), WINDOW, STEP, **ARRIVAL_WINDOW)
     return out.select("row_id", F.col("pass").cast("bigint").alias("pass"), "rn", "event_id")
 
 
 @query
 def window_view(spark, d):
-    out = windows.count_windows(views.arrivals(spark, d), WINDOW, STEP, block=views.arrival_block(), **ARRIVAL_WINDOW)
+    out = windows.count_windows(views.arrivals(spark, d), WINDOW, STEP, **ARRIVAL_WINDOW)
     view = windows.window_view(out, ["row_id"])
     return view.selectExpr("row_id", "cast(pass AS BIGINT) AS pass", "messages", "first_rn", "last_rn", "center",
                            *_round("min_theta", "max_theta"))
@@ -525,19 +525,19 @@ def window_view(spark, d):
 
 @query
 def snapshot_points(spark, d):
-    out = windows.snapshot_points(views.arrivals(spark, d), 4, block=views.arrival_block(), **ARRIVAL_WINDOW)
+    out = windows.snapshot_points(views.arrivals(spark, d), 4, **ARRIVAL_WINDOW)
     return out.select("row_id", "event_id", "processed")
 
 
 @query
 def monotone_dedup(spark, d):
-    out = windows.monotone_dedup(views.arrivals(spark, d), block=views.arrival_block(), **ARRIVAL_WINDOW)
+    out = windows.monotone_dedup(views.arrivals(spark, d), **ARRIVAL_WINDOW)
     return out.select("row_id", "event_id", "seq")
 
 
 @query
 def after_fin_filter(spark, d):
-    out = windows.after_fin_filter(views.arrivals(spark, d), block=views.arrival_block(), **ARRIVAL_WINDOW)
+    out = windows.after_fin_filter(views.arrivals(spark, d), **ARRIVAL_WINDOW)
     return out.select("row_id", "event_id", "kind")
 
 
@@ -552,9 +552,19 @@ def _stream(spark, d, name):
 @query
 def stream_count_windows(spark, d):
     rows = _stream(spark, d, "events").selectExpr("user_id AS row_id", "event_id AS seq")
-    out, path = streams.stream_count_windows(rows, WINDOW, STEP), scratch.new_folder(spark, "windows")
+    root = scratch.new_folder(spark, "windows")
+    streams.start_count_windows(rows, WINDOW, STEP, root, scratch.new_folder(spark, "windows-progress"),
+                                available_now=True).awaitTermination()
+    return streams.fired_windows(spark, root)
+
+
+@query
+def stateful_count_windows(spark, d):
+    """The same with the windows of a key in the state store."""
+    rows = _stream(spark, d, "events").selectExpr("user_id AS row_id", "event_id AS seq")
+    out, path = streams.stateful_count_windows(rows, WINDOW, STEP), scratch.new_folder(spark, "state")
     (out.writeStream.format("parquet").option("path", path)
-     .option("checkpointLocation", scratch.new_folder(spark, "windows-progress"))
+     .option("checkpointLocation", scratch.new_folder(spark, "state-progress"))
      .trigger(availableNow=True).start().awaitTermination())
     return spark.read.schema(out.schema).parquet(path)
 

@@ -12,7 +12,7 @@ from sinogrid.plans.reconstruct import sirt_reconstruct
 from sinogrid.sinks import kv_lines
 from sinogrid.streaming import kv as stream_kv
 from sinogrid.streaming import tomography
-from sinogrid.streaming.windows import stream_count_windows
+from sinogrid.streaming.windows import fired_windows, start_count_windows, stateful_count_windows
 from sinogrid.sources import views
 
 FRAME = "row_id BIGINT, seq BIGINT, theta DOUBLE, center DOUBLE, ray ARRAY<DOUBLE>"
@@ -72,7 +72,7 @@ def test_rate_source_is_repeatable(spark):
     cfg = KvConfig(ratePerSecond=50, sourceParallelism=2, sinkParallelism=1, maxRecords=60)
     query = (kv_stream(spark, cfg).drop("ts").writeStream.format("memory").queryName("rate_kv").start())
     for _ in range(60):
-        query.processAllAvailable() if False else query.awaitTermination(0.25)
+        query.awaitTermination(0.25)
         if spark.table("rate_kv").count() >= 60:
             break
     query.stop()
@@ -84,12 +84,16 @@ def test_window_stream_equals_batch(spark, tmp_path):
     rows = spark.range(1, 400).selectExpr("id * id % 7 AS row_id", "id AS seq")
     folder = str(tmp_path / "in")
     write_parts(rows, folder, [90, 91, 250])
-    out = stream_count_windows(stream_of(spark, folder, rows.schema), 6, 4)
+    out = stateful_count_windows(stream_of(spark, folder, rows.schema), 6, 4)
     query = (out.writeStream.format("memory").queryName("fired").option("checkpointLocation", str(tmp_path / "cp"))
              .trigger(availableNow=True).start())
     query.awaitTermination()
     want = windows.count_windows(rows, 6, 4, ["row_id"], ["seq"], block_of(F.col("seq"), 50))
     assert rows_of(spark.table("fired")) == rows_of(want.select("row_id", "pass", "rn", "seq"))
+    root = str(tmp_path / "tables")
+    start_count_windows(stream_of(spark, folder, rows.schema), 6, 4, root, str(tmp_path / "cp2"), 50,
+                        available_now=True).awaitTermination()
+    assert rows_of(fired_windows(spark, root).select("row_id", "pass", "rn", "seq")) == rows_of(spark.table("fired"))
 
 
 def frames(spark, n=6, count=14):

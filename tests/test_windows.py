@@ -29,12 +29,13 @@ def test_hot_key_is_split_over_blocks(spark):
     assert "_blk" in plan.split("hashpartitioning")[1]
 
 
-@pytest.mark.parametrize("width", [1, 3, 1000])
+@pytest.mark.parametrize("width", [1, 3, 1000, None])
 def test_running_values_do_not_depend_on_blocks(spark, width):
     rows = spark.range(200).selectExpr("id % 3 AS k", "id AS seq", "(id * 37) % 101 AS v")
     outs = {"top": Running(F.col("v"), "max", own_row=False), "low": Running(F.col("v"), "min"),
             "sum": Running(F.col("v"), "sum")}
-    got = running(rows, ["k"], ["seq"], block_of(F.col("seq"), width), outs).collect()
+    block = None if width is None else block_of(F.col("seq"), width)
+    got = running(rows, ["k"], ["seq"], block, outs).collect()
     seen = {}
     for r in sorted(got, key=lambda r: r.seq):
         before = seen.setdefault(r.k, [])
@@ -43,6 +44,18 @@ def test_running_values_do_not_depend_on_blocks(spark, width):
         assert (r.low, r["sum"]) == (min(before), sum(before))
 
 
+def test_ranges_split_a_hot_key_with_equal_times(spark):
+    """One key with nearly all rows, all at the same time: only the last order column differs."""
+    rows = spark.range(8000).selectExpr("IF(id % 40 = 0, id, 0) AS row_id", "1 AS ts", "id AS event_id").repartition(4)
+    ranked = keyed_rank(rows, ["row_id"], ["ts", "event_id"], out="rn")
+    hot = ranked.where("row_id = 0")
+    assert [r.rn for r in hot.orderBy("event_id").collect()] == list(range(1, 7802))
+    from sinogrid.operators.blocked import range_blocks
+
+    sizes = [r["count"] for r in range_blocks(rows, ["row_id"], ["ts", "event_id"]).groupBy("_blk").count().collect()]
+    assert max(sizes) < 3000
+
+
 @pytest.mark.parametrize("parts", [1, 3, 8])
 def test_interleave_does_not_depend_on_partitions(spark, parts):
     kv = spark.range(9000).selectExpr("id AS seq", "concat('key', id % 7) AS key").repartition(parts)
