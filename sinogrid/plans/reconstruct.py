@@ -102,6 +102,7 @@ def window_rows(work: DataFrame, j: int, cfg: TomoConfig) -> DataFrame:
 def fire(spark: SparkSession, work_path: str, root: str, cfg: TomoConfig,
          start: DataFrame | None = None) -> Fired:
     """Run all passes due in the work table; `start` holds images of earlier runs."""
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     work = spark.read.parquet(work_path)
     facts = work.agg(F.max(F.col("fired") - F.col("done")).alias("steps"),
                      F.max(F.size("ray")).alias("nx")).first()
@@ -114,8 +115,11 @@ def fire(spark: SparkSession, work_path: str, root: str, cfg: TomoConfig,
 
     for j in range(1, steps + 1):
         active = rows.where(F.col("fired") >= F.col("done") + j)
-        lines = sirt.ray_lines(window_rows(work, j, cfg).drop("done", "fired", "step", "chunk", "rn"),
-                               cfg.center)
+        window = window_rows(work, j, cfg).select("row_id", "seq", "theta", "center", "ray")
+        # Deals the messages out evenly, whatever files they lie in; small beside
+        # the expansion that follows. It also keeps the step number out of the
+        # stage that expands rays, so its compiled code serves every pass.
+        lines = sirt.ray_lines(window.repartition(parts, "row_id", "seq"), cfg.center)
         image, blank = _image_before(spark, root, j, active, start, nx, tile)
         for i in range(cfg.window_iter - 1):
             part = f"{root}/sweep/step={j}/sweep={i}"
