@@ -206,6 +206,8 @@ def all_oracles() -> dict[str, str]:
  FROM arrivals GROUP BY ALL"""
     q["scan_frames"] = f"""WITH {FRAMES} SELECT row_id, seq, {r('theta')} AS theta, {r('theta * 180 / pi()')} AS theta_deg,
  {r(list_total('ray'))} AS total FROM frames WHERE row_id BETWEEN 2 AND 6"""
+    q["save_frames"] = f"""WITH {FRAMES} SELECT row_id, seq, {r('theta * 180 / pi()')} AS theta_deg,
+ {r(list_total('ray'))} AS total FROM frames"""
     q["read_slices"] = f"WITH {FRAMES} SELECT row_id, seq, CAST(len(ray) AS INTEGER) AS nx FROM frames WHERE row_id IN (3, 4, 5, 6)"
     q["read_projections"] = f"WITH {FRAMES} SELECT row_id, projection_id, ray[1] AS x0 FROM frames WHERE projection_id BETWEEN 5 AND 24"
     q["dataset_stats"] = f"""WITH {FRAMES} SELECT count(DISTINCT projection_id) AS projections, min(projection_id) AS first_projection,

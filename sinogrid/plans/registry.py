@@ -181,6 +181,15 @@ def sink_iterations(spark, d):
                                          F.round(F.sum(F.col("x").cast("double")), 6).alias("total"))
 
 
+@query
+def save_frames(spark, d):
+    """The typed frame table kept beside its source and scanned again."""
+    path = scratch.new_folder(spark, "frames")
+    sinks.write_frames(views.frames(spark, d), path)
+    return fr.scan_frames(spark, path).selectExpr(
+        "row_id", "seq", *_round("theta_deg"), "round(aggregate(ray, 0D, (a, x) -> a + cast(x AS DOUBLE)), 6) AS total")
+
+
 # -- records ----------------------------------------------------------------
 
 @query

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -15,19 +17,22 @@ from sinogrid.sources import generators as gen
 from sinogrid.streaming import tomography as stream
 
 
-def message_rows(ticks: DataFrame, images: DataFrame, cfg: TomoConfig) -> DataFrame:
-    """Detector-row messages of the ticks, calibration frames included.
+def image_facts(images: DataFrame) -> tuple[int, int]:
+    """(number of frames, detector rows per frame)."""
+    facts = images.agg(F.count(F.lit(1)).alias("n"), F.max("ny").alias("ny")).first()
+    return facts["n"], facts["ny"]
+
 
-    `images` is typed and numbered from 0 in `seq`. With fewer detector rows
-    than `num_sinograms` the rows are repeated.
+def message_rows(frames: DataFrame, ny: int, cfg: TomoConfig) -> DataFrame:
+    """Detector-row messages of frames that carry their tick number in `seq`.
+
+    With fewer detector rows than `num_sinograms` the rows are repeated.
     """
-    facts = images.agg(F.count(F.lit(1)).alias("n"), F.max("ny").alias("ny")).first()
-    frames = fr.tick_frames(ticks, images, facts["n"])
     rows = records.explode_rows(frames, cfg.checksum)
     if not cfg.num_sinograms:
         return rows
     rows = rows.where(F.col("row_id") < cfg.num_sinograms)
-    return fr.tile_rows(rows, cfg.num_sinograms, facts["ny"])
+    return fr.tile_rows(rows, cfg.num_sinograms, ny)
 
 
 def complete_images(emitted: DataFrame, num_sinograms: int) -> DataFrame:
@@ -39,10 +44,14 @@ def complete_images(emitted: DataFrame, num_sinograms: int) -> DataFrame:
 
 
 def run_batch(spark: SparkSession, images: DataFrame, cfg: TomoConfig, path: str) -> DataFrame:
-    """Run over all ticks, write complete iterations to `path`, return the notices."""
-    rows = calibrate.calibrate(message_rows(gen.ticks(spark, cfg), images, cfg), cfg)
-    fired = sirt_reconstruct(rows, cfg)
-    num = cfg.num_sinograms or images.agg(F.max("ny")).first()[0]
+    """Run over all ticks, write complete iterations to `path`, return the notices.
+
+    `images` is typed and numbered from 0 in `seq`.
+    """
+    n, ny = image_facts(images)
+    frames = fr.cycle_frames(images, n, cfg.num_sinogram_projections, cfg.total_ticks)
+    fired = sirt_reconstruct(calibrate.calibrate(message_rows(frames, ny, cfg), cfg), cfg)
+    num = cfg.num_sinograms or ny
     sinks.write_iterations(complete_images(fired.emitted(), num), path)
     return notices(spark, sinks.read_iterations(spark, path, stream.OPEN), cfg, num)
 
@@ -64,5 +73,16 @@ def start_stream(spark: SparkSession, images: DataFrame, cfg: TomoConfig, root:
 
     Without `checkpoint` progress is kept in a folder of this run only.
     """
-    rows = message_rows(gen.tick_stream(spark, cfg), images, cfg)
-    return stream.start(rows, cfg, root, checkpoint or scratch.new_folder(spark, "tomo-progress"))
+    n, ny = image_facts(images)
+    job = stream.Reconstruction(spark, root, replace(cfg, num_sinograms=cfg.num_sinograms or ny))
+    writer = gen.tick_stream(spark, cfg).writeStream.foreachBatch(tick_batch(job, images, n, ny))
+    return writer.option("checkpointLocation", checkpoint or scratch.new_folder(spark, "tomo-progress")).start()
+
+
+def tick_batch(job: stream.Reconstruction, images: DataFrame, n: int, ny: int):
+    """Batch writer from ticks to reconstruction; reads only the frames of its ticks."""
+    def process(ticks: DataFrame, batch: int) -> None:
+        frames = fr.tick_frames(ticks, fr.frames_in_reach(images, ticks, n), n)
+        job.process(message_rows(frames, ny, job.cfg), batch)
+
+    return process

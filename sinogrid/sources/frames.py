@@ -127,6 +127,33 @@ def tick_frames(ticks: DataFrame, frames: DataFrame, nmsgs: int) -> DataFrame:
     return data.join(frames, "_pos").drop("_pos")
 
 
+def cycle_frames(frames: DataFrame, nmsgs: int, projections: int, total: int) -> DataFrame:
+    """`tick_frames` for all ticks 1..total: each frame lists its own ticks.
+
+    Frames are not shuffled and no tick table is needed.
+    """
+    first = F.col("seq").cast("bigint") + 1
+    ticks = F.when(first <= total, F.sequence(first, F.lit(total).cast("bigint"), F.lit(nmsgs).cast("bigint")))
+    out = frames.withColumn("seq", F.explode(ticks))
+    iteration = F.floor((F.col("seq") - 1) / F.lit(projections)).cast("int")
+    return out.withColumn("iter", iteration).withColumn("kind", F.lit("DATA"))
+
+
+def frames_in_reach(frames: DataFrame, ticks: DataFrame, nmsgs: int) -> DataFrame:
+    """Frames at the positions between the first and last of a batch of ticks.
+
+    A filter on the position that reaches the scan, so a small batch does not
+    read the whole frame table.
+    """
+    span = ticks.agg(F.min("seq").alias("lo"), F.max("seq").alias("hi")).first()
+    if span["lo"] is None or span["hi"] - span["lo"] + 1 >= nmsgs:
+        return frames
+    lo, hi = (span["lo"] - 1) % nmsgs, (span["hi"] - 1) % nmsgs
+    if lo <= hi:
+        return frames.where(F.col("seq").between(lo, hi))
+    return frames.where((F.col("seq") >= lo) | (F.col("seq") <= hi))
+
+
 def ordered_subset(frames: DataFrame, total: int, size: int = 16, index: str = "idx") -> DataFrame:
     """Position of each frame when every ceil(total/size)-th frame is taken in turn."""
     subsets = -(-total // size)

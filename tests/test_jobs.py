@@ -57,16 +57,36 @@ def test_tomography_stream_equals_batch(spark, data, tmp_path):
     assert done == ["000000", "000002", "000004"]
     assert sum(r.status == "WARMUP" for r in notices) == sum(r.status == "FIN" for r in notices) == 10
 
-    rows = tomography.message_rows(gen.ticks(spark, cfg), images, cfg)
     job = Reconstruction(spark, str(tmp_path / "stream"), cfg)
+    process = tomography.tick_batch(job, images, *tomography.image_facts(images))
     for batch, (low, high) in enumerate(((1, 23), (24, 60))):
-        job.process(rows.where(F.col("seq").between(low, high)), batch)
+        process(gen.ticks(spark, cfg).where(F.col("seq").between(low, high)), batch)
     key = lambda df: {(r.row_id, r.iteration, r.pix): round(r.val, 9) for r in sirt.image_pixels(df, 8, 4).collect()}
     written = spark.read.schema("row_id BIGINT, tile INT, vals ARRAY<DOUBLE>, iteration STRING").parquet(str(tmp_path / "out"))
     got = key(job.iterations())
     assert len(got) == 3 * 10 * 64 and got == key(written)
 
 
+def test_cycled_frames_equal_the_lookup(spark, data):
+    images = views.images(spark, data)
+    n = images.count()
+    for total in (n * 2 + 17, n - 5):
+        cfg = TomoConfig(num_sinogram_projections=total)
+        look = fr.tick_frames(gen.ticks(spark, cfg), images, n).selectExpr("seq", "iter", "kind", "unique_id")
+        cycle = fr.cycle_frames(images, n, total, total).selectExpr("seq", "iter", "kind", "unique_id")
+        assert sorted(map(tuple, look.collect())) == sorted(map(tuple, cycle.collect()))
+
+
+def test_only_frames_in_reach_are_read(spark, data):
+    images = views.images(spark, data)
+    n = images.count()
+    for low, high in ((3, 9), (n - 2, n + 4), (1, 3 * n)):
+        ticks = gen.ticks(spark, TomoConfig(num_sinogram_projections=4 * n)).where(F.col("seq").between(low, high))
+        near = fr.frames_in_reach(images, ticks, n)
+        assert near.count() == min(high - low + 1, n)
+        assert fr.tick_frames(ticks, near, n).count() == high - low + 1
+
+
 def test_keying_does_not_change_results(spark, data):
     rows = views.frames(spark, data).where("row_id < 2").select("row_id", "seq", "theta", "center", "ray")
     images = []
