@@ -66,7 +66,7 @@ def message_columns(rows: DataFrame) -> DataFrame:
                        *[c for c in ("rn", "done", "fired") if c in rows.columns])
 
 
-def write_work(rows: DataFrame, cfg: TomoConfig, path: str) -> None:
+def write_work(rows: DataFrame, cfg: TomoConfig, path: str) -> DataFrame:
     """Ranked messages (rn, done, fired) in folders by the step that first needs them."""
     step = windows.first_pass(F.col("rn"), cfg.window_step) - F.col("done")
     rows = rows.where(F.col("rn") <= F.col("fired") * cfg.window_step).withColumn("step", step)
@@ -80,6 +80,8 @@ def write_work(rows: DataFrame, cfg: TomoConfig, path: str) -> None:
         placed = rows.repartition(parts, "chunk", "step", "row_id")
     (placed.sortWithinPartitions("chunk", "step")
      .write.mode("overwrite").partitionBy("chunk").parquet(path))
+    # the schema is given: a batch without messages leaves no file to infer it from
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
 
 
 def window_rows(work: DataFrame, j: int, cfg: TomoConfig) -> DataFrame:
@@ -99,11 +101,10 @@ def window_rows(work: DataFrame, j: int, cfg: TomoConfig) -> DataFrame:
     return rows.join(newest, "row_id").withColumn("center", F.col("_center")).drop("_center")
 
 
-def fire(spark: SparkSession, work_path: str, root: str, cfg: TomoConfig,
-         start: DataFrame | None = None) -> Fired:
+def fire(work: DataFrame, root: str, cfg: TomoConfig, start: DataFrame | None = None) -> Fired:
     """Run all passes due in the work table; `start` holds images of earlier runs."""
+    spark = work.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    work = spark.read.parquet(work_path)
     facts = work.agg(F.max(F.col("fired") - F.col("done")).alias("steps"),
                      F.max(F.size("ray")).alias("nx")).first()
     steps, nx, tile = int(facts["steps"] or 0), int(facts["nx"] or 0), cfg.tile
@@ -169,5 +170,4 @@ def sirt_reconstruct(rows: DataFrame, cfg: TomoConfig, root: str | None = None)
     """Reconstruct a bounded table of frame rows (row_id, seq, theta, center, ray)."""
     spark = rows.sparkSession
     root = root or scratch.new_folder(spark, "sirt")
-    write_work(message_columns(rank_messages(rows, cfg)), cfg, f"{root}/work")
-    return fire(spark, f"{root}/work", root, cfg)
+    return fire(write_work(message_columns(rank_messages(rows, cfg)), cfg, f"{root}/work"), root, cfg)

@@ -83,8 +83,7 @@ class Reconstruction:
         rows = self._clean(self._check(rows, batch), batch)
         new, ends = self._number(rows, fins, before, batch)
         work = self._due(new, before, batch)
-        fired = reconstruct.fire(self.spark, work, self._path("run", batch), self.cfg,
-                                 self._read("image", batch - 1, IMAGE))
+        fired = reconstruct.fire(work, self._path("run", batch), self.cfg, self._read("image", batch - 1, IMAGE))
         self._gather(fired, batch)
         self._keep_images(fired, batch)
         self._commit(new, ends, before, batch)
@@ -141,7 +140,7 @@ class Reconstruction:
         rows = rows.withColumn("rn", F.coalesce("n", F.lit(0)) + F.col("_rn")).drop("n", "last_seq", "_rn")
         return self._write(rows, "new", batch), ends
 
-    def _due(self, new: DataFrame, before: DataFrame, batch: int) -> str:
+    def _due(self, new: DataFrame, before: DataFrame, batch: int) -> DataFrame:
         """Write the messages that the passes due now cover; also the next tail."""
         step, reach = self.cfg.window_step, max(self.cfg.window_length, self.cfg.window_step)
         counts = (before.select("row_id", F.col("n").alias("old"), F.col("n").alias("now"))
@@ -150,10 +149,9 @@ class Reconstruction:
         counts = counts.select("row_id", F.floor(F.col("old") / F.lit(step)).alias("done"),
                                F.floor(F.col("now") / F.lit(step)).alias("fired"))
         rows = self._read("tail", batch - 1, MESSAGE).unionByName(new).join(counts, "row_id")
-        path = self._path("work", batch)
-        reconstruct.write_work(rows, self.cfg, path)
+        work = reconstruct.write_work(rows, self.cfg, self._path("work", batch))
         self._write(rows.where(F.col("rn") > F.col("fired") * step - reach).drop("done", "fired"), "tail", batch)
-        return path
+        return work
 
     def _gather(self, fired: reconstruct.Fired, batch: int) -> None:
         pool = self._read("open", batch - 1, OPEN).unionByName(fired.emitted().select("row_id", "tile", "vals", "iteration"))

@@ -149,6 +149,16 @@ def test_repeated_batch_changes_nothing(spark, tmp_path):
     close(pixels(job.iterations(), 6, 4), pixels(sirt_reconstruct(df, CFG).emitted(), 6, 4))
 
 
+def test_batches_without_messages(spark, tmp_path):
+    df = frames(spark)
+    job = tomography.Reconstruction(spark, str(tmp_path / "run"), CFG)
+    job.process(df.where("seq < 0"), 0)
+    job.process(df, 1)
+    job.process(df.where("seq < 0"), 2)
+    close(pixels(job.iterations(), 6, 4), pixels(sirt_reconstruct(df, CFG).emitted(), 6, 4))
+    assert rows_of(job.progress(2).select("row_id", "n", "last_seq")) == [(r, 14, 14) for r in range(3)]
+
+
 def test_incomplete_iterations_wait(spark, tmp_path):
     df = frames(spark)
     job = tomography.Reconstruction(spark, str(tmp_path / "run"), CFG)
