@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sinogrid.llm import ring, simhash
-from sinogrid.llm.tables import table
+from sinogrid.llm import langid, ring, simhash, toxicity
+from sinogrid.llm.tables import residue, table
 
 _REGISTRY = {}
 
@@ -36,3 +36,21 @@ def op1_simhash(spark, d):
     docs = table(spark, d, "documents")
     found = simhash.near_duplicates(docs, words=3, bits=64, parts=4, agree=2, distance=2)
     return found.select("doc_id", F.lpad(F.lower(F.hex(F.col("fp")[0])), 16, "0").alias("fingerprint"), "component_id")
+
+
+@query
+def op4_toxicity(spark, d):
+    """Null ids are never learned from and not held out."""
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, table(spark, d, "labels"), residue(3) != 1)
+    scored = docs.select("doc_id", F.coalesce(residue(3) == 1, F.lit(False)).alias("held_out"), toxicity.score(docs, model).alias("score"))
+    return scored.select("*", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+@query
+def op10_language(spark, d):
+    """Null ids are never learned from and not held out."""
+    docs = table(spark, d, "documents").select("doc_id", "text", "lang")
+    model = langid.fit(docs, residue(4) != 2)
+    return langid.predict(docs.select("doc_id", "text"), model,
+                          [F.col("doc_id"), F.coalesce(residue(4) == 2, F.lit(False)).alias("held_out")])
