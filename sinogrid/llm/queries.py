@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sinogrid.llm import langid, ring, simhash, toxicity
+from sinogrid.llm import langid, multiset, packing, ring, simhash, toxicity
 from sinogrid.llm.tables import residue, table
 
 _REGISTRY = {}
@@ -54,3 +54,13 @@ def op10_language(spark, d):
     model = langid.fit(docs, residue(4) != 2)
     return langid.predict(docs.select("doc_id", "text"), model,
                           [F.col("doc_id"), F.coalesce(residue(4) == 2, F.lit(False)).alias("held_out")])
+
+
+@query
+def op5_multiset_hash(spark, d):
+    return multiset.edited_likeness(table(spark, d, "documents"))
+
+
+@query
+def op7_best_fit_packing(spark, d):
+    return packing.pack(table(spark, d, "documents"), size=2048)
