@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sinogrid.llm import langid, multiset, packing, ring, simhash, toxicity
+from sinogrid.llm import decontaminate, langid, multiset, packing, ring, simhash, toxicity
 from sinogrid.llm.tables import residue, table
 
 _REGISTRY = {}
@@ -64,3 +64,8 @@ def op5_multiset_hash(spark, d):
 @query
 def op7_best_fit_packing(spark, d):
     return packing.pack(table(spark, d, "documents"), size=2048)
+
+
+@query
+def op6_template_decontamination(spark, d):
+    return decontaminate.matches(table(spark, d, "documents"), table(spark, d, "benchmark"))
