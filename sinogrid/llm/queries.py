@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sinogrid.llm import decontaminate, langid, multiset, packing, ring, simhash, toxicity
+from sinogrid.llm import decontaminate, langid, multiset, packing, pii, ring, simhash, toxicity
 from sinogrid.llm.tables import residue, table
 
 _REGISTRY = {}
@@ -69,3 +69,9 @@ def op7_best_fit_packing(spark, d):
 @query
 def op6_template_decontamination(spark, d):
     return decontaminate.matches(table(spark, d, "documents"), table(spark, d, "benchmark"))
+
+
+@query
+def op3_skip_chain_pii(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    return pii.report(docs, pii.fit(docs))
