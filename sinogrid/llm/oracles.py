@@ -2,6 +2,41 @@
 
 from __future__ import annotations
 
+from sinogrid.llm import warc
+
+
+def _text(value: str) -> str:
+    return "'" + value.replace("'", "''") + "'"
+
+
+def _uuid(parts: str) -> str:
+    cut = " || '-' || ".join(f"substr(h, {a}, {n})" for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12)))
+    return f"list_transform([md5({parts})], lambda h: '<urn:uuid:' || {cut} || '>')[1]"
+
+
+def _warc() -> str:
+    plain = f"regexp_replace(html, {_text(warc._HIDDEN)}, '', 'g')"
+    plain = f"regexp_replace(regexp_replace({plain}, {_text(warc._BREAKS)}, chr(10), 'g'), {_text(warc._TAG)}, '', 'g')"
+    for name, char in warc.ENTITIES:
+        plain = f"replace({plain}, {_text(name)}, {_text(char)})"
+    plain = rf"regexp_replace({plain}, '[ \t\r\f\x0b]+', ' ', 'g')"
+    plain = rf"trim(regexp_replace({plain}, ' ?\n[ \n]*', chr(10), 'g'), ' ' || chr(10))"
+    meta = f"""to_json({{'Envelope': {{'WARC-Header-Metadata': {{'WARC-Type': 'response', 'WARC-Record-ID': source_id, 'WARC-Target-URI': url,
+     'WARC-Date': date, 'WARC-Payload-Digest': source_digest}}, 'Payload-Metadata': {{'HTTP-Response-Metadata': {{'Headers': http,
+     'Entity-Length': strlen(html), 'HTML-Metadata': {{'Title': regexp_extract(html, {_text(warc._TITLE)}, 1),
+     'Links': regexp_extract_all(html, {_text(warc._LINK)}, 1)}}}}}}}}}})::VARCHAR"""
+    return f"""
+WITH page AS (SELECT page_id, coalesce(url, '') AS url, coalesce(html, '') AS html, '1970-01-01T00:00:00Z' AS date FROM pages),
+response AS (SELECT *, {_uuid("'response' || chr(10) || coalesce(page_id::VARCHAR, '') || chr(10) || url")} AS source_id,
+ 'sha256:' || sha256(html) AS source_digest,
+ 'HTTP/1.1 200 OK' || chr(13) || chr(10) || 'Content-Type: text/html; charset=utf-8' || chr(13) || chr(10) || 'Content-Length: ' || strlen(html) AS http
+ FROM page),
+derived AS (SELECT *, 'metadata' AS kind, 'application/json' AS content_type, {meta} AS content FROM response
+ UNION ALL SELECT *, 'conversion', 'text/plain', {plain} FROM response)
+SELECT page_id, kind AS record_type, {_uuid("kind || chr(10) || source_id")} AS record_id, source_id AS refers_to, url AS target_uri,
+ date AS warc_date, content_type, http AS source_headers, source_digest, 'sha256:' || sha256(content) AS block_digest,
+ strlen(content)::BIGINT AS content_length, content FROM derived"""
+
 
 def all_oracles() -> dict[str, str]:
-    return {}
+    return {"op2_warc_derivatives": _warc()}

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sinogrid.llm import decontaminate, langid, multiset, packing, pii, ring, simhash, toxicity
+from sinogrid.llm import decontaminate, langid, multiset, packing, pii, ring, simhash, toxicity, warc
 from sinogrid.llm.tables import residue, table
 
 _REGISTRY = {}
@@ -75,3 +75,8 @@ def op6_template_decontamination(spark, d):
 def op3_skip_chain_pii(spark, d):
     docs = table(spark, d, "documents").select("doc_id", "text")
     return pii.report(docs, pii.fit(docs))
+
+
+@query
+def op2_warc_derivatives(spark, d):
+    return warc.derive(warc.responses(table(spark, d, "pages")))
