@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sinogrid.llm.tables import stored, texts
+from sinogrid.llm.tables import stored, texts, unused
 
 #: fixed values: units of measure, as words that may follow a number
 UNITS = frozenset("""mm cm m km in ft yd mi inch inches foot feet yard yards mile miles meter meters metre metres kilometer kilometers
@@ -187,5 +187,6 @@ def matches(docs: DataFrame, benchmark: DataFrame, words: int = 8, least: int =
 
 def clean(docs: DataFrame, benchmark: DataFrame, **settings) -> DataFrame:
     """Documents that hold no benchmark item; their columns and rows as they are."""
-    bad = matches(docs, benchmark, **settings).select(F.col("doc_id").alias("_bad_id")).distinct()
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("_bad_id")), "left_anti")
+    name = unused(docs, "bad_id")
+    bad = stored(matches(docs, benchmark, **settings).select(F.col("doc_id").alias(name)).distinct(), "bad")
+    return docs.join(bad, docs["doc_id"].eqNullSafe(F.col(name)), "left_anti")

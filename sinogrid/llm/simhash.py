@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sinogrid.llm.components import components
-from sinogrid.llm.tables import NO_ID, stored, texts
+from sinogrid.llm.tables import NO_ID, stored, texts, unused
 
 SEED = 42
 _LOW_BITS = np.uint64(0x0101010101010101)
@@ -173,9 +173,20 @@ def near_duplicates(docs: DataFrame, words: int = 5, bits: int = 2304, parts: in
 
 
 def deduplicated(docs: DataFrame, **settings) -> DataFrame:
-    """The rows of one document of each group: the smallest doc_id; of rows that share it, one row."""
-    kept = (near_duplicates(docs, **settings).where("doc_id <=> component_id").select("doc_id").distinct()
-            .select(F.col("doc_id").alias("_kept_id")))
+    """The rows of one document of each group: that of the smallest doc_id (null counts as smallest).
+
+    Of rows that share this id one stays, the first by its further columns. All
+    columns stay as they are.
+    """
+    found = stored(near_duplicates(docs, **settings).select("doc_id", (F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("kept")), "kept")
+    ids = found.groupBy("doc_id").agg(F.max("kept").alias("kept"), F.count("*").alias("n")).where("kept")
+    name, row = unused(docs, "kept_id"), unused(docs, "row")
+
+    def of(wanted: DataFrame) -> DataFrame:
+        return docs.join(wanted.select(F.col("doc_id").alias(name)), docs["doc_id"].eqNullSafe(F.col(name)), "left_semi")
+
+    repeated = ids.where("n > 1")
+    if repeated.isEmpty():
+        return of(ids)
     first = Window.partitionBy("doc_id").orderBy(*[F.col(c) for c in docs.columns if c != "doc_id"])
-    return (docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept_id")), "left_semi")
-            .withColumn("_row", F.row_number().over(first)).where("_row = 1").drop("_row"))
+    return of(ids.where("n = 1")).union(of(repeated).withColumn(row, F.row_number().over(first)).where(F.col(row) == 1).drop(row))

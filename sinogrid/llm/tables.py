@@ -31,3 +31,10 @@ def texts(docs: DataFrame) -> DataFrame:
 def residue(modulus: int):
     """crc32 of doc_id written as text, modulo `modulus`; null for a null id."""
     return F.crc32(F.col("doc_id").cast("string")) % modulus
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """`name`, or a longer one if `df` has such a column."""
+    while name.lower() in {c.lower() for c in df.columns}:
+        name += "_"
+    return name
