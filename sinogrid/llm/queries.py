@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sinogrid.llm import decontaminate, langid, multiset, packing, pii, ring, simhash, toxicity, warc
+from sinogrid.llm import decontaminate, langid, multiset, packing, pii, ring, simhash, suffix, toxicity, warc
 from sinogrid.llm.tables import residue, table
 
 _REGISTRY = {}
@@ -80,3 +80,8 @@ def op3_skip_chain_pii(spark, d):
 @query
 def op2_warc_derivatives(spark, d):
     return warc.derive(warc.responses(table(spark, d, "pages")))
+
+
+@query
+def op9_suffix_dedup(spark, d):
+    return suffix.without_repeats(table(spark, d, "documents"), length=100).drop("kept")
