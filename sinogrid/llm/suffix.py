@@ -56,16 +56,34 @@ def suffix_array(symbols: np.ndarray) -> np.ndarray:
     where = np.empty(n, np.int64)
     where[order] = np.arange(n)
     order, where = order.tolist(), where.tolist()
-    prev = [-1] * n
+    prev = [-1] * n  # -1 is also the place of the last suffix, whose group is the lowest: no pointer passes it
     end = n
     while end:
         start = group[order[end - 1]]
+        if end - start == 1:
+            i = order[start]
+            p = i - 1
+            while group[p] > start:
+                p = prev[p]
+            prev[i] = p
+            end = start
+            if p >= 0 and size[h := group[p]] > 1:
+                size[h] -= 1
+                last, at = h + size[h], where[p]
+                if at != last:
+                    order[at] = other = order[last]
+                    where[other] = at
+                    order[last] = p
+                    where[p] = last
+                group[p] = last
+                size[last] = 1
+            continue
         count: dict[int, int] = {}
-        for i in sorted(order[start:end]) if end - start > 1 else (order[start],):
+        for i in sorted(order[start:end]):
             p = i - 1
-            while p >= 0 and group[p] > start:
+            while group[p] > start:
                 p = prev[p]
-            if p >= 0 and group[p] == start:
+            if group[p] == start and p >= 0:
                 p = prev[p]
             prev[i] = p
             if p >= 0:
@@ -280,7 +298,7 @@ def repeated(docs: DataFrame, length: int = 100, gram: int = 32, most: int = 204
 
         for batch in batches:
             for g, *row in zip(*(batch.column(c).to_pylist() for c in ("g", "id", "tie", "lo", "data"))):
-                if g != last and volume > 1 << 18:
+                if g != last and volume > 1 << 12:
                     yield runs()
                     held, volume = [], 0
                 held.append(row)
