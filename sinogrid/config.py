@@ -6,18 +6,27 @@ import json
 from dataclasses import asdict, dataclass, fields
 
 
+# Parameters of launchers, hosts, threads, failures and reports: where and how a job runs, not what it computes.
+OPERATIONAL = frozenset((
+    "thread_count", "parallelism", "simulation_file", "image_pv", "iteration_sleep", "logdir", "checkpoint_interval", "restart",
+    "failure_period", "failure_interval", "recovery_interval", "sink_delay", "cpu_delay"))
+
+
 class _FromMapping:
     @classmethod
     def from_mapping(cls, values: dict):
         """Build from a parsed JSON object.
 
-        Unknown names are ignored, and false or empty values leave the default.
+        False or empty values leave the default. Names of OPERATIONAL have no say
+        in the result and are ignored; any other unknown name that is set is an error.
         """
         known = {f.name: f for f in fields(cls)}
         picked = {}
         for name, value in values.items():
-            if name not in known or value is None or value is False or value == "":
+            if value is None or value is False or value == "" or name in OPERATIONAL:
                 continue
+            if name not in known:
+                raise ValueError(f"parameter {name!r} is not offered")
             default = known[name].default
             kind = str if default is None else type(default)
             picked[name] = True if kind is bool else kind(value)

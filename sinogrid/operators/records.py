@@ -91,6 +91,30 @@ def validate_rows(rows: DataFrame, nx: int, strict: bool = False) -> tuple[DataF
     return rows.where(F.col("reason").isNull()).drop("reason"), rows.where(F.col("reason").isNotNull())
 
 
+def checked(rows: DataFrame, nx: int = 0, checksum: bool = False) -> tuple[DataFrame, DataFrame]:
+    """The input check of the jobs, batch and stream: (usable rows, rejected rows with `reason`).
+
+    Fields that a message has must be filled, and its payload must not be empty;
+    with `nx` it must have that many samples. With `checksum` the sum that came
+    with a message is verified, whatever `nx` is. Columns a message does not
+    carry are not asked for.
+    """
+    missing = F.lit(False)
+    for name in REQUIRED:
+        if name in rows.columns:
+            missing = missing | F.col(name).isNull()
+    size = F.coalesce(F.size("ray"), F.lit(0))
+    reason = F.when(missing, "missing field").when(size <= 0, "empty payload")
+    if nx:
+        reason = reason.when(size != nx, "wrong length")
+    columns = rows.columns
+    if checksum and "checksum" in columns:
+        rows = verify_checksum(rows)
+        reason = reason.when(~F.col("checksum_ok"), "wrong checksum")
+    marked = rows.withColumn("reason", reason).select(*columns, "reason")
+    return marked.where("reason IS NULL").drop("reason"), marked.where("reason IS NOT NULL")
+
+
 def upper_map(df: DataFrame, column: str) -> DataFrame:
     return df.withColumn(column, F.upper(column))
 

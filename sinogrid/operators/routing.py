@@ -6,7 +6,7 @@ to exactly that partition with one exchange.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sinogrid.functions.hashing import java_hash, with_murmur_u32
@@ -99,6 +99,5 @@ def key_or_random(df: DataFrame, num_keys: int, key: str = "row_id", seed: str =
 def target_load(df: DataFrame, sink: str = SINK) -> DataFrame:
     """Records per target with their share of the whole."""
     per_target = df.groupBy(sink).agg(F.count(F.lit(1)).alias("records"))
-    whole = per_target.agg(F.sum("records").alias("_all"))
-    return (per_target.join(F.broadcast(whole))  # one row by construction
-            .withColumn("share", F.col("records") / F.col("_all")).drop("_all"))
+    # a window over as many rows as there are targets
+    return per_target.withColumn("share", F.col("records") / F.sum("records").over(Window.partitionBy(F.lit(0))))

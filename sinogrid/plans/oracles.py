@@ -110,7 +110,7 @@ weight AS (SELECT {extra}, col, sqrt((x2 - x) * (x2 - x) + (y2 - y) * (y2 - y))
 
 MESSAGES = f"""{FRAMES}, angles AS (SELECT DISTINCT seq, theta, 32::DOUBLE AS mid FROM frames),
 sample AS (SELECT row_id, seq, CAST(generate_subscripts(ray, 1) - 1 AS INTEGER) AS col, unnest(ray)::DOUBLE AS v FROM frames)"""
-START = "start AS (SELECT row_id, CAST((seq - 1) * 64 + col AS INTEGER) AS pix, v AS val FROM sample WHERE seq <= 64)"
+START = "start AS (SELECT row_id, CAST((seq - 1) % 64 * 64 + col AS INTEGER) AS pix, sum(v) AS val FROM sample GROUP BY ALL)"
 NORM = "norm AS (SELECT seq, col, sum(len * len) AS a2 FROM weight GROUP BY ALL)"
 
 
@@ -185,9 +185,13 @@ def ticks_sql(iterations: int, per: str) -> str:
             f"FROM range(1, {iterations} * {per} + 1) t(i)")
 
 
+def event_ticks() -> str:
+    return f"SELECT event_id + 1 AS seq, CAST(event_id // {NFRAMES} AS INTEGER) AS iter, 'DATA' AS kind FROM events"
+
+
 def union_sql() -> str:
-    return f"""SELECT * FROM ({ticks_sql(2, NFRAMES)}) UNION ALL
- SELECT 0::BIGINT, 0::INTEGER, 'WARMUP' UNION ALL SELECT 2 * {NFRAMES} + 1, 2::INTEGER, 'FIN'"""
+    return f"""SELECT * FROM ({event_ticks()}) UNION ALL SELECT 0::BIGINT, 0::INTEGER, 'WARMUP'
+ UNION ALL SELECT max(event_id) + 2, CAST(max(event_id) // {NFRAMES} + 1 AS INTEGER), 'FIN' FROM events"""
 
 
 def all_oracles() -> dict[str, str]:
@@ -197,15 +201,15 @@ def all_oracles() -> dict[str, str]:
     q["gen_kv"] = f"""WITH {murmur_over('events', '(event_id * 2 + 7)', 'event_id', 'a')},
  {murmur_over('events', '(event_id * 2 + 8)', 'event_id', 'b')}
  SELECT event_id AS seq, 'key' || (a.h % 60) AS key, CAST(b.h % 10 AS INTEGER) AS val FROM a JOIN b USING (event_id)"""
-    q["ticks"] = ticks_sql(3, NFRAMES)
+    q["ticks"] = event_ticks()
     q["tick_iter"] = "SELECT event_id + 1 AS seq, CAST(event_id // 144 AS INTEGER) AS iter, 'DATA' AS kind FROM events"
     q["tick_union"] = union_sql()
-    q["control_rows"] = f"""SELECT seq, iter, kind, CAST(i AS INTEGER) AS row_id FROM ({union_sql()}), range(0, {NFRAMES}) t(i)
- WHERE kind <> 'DATA'"""
+    q["control_rows"] = f"""SELECT seq, iter, kind, CAST(i AS INTEGER) AS row_id FROM ({union_sql()}),
+ (SELECT DISTINCT vec_id % 10 AS i FROM embeddings) WHERE kind <> 'DATA'"""
     q["split_control"] = f"""WITH {ARRIVALS} SELECT row_id, count(*) AS n, CASE WHEN kind = 'FIN' THEN 'control' ELSE 'data' END AS part
  FROM arrivals GROUP BY ALL"""
     q["scan_frames"] = f"""WITH {FRAMES} SELECT row_id, seq, {r('theta')} AS theta, {r('theta * 180 / pi()')} AS theta_deg,
- {r(list_total('ray'))} AS total FROM frames WHERE row_id BETWEEN 2 AND 6"""
+ {r(list_total('ray'))} AS total FROM frames"""
     q["save_frames"] = f"""WITH {FRAMES} SELECT row_id, seq, {r('theta * 180 / pi()')} AS theta_deg,
  {r(list_total('ray'))} AS total FROM frames"""
     q["read_slices"] = f"WITH {FRAMES} SELECT row_id, seq, CAST(len(ray) AS INTEGER) AS nx FROM frames WHERE row_id IN (3, 4, 5, 6)"
@@ -246,7 +250,10 @@ def all_oracles() -> dict[str, str]:
     q["validate_rows"] = f"""WITH {BAD} SELECT projection_id, CASE m WHEN 0 THEN 'missing field' WHEN 1 THEN 'wrong length'
  WHEN 2 THEN 'empty payload' ELSE 'ok' END AS reason, count(*) AS n FROM bad GROUP BY ALL"""
     q["verify_checksum"] = f"""WITH {BAD} SELECT row_id, seq, checksum, {fnv_floats('ray')} AS actual,
- checksum = {fnv_floats('ray')} AS checksum_ok FROM bad WHERE m <> 2"""
+ checksum = {fnv_floats('ray')} AS checksum_ok FROM bad"""
+    q["validate_strict"] = f"WITH {FRAMES} SELECT row_id, seq, {fnv_floats('ray')} AS checksum FROM frames"
+    q["job_rejects"] = f"""WITH {BAD} SELECT CASE m WHEN 0 THEN 'missing field' WHEN 1 THEN 'wrong length' WHEN 2 THEN 'empty payload'
+ WHEN 3 THEN 'wrong checksum' ELSE 'ok' END AS reason, count(*) AS n, CAST(sum(len(ray)) AS BIGINT) AS samples FROM bad GROUP BY ALL"""
     q["reinterpret"] = f"""WITH {FRAMES} SELECT row_id, seq, pix, trunc(abs(x::DOUBLE) * 100) AS u8,
  trunc(abs(x::DOUBLE) * 100) * 256 AS u16, x::DOUBLE AS f32 FROM ({long_frames})"""
     q["calibration_sets"] = f"WITH {CALIB}, {MEANS} SELECT row_id, set, seq, pix, {r('mean')} AS mean FROM sets"

@@ -106,7 +106,9 @@ def fire(work: DataFrame, root: str, cfg: TomoConfig, start: DataFrame | None =
     spark = work.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     facts = work.agg(F.max(F.col("fired") - F.col("done")).alias("steps"),
-                     F.max(F.size("ray")).alias("nx")).first()
+                     F.max(F.size("ray")).alias("nx"), F.min(F.size("ray")).alias("least")).first()
+    if facts["nx"] != facts["least"]:
+        raise ValueError(f"payloads of {facts['least']} to {facts['nx']} samples: all must have one length")
     steps, nx, tile = int(facts["steps"] or 0), int(facts["nx"] or 0), cfg.tile
     rows = work.where(F.col("fired") > F.col("done")).groupBy("row_id").agg(
         F.first("done").alias("done"), F.first("fired").alias("fired"))

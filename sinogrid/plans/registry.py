@@ -62,8 +62,9 @@ def gen_kv(spark, d):
 
 @query
 def ticks(spark, d):
-    cfg = TomoConfig(d_iteration=3, num_sinogram_projections=views.frames_per_row(spark, d))
-    return gen.ticks(spark, cfg)
+    """Every event is a tick; an iteration is as many ticks as there are projections."""
+    seq = views.table(spark, d, "events").selectExpr("event_id + 1 AS seq")
+    return gen.tick_columns(seq, views.frames_per_row(spark, d))
 
 
 @query
@@ -74,14 +75,14 @@ def tick_iter(spark, d):
 
 @query
 def tick_union(spark, d):
-    n = views.frames_per_row(spark, d)
-    cfg = TomoConfig(d_iteration=2, num_sinogram_projections=n)
-    return gen.with_control_ticks(spark, gen.ticks(spark, cfg), cfg.total_ticks, cfg.d_iteration)
+    data = ticks(spark, d)
+    last = data.agg(F.max("seq").alias("seq"), F.max("iter").alias("iter")).first()
+    return gen.with_control_ticks(spark, data, last["seq"], last["iter"] + 1)
 
 
 @query
 def control_rows(spark, d):
-    n = views.frames_per_row(spark, d)
+    n = views.frames(spark, d).agg(F.max("row_id") + 1).first()[0]
     control, _ = records.split_control(tick_union(spark, d))
     return records.per_row_id(control, n)
 
@@ -95,7 +96,7 @@ def split_control(spark, d):
 
 @query
 def scan_frames(spark, d):
-    rows = fr.prepare_scan(views.frames(spark, d), beg_row=2, num_rows=5)
+    rows = fr.prepare_scan(views.frames(spark, d))
     return rows.selectExpr("row_id", "seq", *_round("theta", "theta_deg"),
                            "round(aggregate(ray, 0D, (a, x) -> a + cast(x AS DOUBLE)), 6) AS total")
 
@@ -216,10 +217,24 @@ def validate_rows(spark, d):
     return marked.withColumn("reason", F.coalesce("reason", F.lit("ok"))).groupBy("projection_id", "reason").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query
+def validate_strict(spark, d):
+    """Usable rows, where any other row would end the job."""
+    usable, _ = records.validate_rows(records.with_checksum(views.frames(spark, d)), NX, strict=True)
+    return usable.selectExpr("row_id", "seq", "checksum")
+
+
+@query
+def job_rejects(spark, d):
+    """Faulty messages through the job's input check: why and how many were rejected, and how many went on."""
+    usable, rejected = records.checked(views.bad_rows(spark, d), NX, checksum=True)
+    count = lambda df, reason: df.groupBy(reason.alias("reason")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("ray")).alias("samples"))
+    return count(usable, F.lit("ok")).unionByName(count(rejected, F.col("reason")))
+
+
 @query
 def verify_checksum(spark, d):
-    rows = views.bad_rows(spark, d).where("size(ray) > 0")
-    return records.verify_checksum(rows).select("row_id", "seq", "checksum", "actual", "checksum_ok")
+    return records.verify_checksum(views.bad_rows(spark, d)).select("row_id", "seq", "checksum", "actual", "checksum_ok")
 
 
 # -- calibration and cleaning -------------------------------------------------
@@ -401,10 +416,9 @@ def _messages(spark, d):
 
 
 def _first_image(spark, d, tile):
-    """A start image made of the data, written out as the image between sweeps is."""
-    pixels = (views.frames(spark, d, spread=True).where("seq <= 64")
-              .selectExpr("row_id", "seq", "posexplode(ray) AS (col, x)")
-              .selectExpr("row_id", "cast((seq - 1) * 64 + col AS INT) AS pix", "cast(x AS DOUBLE) AS val"))
+    """A start image of all messages, folded onto its rows, written out as the image between sweeps is."""
+    pixels = (views.frames(spark, d, spread=True).selectExpr("row_id", "seq", "posexplode(ray) AS (col, x)")
+              .selectExpr("row_id", "cast((seq - 1) % 64 * 64 + col AS INT) AS pix", "cast(x AS DOUBLE) AS val"))
     path = scratch.new_folder(spark, "image")
     image = sirt.image_tiles(pixels, NX, tile)
     image.write.parquet(path)

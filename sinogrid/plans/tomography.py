@@ -23,16 +23,19 @@ def image_facts(images: DataFrame) -> tuple[int, int]:
     return facts["n"], facts["ny"]
 
 
-def message_rows(frames: DataFrame, ny: int, cfg: TomoConfig) -> DataFrame:
-    """Detector-row messages of frames that carry their tick number in `seq`.
-
-    With fewer detector rows than `num_sinograms` the rows are repeated.
-    """
+def source_rows(frames: DataFrame, cfg: TomoConfig) -> DataFrame:
+    """Detector-row messages of frames that carry their tick number in `seq`, of no more rows than are asked for."""
     rows = records.explode_rows(frames, cfg.checksum)
-    if not cfg.num_sinograms:
-        return rows
-    rows = rows.where(F.col("row_id") < cfg.num_sinograms)
-    return fr.tile_rows(rows, cfg.num_sinograms, ny)
+    return rows.where(F.col("row_id") < cfg.num_sinograms) if cfg.num_sinograms else rows
+
+
+def repeated_rows(rows: DataFrame, ny: int, cfg: TomoConfig) -> DataFrame:
+    """With fewer detector rows than `num_sinograms` the rows are repeated."""
+    return fr.tile_rows(rows, cfg.num_sinograms, ny) if cfg.num_sinograms else rows
+
+
+def message_rows(frames: DataFrame, ny: int, cfg: TomoConfig) -> DataFrame:
+    return repeated_rows(source_rows(frames, cfg), ny, cfg)
 
 
 def complete_images(emitted: DataFrame, num_sinograms: int) -> DataFrame:
@@ -46,11 +49,14 @@ def complete_images(emitted: DataFrame, num_sinograms: int) -> DataFrame:
 def run_batch(spark: SparkSession, images: DataFrame, cfg: TomoConfig, path: str) -> DataFrame:
     """Run over all ticks, write complete iterations to `path`, return the notices.
 
-    `images` is typed and numbered from 0 in `seq`.
+    `images` is typed and numbered from 0 in `seq`. Unusable messages go to
+    `path`.rejected with the reason. Rows are calibrated before they are repeated.
     """
     n, ny = image_facts(images)
     frames = fr.cycle_frames(images, n, cfg.num_sinogram_projections, cfg.total_ticks)
-    fired = sirt_reconstruct(calibrate.calibrate(message_rows(frames, ny, cfg), cfg), cfg)
+    usable, rejected = records.checked(source_rows(frames, cfg), cfg.num_sinogram_columns)
+    rejected.write.mode("overwrite").parquet(f"{path.rstrip('/')}.rejected")
+    fired = sirt_reconstruct(repeated_rows(calibrate.calibrate(usable, cfg), ny, cfg), cfg)
     num = cfg.num_sinograms or ny
     sinks.write_iterations(complete_images(fired.emitted(), num), path)
     return notices(spark, sinks.read_iterations(spark, path, stream.OPEN), cfg, num)

@@ -27,6 +27,8 @@ def with_kv(df: DataFrame, cfg: KvConfig, seq: str = "seq") -> DataFrame:
 
 
 def kv_batch(spark: SparkSession, cfg: KvConfig) -> DataFrame:
+    if cfg.maxRecords >= 2**62:
+        raise ValueError("a batch needs maxRecords")
     rows = spark.range(cfg.maxRecords).select(F.col("id").alias("seq"))
     return with_kv(rows, cfg)
 

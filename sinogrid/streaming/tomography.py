@@ -40,6 +40,8 @@ class Reconstruction:
     """The tables of one streaming reconstruction below `root`."""
 
     def __init__(self, spark: SparkSession, root: str, cfg: TomoConfig):
+        if cfg.num_sinograms < 1:
+            raise ValueError("num_sinograms is needed: an iteration is complete when that many row ids are there")
         self.spark, self.root, self.cfg = spark, root.rstrip("/"), cfg
 
     # -- tables -------------------------------------------------------------
@@ -97,18 +99,9 @@ class Reconstruction:
         return fins, rows.drop("kind")
 
     def _check(self, rows: DataFrame, batch: int) -> DataFrame:
-        nx = self.cfg.num_sinogram_columns
-        if not nx:
-            return rows
-        bad = records.reject_reason(nx) if "projection_id" in rows.columns else (
-            F.when(F.col("row_id").isNull() | F.col("seq").isNull(), "missing field")
-            .when(F.size("ray") != nx, "wrong length"))
-        if self.cfg.checksum and "checksum" in rows.columns:
-            rows = records.verify_checksum(rows)
-            bad = F.coalesce(bad, F.when(~F.col("checksum_ok"), "wrong checksum"))
-        marked = rows.withColumn("reason", bad)
-        self._write(marked.where(F.col("reason").isNotNull()), "rejected", batch)
-        return marked.where(F.col("reason").isNull()).drop("reason", "actual", "checksum_ok")
+        usable, rejected = records.checked(rows, self.cfg.num_sinogram_columns, self.cfg.checksum)
+        self._write(rejected, "rejected", batch)
+        return usable
 
     def _clean(self, rows: DataFrame, batch: int) -> DataFrame:
         if "itype" not in rows.columns:
