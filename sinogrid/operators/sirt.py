@@ -156,22 +156,23 @@ def forward_project(lines: DataFrame, image: DataFrame | None, keys: list[str],
         F.sum("part").alias("sim"), F.expr("sum(chord * chord)").alias("norm"), *carried)
 
 
-def _back_pixels(projected: DataFrame, keys: list[str], tile: int, nx: int | None,
-                 outs: list[str]) -> DataFrame:
+def _back_sums(projected: DataFrame, keys: list[str], tile: int, nx: int | None) -> DataFrame:
     df = projected.selectExpr("row_id", *keys, "col", "try_divide(sample - sim, norm) AS upd", *LINE)
     # Rays of one tile and one block of projections meet in a task, are summed
     # there, and only sums per cell are shuffled for the total. The block bounds
     # the task when a row_id holds much of the data. The number of partitions is
     # given because the expansion to pixels, not the input size, is the work.
-    block = F.expr(f"{keys[0]} div {BACK_BLOCK}")
+    df = df.withColumn("_block", F.expr(f"{keys[0]} div {BACK_BLOCK}"))
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    pairs = to_tiles(df, tile, nx).repartition(parts, "row_id", "tile", block)
-    return to_pixels(pairs, tile, ["row_id", "tile", "cell", "chord * upd AS num", "chord AS den", *outs])
+    pairs = to_tiles(df, tile, nx).repartition(parts, "row_id", "tile", "_block")
+    cells = to_pixels(pairs, tile, ["row_id", "tile", "_block", "cell", "chord * upd AS num", "chord AS den"])
+    # lies by (row_id, tile, block) already: these sums need no exchange
+    return cells.groupBy("row_id", "tile", "_block", "cell").agg(F.sum("num").alias("num"), F.sum("den").alias("den"))
 
 
 def back_project(projected: DataFrame, keys: list[str], tile: int, nx: int | None = None) -> DataFrame:
     """(row_id, tile, cell) with `num`, `den` summed over all rays of `projected`."""
-    return _back_pixels(projected, keys, tile, nx, []).groupBy("row_id", "tile", "cell").agg(
+    return _back_sums(projected, keys, tile, nx).groupBy("row_id", "tile", "cell").agg(
         F.sum("num").alias("num"), F.sum("den").alias("den"))
 
 
@@ -183,9 +184,13 @@ def sweep(lines: DataFrame, image: DataFrame | None, blank: DataFrame | None,
           keys: list[str], tile: int, nx: int | None = None) -> DataFrame:
     """The image after one sweep over `lines`; `blank` stands in for a first image."""
     projected = forward_project(lines, image, keys, tile, nx)
-    spread = _back_pixels(projected, keys, tile, nx, ["0D AS val"])
-    # the old image joins the same aggregation as one more summand per cell
-    old = image_cells(blank if image is None else image, ["0D AS num", "0D AS den", "val"])
+    parts = int(projected.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # The one exchange of cells: sums of blocks meet by tile, and both the totals
+    # and the arrays are built where they lie. The old image comes to the same
+    # places as whole tiles and is one more summand per cell.
+    spread = _back_sums(projected, keys, tile, nx).drop("_block").withColumn("val", F.lit(0.0)).repartition(parts, "row_id", "tile")
+    tiles = (blank if image is None else image).select("row_id", "tile", "vals").repartition(parts, "row_id", "tile")
+    old = image_cells(tiles, ["0D AS num", "0D AS den", "val"])
     summed = spread.unionByName(old).groupBy("row_id", "tile", "cell").agg(
         F.sum("num").alias("num"), F.sum("den").alias("den"), F.sum("val").alias("val"))
     return _to_arrays(summed.selectExpr("row_id", "tile", "cell", f"val + {CHANGE} AS val"))

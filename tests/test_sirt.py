@@ -91,3 +91,18 @@ def test_intermediate_images_are_removed(spark, tmp_path):
     sirt_reconstruct(frames, TomoConfig(window_length=4, window_step=2, write_freq=3, tile=64), root)
     kept = sorted(p.parent.name for p in (tmp_path / "run").glob("step=*/keep=*"))
     assert kept == ["step=1", "step=4", "step=6"]
+
+
+def test_a_sweep_moves_cells_once(spark):
+    """Besides rays and whole tiles, only the cell sums of blocks are exchanged."""
+    from sinogrid.operators import sirt
+
+    frames = spark.createDataFrame([(0, i + 1, 0.3 * i, 0.0, [1.0] * 8) for i in range(4)],
+                                   "row_id BIGINT, seq BIGINT, theta DOUBLE, center DOUBLE, ray ARRAY<FLOAT>")
+    lines = sirt.ray_lines(frames)
+    blank = sirt.blank_image(frames.select("row_id").distinct(), 8, 4)
+    swept = sirt.sweep(lines, None, blank, ["seq"], 4)
+    plan = swept._jdf.queryExecution().executedPlan().toString()
+    cells = [line for line in plan.split("\n") if "Exchange hashpartitioning(row_id" in line and "tile" in line]
+    assert len(cells) == 3  # rays by tile and block, sums by tile, old tiles by tile
+    assert "cell" not in "".join(cells)
