@@ -9,8 +9,8 @@ group is named, and neutral mentions are not taken for abuse.
 
 from __future__ import annotations
 
-import json
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -78,29 +78,35 @@ def fit(docs: DataFrame, labels: DataFrame, learn_from: Column, sample_rows: int
     labels is toxic if one of them says so. Without rows of both kinds the model
     is its bias alone.
     """
-    marks = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
-    known = docs.where(learn_from).select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(marks, "doc_id")
-    sizes = {r["toxic"]: r["n"] for r in docs.where(learn_from).select("doc_id").join(marks, "doc_id").groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    marks = (labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").where(learn_from)
+             .groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic")))
+    sizes = {r["toxic"]: r["n"] for r in marks.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     if not sizes.get(0) or not sizes.get(1):
         return Model(bias=2.0 if sizes.get(1) else -2.0)
     shares = {1: min(1.0, sample_rows / 3 / sizes[1]), 0: min(1.0, sample_rows / 1.5 / sizes[0])}
     share = F.when(F.col("toxic") == 1, shares[1]).otherwise(shares[0])
-
-    @F.arrow_udf("struct<own: array<string>, swaps: array<struct<takes: array<string>, gives: array<string>>>>")
-    def read(text: pa.Array) -> pa.Array:
-        rows = [(sorted(features(t)), swapped(t)) for t in text.to_pylist()]
-        kind = pa.struct([("own", pa.list_(pa.string())), ("swaps", pa.list_(pa.struct([("takes", pa.list_(pa.string())), ("gives", pa.list_(pa.string()))])))])
-        return pa.array([{"own": own, "swaps": [{"takes": a, "gives": b} for a, b in swaps]} for own, swaps in rows], kind)
-
-    sample = stored(known.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1_000_000)) < share * 1_000_000)
-                    .select("toxic", read("text").alias("r")).select("toxic", "r.own", "r.swaps"), "labelled")
+    # ids are drawn before texts are read: about sample_rows of them, so that they can be sent to all tasks
+    drawn_ids = marks.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share * 1_000_000)
+    known = (docs.where(learn_from).select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+             .join(F.broadcast(drawn_ids), "doc_id"))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            by = (Counter(), Counter())
+            for toxic, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                by[toxic].update(features(text.as_py()))
+            names = sorted(by[0].keys() | by[1].keys())
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([by[1][f] for f in names], pa.int64()),
+                                              pa.array([by[0][f] for f in names], pa.int64())], names=["feature", "t", "c"])
+
+    sample = stored(known.select("toxic", "text"), "labelled")
     drawn = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     if not drawn.get(0) or not drawn.get(1):
         return Model(bias=float(np.log(sizes[1] / sizes[0])))
     t, c = F.col("t") / drawn[1], F.col("c") / drawn[0]
     both = (F.col("t") + F.col("c")) / (drawn[0] + drawn[1])
-    best = (sample.select("toxic", F.explode("own").alias("feature")).groupBy("feature")
-            .agg(F.sum("toxic").cast("double").alias("t"), F.sum(1 - F.col("toxic")).cast("double").alias("c"))
+    best = (sample.mapInArrow(count, "feature string, t long, c long").groupBy("feature")
+            .agg(F.sum("t").cast("double").alias("t"), F.sum("c").cast("double").alias("c"))
             .where("t + c >= 5").withColumn("chi", (t - c) * (t - c) / (both * (1.001 - both)))
             .orderBy(F.desc("chi"), "feature").limit(max_features).select("feature"))
     names = [r[0] for r in best.collect()]
@@ -108,15 +114,25 @@ def fit(docs: DataFrame, labels: DataFrame, learn_from: Column, sample_rows: int
         names += [f for w in group for f in word_features(w)]
     names = list(dict.fromkeys(names))
     index = {f: i for i, f in enumerate(names)}
-    kept = F.from_json(F.lit(json.dumps(names)), "array<string>")
-    rows = sample.select("toxic", F.array_intersect("own", kept).alias("own"), "swaps").toLocalIterator()
+
+    kind = pa.struct([("own", pa.list_(pa.int32())), ("takes", pa.list_(pa.list_(pa.int32()))), ("gives", pa.list_(pa.list_(pa.int32())))])
+
+    @F.arrow_udf("struct<own: array<int>, takes: array<array<int>>, gives: array<array<int>>>")
+    def read(text: pa.Array) -> pa.Array:
+        out = []
+        for t in text.to_pylist():
+            swaps = swapped(t)
+            out.append({"own": sorted(index[f] for f in features(t) if f in index),
+                        "takes": [[index[f] for f in a if f in index] for a, _ in swaps],
+                        "gives": [[index[f] for f in b if f in index] for _, b in swaps]})
+        return pa.array(out, kind)
+
     own, toxic, takes, gives = [], [], [], []
-    for r in rows:
-        own.append([index[f] for f in r["own"]])
+    for r in sample.select("toxic", read("text").alias("r")).select("toxic", "r.*").toLocalIterator():
+        own.append(r["own"])
         toxic.append(r["toxic"])
-        for s in r["swaps"]:
-            takes.append([index[f] for f in s["takes"] if f in index])
-            gives.append([index[f] for f in s["gives"] if f in index])
+        takes += r["takes"]
+        gives += r["gives"]
     y = np.array(toxic, float)
     heft = np.where(y == 1, 1 / drawn[1], 1 / drawn[0])
     bias, weights = train(own, y, heft / heft.sum(), takes, gives, len(names), penalty)
