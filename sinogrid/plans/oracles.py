@@ -238,7 +238,9 @@ def all_oracles() -> dict[str, str]:
     q["sink_kv_csv"] = f"WITH {KV}, {CHECKSUMS} SELECT key, val, checksum, count(*) AS n FROM kv JOIN sums USING (key) GROUP BY ALL"
     q["sink_iterations"] = f"""WITH {FRAMES} SELECT lpad(projection_id::VARCHAR, 6, '0') AS iteration, count(DISTINCT row_id) AS row_ids,
  CAST(sum(len(ray)) AS BIGINT) AS samples, {r(f"sum({list_total('ray')})")} AS total FROM frames GROUP BY projection_id"""
-    q["stream_kv_reroute"] = q["stream_kv_interleave"] = q["sink_kv_csv"]
+    for job in ("forward", "shuffle", "reroute", "interleave"):
+        q[f"stream_kv_{job}"] = q["sink_kv_csv"]
+    q["stream_kv_broadcast"] = q["sink_kv_csv"].replace("count(*) AS n", "4 * count(*) AS n")
     q["upper_map"] = "SELECT event_id, upper(event_type) AS event_type FROM events"
     q["split_rows_even"] = f"""WITH {IMAGES}, parts AS (SELECT * FROM (VALUES (0, 0, 3), (1, 3, 3), (2, 6, 2)) p(part, row_offset, nrows))
  SELECT seq, part, row_offset, nrows AS rows, nrows * 8 AS samples,
@@ -344,6 +346,8 @@ def all_oracles() -> dict[str, str]:
     q["processed_counts"] = f"WITH {ARRIVALS} SELECT row_id, count(*) AS processed FROM arrivals GROUP BY row_id"
     q["progress_snapshot"] = f"""WITH {ARRIVALS} SELECT row_id, max(seq) AS last_seq, count(*) AS nmsgs, 1 AS version, 'events' AS input
  FROM arrivals GROUP BY row_id"""
+    q["progress_json"] = f"""WITH {ARRIVALS} SELECT row_id, to_json({{'row_id': row_id, 'last_seq': max(seq), 'nmsgs': count(*), 'version': 1,
+ 'input': 'events'}})::VARCHAR AS json FROM arrivals GROUP BY row_id"""
     secs = "((epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6::DOUBLE)"
     mib = "(sum(strlen(props)) / 1048576::DOUBLE)"
     q["throughput_stats"] = f"""SELECT event_type, count(*) AS messages, {r(mib)} AS mib, {r(secs)} AS seconds,

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from dataclasses import replace
 
 from pyspark.sql import DataFrame
@@ -567,40 +566,73 @@ def after_fin_filter(spark, d):
 # -- streams ----------------------------------------------------------------
 # A given table is the stream; the query runs until all of it is taken in.
 
-def _stream(spark, d, name):
-    schema = views.table(spark, d, name).schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(d)
+BATCHES = 3
+
+
+def _in_batches(src, order, start):
+    """Hand the rows of `src` to a stream in BATCHES parts by `order`; it is started anew, from its checkpoint, for each.
+
+    `start` takes the streaming table and gives the started query, which ends
+    when it has read what is there.
+    """
+    spark, schema = src.sparkSession, src.schema
+    folder = scratch.new_folder(spark, "stream-source")
+    low, high = src.agg(F.min(order), F.max(order)).first()
+    cuts = [low + (high + 1 - low) * k // BATCHES for k in range(BATCHES + 1)]
+    for begin, end in zip(cuts, cuts[1:]):
+        src.where((F.col(order) >= begin) & (F.col(order) < end)).write.mode("append").parquet(folder)
+        start(spark.readStream.schema(schema).parquet(folder)).awaitTermination()
 
 
 @query
 def stream_count_windows(spark, d):
-    rows = _stream(spark, d, "events").selectExpr("user_id AS row_id", "event_id AS seq")
-    root = scratch.new_folder(spark, "windows")
-    streams.start_count_windows(rows, WINDOW, STEP, root, scratch.new_folder(spark, "windows-progress"),
-                                available_now=True).awaitTermination()
+    src = views.table(spark, d, "events").selectExpr("user_id AS row_id", "event_id AS seq")
+    root, progress = scratch.new_folder(spark, "windows"), scratch.new_folder(spark, "windows-progress")
+    _in_batches(src, "seq", lambda rows: streams.start_count_windows(rows, WINDOW, STEP, root, progress, available_now=True))
     return streams.fired_windows(spark, root)
 
 
 @query
 def stateful_count_windows(spark, d):
     """The same with the windows of a key in the state store."""
-    rows = _stream(spark, d, "events").selectExpr("user_id AS row_id", "event_id AS seq")
-    out, path = streams.stateful_count_windows(rows, WINDOW, STEP), scratch.new_folder(spark, "state")
-    (out.writeStream.format("parquet").option("path", path)
-     .option("checkpointLocation", scratch.new_folder(spark, "state-progress"))
-     .trigger(availableNow=True).start().awaitTermination())
-    return spark.read.schema(out.schema).parquet(path)
+    src = views.table(spark, d, "events").selectExpr("user_id AS row_id", "event_id AS seq")
+    path, progress = scratch.new_folder(spark, "state"), scratch.new_folder(spark, "state-progress")
+    schema = []
+
+    def start(rows):
+        out = streams.stateful_count_windows(rows, WINDOW, STEP)
+        schema.append(out.schema)
+        return (out.writeStream.format("parquet").option("path", path).option("checkpointLocation", progress)
+                .trigger(availableNow=True).start())
+
+    _in_batches(src, "seq", start)
+    return spark.read.schema(schema[0]).parquet(path)
 
 
 def _stream_kv(spark, d, job):
-    rows = _stream(spark, d, "events").selectExpr(
-        "event_id AS seq", "concat('key', user_id % 20) AS key", "cast(floor(value) AS INT) % 10 AS val")
-    path = scratch.new_folder(spark, "kv-stream")
-    stream_kv.start(spark, job, KvConfig(sinkParallelism=TARGETS), path, source=rows,
-                    available_now=True).awaitTermination()
+    src = views.kv(spark, d)
+    path, progress = scratch.new_folder(spark, "kv-stream"), scratch.new_folder(spark, "kv-progress")
+    _in_batches(src, "seq", lambda rows: stream_kv.start(
+        spark, job, KvConfig(sinkParallelism=TARGETS), path, progress, source=rows, available_now=True))
     return stream_kv.read_output(spark, job, path).groupBy("key", "val", "checksum").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query
+def stream_kv_forward(spark, d):
+    return _stream_kv(spark, d, kv_jobs.FORWARD)
+
+
+@query
+def stream_kv_shuffle(spark, d):
+    return _stream_kv(spark, d, kv_jobs.SHUFFLE)
+
+
+@query
+def stream_kv_broadcast(spark, d):
+    """Every record once for each target."""
+    return _stream_kv(spark, d, kv_jobs.BROADCAST)
+
+
 @query
 def stream_kv_reroute(spark, d):
     return _stream_kv(spark, d, kv_jobs.REROUTE)
@@ -613,12 +645,10 @@ def stream_kv_interleave(spark, d):
 
 @query
 def stream_reconstruct(spark, d):
-    step = math.pi / views.frames_per_row(spark, d)
-    rows = _stream(spark, d, "embeddings").selectExpr(*views.frame_columns(step)).select(
-        "row_id", "seq", "theta", "center", "ray")
+    src = views.frames(spark, d).select("row_id", "seq", "theta", "center", "ray")
     cfg = replace(SIRT, num_sinograms=views.ROWS)
-    root = scratch.new_folder(spark, "recon-stream")
-    stream_tomo.start(rows, cfg, root, scratch.new_folder(spark, "recon-progress"), True).awaitTermination()
+    root, progress = scratch.new_folder(spark, "recon-stream"), scratch.new_folder(spark, "recon-progress")
+    _in_batches(src, "seq", lambda rows: stream_tomo.start(rows, cfg, root, progress, True))
     images = stream_tomo.Reconstruction(spark, root, cfg).iterations()
     return sirt.image_pixels(images, NX, cfg.tile).selectExpr("row_id", "iteration", "pix", *_round("val"))
 
@@ -635,6 +665,11 @@ def progress_snapshot(spark, d):
     return stats.progress_snapshot(views.arrivals(spark, d), "events")
 
 
+@query
+def progress_json(spark, d):
+    return stats.progress_json(stats.progress_snapshot(views.arrivals(spark, d), "events")).select("row_id", "json")
+
+
 @query
 def throughput_stats(spark, d):
     rows = views.table(spark, d, "events")
