@@ -19,6 +19,10 @@ from sinogrid import scratch
 _AGG = {"sum": F.sum, "max": F.max, "min": F.min}
 
 
+# Blocks whose totals are summed in one task where there are no keys.
+BLOCKS = 1024
+
+
 @dataclass(frozen=True)
 class Running:
     """A running `kind` (sum, max, min) of `value`, with or without the own row."""
@@ -62,15 +66,10 @@ def running(df: DataFrame, keys: list[str], order: list[str], block: Column | No
 
     totals = rows.groupBy(*group).agg(
         *[_AGG[r.kind](r.value).alias(f"_t_{name}") for name, r in outs.items()])
-    before = Window.partitionBy(*keys).orderBy(blk).rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy(*keys)
-    carried = []
-    for name, r in outs.items():
-        agg = _AGG[r.kind]
-        carried.append(agg(f"_t_{name}").over(before).alias(f"_c_{name}"))
-        if r.total:
-            carried.append(agg(f"_t_{name}").over(whole).alias(r.total))
-    carry = totals.select(*group, *carried)
+    if not keys:
+        carry = _carried_without_keys(totals, outs)
+    else:
+        carry = _carried(totals, keys, outs)
 
     inside = Window.partitionBy(*group).orderBy(*order)
     for name, r in outs.items():
@@ -82,6 +81,29 @@ def running(df: DataFrame, keys: list[str], order: list[str], block: Column | No
     return rows.drop(blk, *[f"_c_{name}" for name in outs])
 
 
+def _carried(totals: DataFrame, keys: list[str], outs: dict[str, Running]) -> DataFrame:
+    """For each key and block what the key's earlier blocks hold: a window over block totals."""
+    before = Window.partitionBy(*keys).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy(*keys)
+    carried = []
+    for name, r in outs.items():
+        agg = _AGG[r.kind]
+        carried.append(agg(f"_t_{name}").over(before).alias(f"_c_{name}"))
+        if r.total:
+            carried.append(agg(f"_t_{name}").over(whole).alias(r.total))
+    return totals.select(*keys, "_blk", *carried)
+
+
+def _carried_without_keys(totals: DataFrame, outs: dict[str, Running]) -> DataFrame:
+    """The same when all rows are one sequence: its blocks are put into blocks in turn, so that no task sees all their totals."""
+    if any(r.total for r in outs.values()):
+        raise ValueError("a total needs keys")
+    line = totals.select(F.lit(0).alias("_all"), F.col("_blk").alias("_at"), *[f"_t_{name}" for name in outs])
+    sums = {f"_c_{name}": Running(F.col(f"_t_{name}"), r.kind, own_row=False) for name, r in outs.items()}
+    done = running(line, ["_all"], ["_at"], block_of(F.col("_at"), BLOCKS), sums)
+    return done.select(F.col("_at").alias("_blk"), *sums)
+
+
 def _combine(kind: str, here: Column, before: Column) -> Column:
     if kind == "sum":
         return F.coalesce(here, F.lit(0)) + F.coalesce(before, F.lit(0))
