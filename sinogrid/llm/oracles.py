@@ -38,5 +38,47 @@ SELECT page_id, kind AS record_type, {_uuid("kind || chr(10) || source_id")} AS
  strlen(content)::BIGINT AS content_length, content FROM derived"""
 
 
+def _cell(text: str, bits: int = 16) -> str:
+    return f"(('0x' || substr(md5({text}), 1, 8))::BIGINT >> {32 - bits})"
+
+
+def _ring(shards: int = 24, vnodes: int = 128) -> str:
+    """Every key finds its place by its own rank; the Spark query joins pieces of cells instead."""
+    before = "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
+
+    def share(amount: str, weight: str) -> str:
+        by = "PARTITION BY shard ORDER BY cell"
+        return (f"CASE WHEN sum({weight}) OVER (PARTITION BY shard) = 0 THEN 0 ELSE {amount} * sum({weight}) OVER ({by}) // sum({weight}) OVER (PARTITION BY shard)"
+                f" - {amount} * coalesce(sum({weight}) OVER ({by} {before}), 0) // sum({weight}) OVER (PARTITION BY shard) END")
+
+    step = "CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END"
+    return f"""
+WITH crc AS (SELECT list(list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda a, x: {step}) ORDER BY i) AS t FROM range(0, 256) r(i)),
+hexed AS (SELECT doc_id, strlen(coalesce(text, '')) + 8 AS size, [('0x' || x)::BIGINT FOR x IN regexp_extract_all(hex(encode(coalesce(text, ''))), '..')] AS b FROM documents),
+doc AS (SELECT doc_id, size, xor(list_reduce(list_prepend(4294967295, b), lambda c, y: xor(c >> 8, t[(xor(c, y) & 255) + 1])), 4294967295) AS text_crc32 FROM hexed, crc),
+keyed AS (SELECT *, {_cell("coalesce(doc_id::VARCHAR, '')")} AS cell FROM doc),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY cell ORDER BY doc_id, text_crc32, size) - 1 AS rank FROM keyed),
+point AS (SELECT cell, shard, row_number() OVER (ORDER BY cell, shard, replica) AS v FROM (SELECT s AS shard, r AS replica,
+ {_cell("'shard-' || s || '-' || r")} AS cell FROM range(0, {shards}) a(s), range(0, {vnodes}) b(r))),
+first_at AS (SELECT cell, arg_min(shard, v) AS shard FROM point GROUP BY cell),
+ring AS (SELECT c AS cell, coalesce(shard, (SELECT arg_min(shard, cell) FROM first_at)) AS shard FROM range(0, 65536) r(c) ASOF LEFT JOIN first_at f ON c <= f.cell),
+loaded AS (SELECT ring.cell, shard, count(rank)::HUGEINT AS n FROM ring LEFT JOIN ranked USING (cell) GROUP BY ALL),
+homes AS (SELECT *, 1 AS one, sum(n) OVER (PARTITION BY shard) AS home,
+ (SELECT count(*) FROM doc) // {shards} + CASE WHEN shard < (SELECT count(*) FROM doc) % {shards} THEN 1 ELSE 0 END AS cap FROM loaded),
+flow AS (SELECT *, {share("greatest(home - cap, 0)", "n")} AS surplus, {share("greatest(cap - home, 0)", "one")} AS room FROM homes),
+walk AS (SELECT *, sum(surplus - room) OVER (ORDER BY cell) AS s FROM flow),
+turned AS (SELECT *, CASE WHEN cell > (SELECT arg_min(cell, (s, cell)) FROM walk) THEN 0 ELSE 1 END AS turn FROM flow),
+again AS (SELECT *, sum(surplus - room) OVER (ORDER BY turn, cell) AS s FROM turned),
+way AS (SELECT *, s - least(0, min(s) OVER (ORDER BY turn, cell)) AS under_way FROM again),
+use AS (SELECT *, coalesce(lag(under_way) OVER (ORDER BY turn, cell), 0) + surplus - under_way AS used FROM way),
+place AS (SELECT *, coalesce(sum(surplus) OVER (ORDER BY turn, cell {before}), 0) AS surplus_from, coalesce(sum(used) OVER (ORDER BY turn, cell {before}), 0) AS place_from,
+ coalesce(sum(n - surplus + used) OVER (PARTITION BY shard ORDER BY cell {before}), 0) AS slot_from FROM use),
+stay AS (SELECT r.*, p.shard, p.slot_from + rank AS slot FROM ranked r JOIN place p USING (cell) WHERE rank < n - surplus),
+go AS (SELECT r.*, p.surplus_from + rank - (n - surplus) AS k FROM ranked r JOIN place p USING (cell) WHERE rank >= n - surplus),
+went AS (SELECT g.*, t.shard, t.slot_from + (t.n - t.surplus) + k - t.place_from AS slot FROM go g ASOF JOIN (SELECT * FROM place WHERE used > 0) t ON g.k >= t.place_from)
+SELECT doc_id, size::BIGINT AS size, text_crc32::BIGINT AS text_crc32, 'rows' AS law, shard::INTEGER AS shard, slot::BIGINT AS slot, NULL::INTEGER AS grown_shard
+FROM (SELECT doc_id, size, text_crc32, shard, slot FROM stay UNION ALL SELECT doc_id, size, text_crc32, shard, slot FROM went)"""
+
+
 def all_oracles() -> dict[str, str]:
-    return {"op2_warc_derivatives": _warc()}
+    return {"op2_warc_derivatives": _warc(), "op8_ring_shards": _ring()}
