@@ -25,10 +25,10 @@ def main(folder, names):
             continue
         start = time.time()
         try:
-            problem = check(fn(spark, folder), con, sql[name])
+            problem = check(fn(spark, folder), con, sql[name]) if name in sql else f"no SQL, {fn(spark, folder).count()} rows"
         except Exception as error:  # one failing query must not hide the others
             problem = f"{type(error).__name__}: {str(error)[:400]}"
-        bad += problem is not None
+        bad += problem is not None and not problem.startswith("no SQL")
         print(f"{name:24s} {time.time() - start:6.1f}s  {problem or 'ok'}", flush=True)
     print("failed:", bad)
 

