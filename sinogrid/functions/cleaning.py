@@ -7,8 +7,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Fixed value: smallest allowed difference of white and dark level.
 MIN_RANGE = 1e-6
@@ -23,9 +26,36 @@ def on_ray(ray: Column, rule: Callable[[Column], Column]) -> Column:
     return F.transform(ray, rule)
 
 
-def to_float_ray(payload: Column) -> Column:
-    """Unsigned 8/16-bit or float samples as float32."""
-    return payload.cast("array<float>")
+# Sample kinds of a payload and their little-endian layout.
+LAYOUT = {"uint8": "<u1", "uint16": "<u2", "float32": "<f4"}
+
+
+def _from_bytes(kind: str):
+    @F.arrow_udf("array<float>")
+    def read(payload: pa.Array) -> pa.Array:
+        width = np.dtype(LAYOUT[kind]).itemsize
+        rows = [None if b is None or len(b) % width else np.frombuffer(b, LAYOUT[kind]).astype(np.float32) for b in payload.to_pylist()]
+        return pa.array(rows, pa.list_(pa.float32()))
+
+    return read
+
+
+def to_float_ray(df: DataFrame, column: str, kind: str) -> DataFrame:
+    """`df` with the payload `column` read as samples of `kind`, as float32.
+
+    Bytes are cut into little-endian samples; a length that is no whole number
+    of them gives NULL. Signed integers hold the bits of unsigned ones. Samples
+    that are floats already stay as they are.
+    """
+    held, payload = df.schema[column].dataType, F.col(column)
+    if isinstance(held, T.BinaryType):
+        ray = _from_bytes(kind)(payload)
+    elif kind != "float32" and isinstance(held.elementType, T.IntegralType):
+        mask = F.lit(255 if kind == "uint8" else 65535)
+        ray = F.transform(payload, lambda x: x.cast("int").bitwiseAND(mask).cast("float"))
+    else:
+        ray = payload.cast("array<float>")
+    return df.withColumn(column, ray)
 
 
 def flat_dark(x: Column, white: Column, dark: Column) -> Column:

@@ -80,8 +80,9 @@ def normalize(frames: DataFrame, block_width: int = BLOCK) -> DataFrame:
 
 def calibrate(frames: DataFrame, cfg: TomoConfig) -> DataFrame:
     """The cleaning steps that `cfg` switches on; only projections go on."""
-    if cfg.uint8_to_float32 or cfg.uint16_to_float32 or cfg.cast_to_float32:
-        frames = frames.withColumn("ray", cleaning.to_float_ray(F.col("ray")))
+    kind = "uint8" if cfg.uint8_to_float32 else "uint16" if cfg.uint16_to_float32 else "float32" if cfg.cast_to_float32 else None
+    if kind:
+        frames = cleaning.to_float_ray(frames, "ray", kind)
     if cfg.normalize:
         rows = normalize(frames, cfg.rank_block)
     else:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sinogrid.functions.cleaning import INF
 from sinogrid.functions.geometry import frame_center
@@ -103,9 +104,12 @@ def checked(rows: DataFrame, nx: int = 0, checksum: bool = False) -> tuple[DataF
     for name in REQUIRED:
         if name in rows.columns:
             missing = missing | F.col(name).isNull()
-    size = F.coalesce(F.size("ray"), F.lit(0))
+    as_bytes = isinstance(rows.schema["ray"].dataType, T.BinaryType)
+    size = F.coalesce(F.octet_length("ray") if as_bytes else F.size("ray"), F.lit(0))
     reason = F.when(missing, "missing field").when(size <= 0, "empty payload")
-    if nx:
+    if nx and as_bytes:
+        reason = reason.when((size < nx) | (size % nx != 0), "wrong length")
+    elif nx:
         reason = reason.when(size != nx, "wrong length")
     columns = rows.columns
     if checksum and "checksum" in columns:

@@ -256,8 +256,9 @@ def all_oracles() -> dict[str, str]:
     q["validate_strict"] = f"WITH {FRAMES} SELECT row_id, seq, {fnv_floats('ray')} AS checksum FROM frames"
     q["job_rejects"] = f"""WITH {BAD} SELECT CASE m WHEN 0 THEN 'missing field' WHEN 1 THEN 'wrong length' WHEN 2 THEN 'empty payload'
  WHEN 3 THEN 'wrong checksum' ELSE 'ok' END AS reason, count(*) AS n, CAST(sum(len(ray)) AS BIGINT) AS samples FROM bad GROUP BY ALL"""
-    q["reinterpret"] = f"""WITH {FRAMES} SELECT row_id, seq, pix, trunc(abs(x::DOUBLE) * 100) AS u8,
- trunc(abs(x::DOUBLE) * 100) * 256 AS u16, x::DOUBLE AS f32 FROM ({long_frames})"""
+    byte, word = "(floor(abs(x::DOUBLE) * 1000)::BIGINT % 256)::DOUBLE", "(floor(abs(x::DOUBLE) * 100000)::BIGINT % 65536)::DOUBLE"
+    q["reinterpret"] = f"""WITH {FRAMES} SELECT row_id, seq, pix, {byte} AS u8, {word} AS u16, {byte} AS s8, x::DOUBLE AS f32
+ FROM ({long_frames})"""
     q["calibration_sets"] = f"WITH {CALIB}, {MEANS} SELECT row_id, set, seq, pix, {r('mean')} AS mean FROM sets"
     q["normalize"] = f"WITH {NORMALIZED} SELECT row_id, seq, pix, {r('x')} AS x FROM normal"
     log = "CASE WHEN x > 0 THEN -ln(x) ELSE 0 END"

@@ -240,12 +240,16 @@ def verify_checksum(spark, d):
 
 @query
 def reinterpret(spark, d):
-    """8-bit, 16-bit and float payloads as float samples."""
-    raw = _pixels(views.frames(spark, d), ["row_id", "seq"])
-    raw = raw.selectExpr("row_id", "seq", "pix", "cast(abs(cast(x AS DOUBLE)) * 100 AS INT) AS v", "x")
-    wrapped = raw.selectExpr("row_id", "seq", "pix", "array(cast(v AS SMALLINT)) AS u8", "array(v * 256) AS u16", "array(x) AS f32")
-    return wrapped.select("row_id", "seq", "pix", *[
-        cleaning.to_float_ray(F.col(c))[0].cast("double").alias(c) for c in ("u8", "u16", "f32")])
+    """8-bit and 16-bit samples from bytes, 8-bit ones from signed numbers, and floats, all as float samples."""
+    byte, word = "cast(floor(abs(cast(x AS DOUBLE)) * 1000) AS BIGINT) % 256", "cast(floor(abs(cast(x AS DOUBLE)) * 100000) AS BIGINT) % 65536"
+    raw = views.frames(spark, d).selectExpr(
+        "row_id", "seq", f"unhex(array_join(transform(ray, x -> lpad(hex({byte}), 2, '0')), '')) AS u8",
+        f"unhex(array_join(transform(ray, x -> lpad(hex(({word}) % 256), 2, '0') || lpad(hex(({word}) div 256), 2, '0')), '')) AS u16",
+        f"transform(ray, x -> cast(IF({byte} > 127, {byte} - 256, {byte}) AS TINYINT)) AS s8", "ray AS f32")
+    for column, kind in (("u8", "uint8"), ("u16", "uint16"), ("s8", "uint8"), ("f32", "float32")):
+        raw = cleaning.to_float_ray(raw, column, kind)
+    return raw.selectExpr("row_id", "seq", "posexplode(arrays_zip(u8, u16, s8, f32)) AS (pix, v)").selectExpr(
+        "row_id", "seq", "pix", *[f"cast(v.{c} AS DOUBLE) AS {c}" for c in ("u8", "u16", "s8", "f32")])
 
 
 @query

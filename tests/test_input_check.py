@@ -48,3 +48,17 @@ def test_false_checksums_are_rejected_whether_or_not_a_length_is_given(spark, tm
 def test_a_stream_needs_the_number_of_rows(spark, tmp_path):
     with pytest.raises(ValueError, match="num_sinograms"):
         Reconstruction(spark, str(tmp_path), TomoConfig())
+
+
+def test_byte_payloads(spark):
+    from sinogrid.functions.cleaning import to_float_ray
+
+    rows = spark.createDataFrame([(1, bytearray([200, 1, 255, 255])), (2, bytearray([7])), (3, None)], "seq BIGINT, ray BINARY")
+    got = {k: [r.ray for r in to_float_ray(rows, "ray", k).orderBy("seq").collect()] for k in ("uint8", "uint16", "float32")}
+    assert got["uint8"] == [[200.0, 1.0, 255.0, 255.0], [7.0], None]
+    assert got["uint16"] == [[456.0, 65535.0], None, None]
+    assert [r is None for r in got["float32"]] == [False, True, True]
+    signed = spark.createDataFrame([([-56, 5],)], "ray ARRAY<TINYINT>")
+    assert to_float_ray(signed, "ray", "uint8").first().ray == [200.0, 5.0]
+    usable, rejected = records.checked(rows.selectExpr("seq", "ray"), 2)
+    assert [r.seq for r in usable.collect()] == [1] and {r.reason for r in rejected.collect()} == {"wrong length", "empty payload"}
