@@ -35,13 +35,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sinogrid.llm.tables import NO_ID, stored, texts
+from sinogrid.llm.tables import NO_ID, discarded, kept, texts
 
 _MAP_BITS = 26
 _FACTOR = 0x9E3779B97F4A7C15
 #: one 64-bit word for each byte value
 _WORDS = np.frombuffer(b"".join(hashlib.blake2b(bytes([b]), digest_size=8).digest() for b in range(256)), np.uint64)
 _CHUNK = 1 << 19
+_ROWS_AT_ONCE = 20_000
 
 
 def suffix_array(symbols: np.ndarray) -> np.ndarray:
@@ -124,28 +125,56 @@ def suffix_array(symbols: np.ndarray) -> np.ndarray:
     return np.array(out, dtype=np.int64)
 
 
-def repeated_windows(contexts: list[bytes], length: int) -> np.ndarray:
-    """For all windows of all contexts, one after the other: whether an earlier context (or place in it) has an equal window."""
-    sizes = np.array([len(c) for c in contexts])
-    starts = np.concatenate([[0], np.cumsum(sizes + 1)])[:-1]
-    raw = np.frombuffer(b"\0".join(contexts) + b"\0", np.uint8)
-    symbols = raw.astype(np.int64) + 2
-    symbols[starts + sizes] = 1  # between contexts
+def repeated_windows(contexts: list[bytes], places: list[int], length: int) -> np.ndarray:
+    """For all windows of all contexts, one after the other: whether an earlier context has an equal window.
+
+    `places` are those of the anchors in the contexts. Equal windows have their
+    anchors at equal places, so the contexts are read as words of 8 bytes counted
+    from there, and suffixes of words are sorted. A window holds at least
+    (length - 7) // 8 whole words; those that agree in them are told apart by
+    their remaining bytes at both ends.
+    """
+    core = (length - 7) // 8
+    sizes, places_ = np.array([len(c) for c in contexts]), np.array(places)
+    skip = places_ % 8  # bytes before the first whole word
+    words = (sizes - skip) // 8
+    raw = np.frombuffer(b"".join(contexts) + b"\0" * 8, np.uint8)
+    starts = np.concatenate([[0], np.cumsum(sizes)])[:-1]
+    texts_at = np.concatenate([[0], np.cumsum(words + 1)])
+    within = np.arange(texts_at[-1]) - np.repeat(texts_at[:-1], words + 1)
+    real = within < np.repeat(words, words + 1)
+    at = (np.repeat(starts + skip, words + 1) + 8 * within)[real]
+    values = raw[at[:, None] + np.arange(8)].view(np.uint64)[:, 0]
+    symbols = np.ones(texts_at[-1] + 1, np.int64)  # 1 between contexts
+    symbols[:-1][real] = np.unique(values, return_inverse=True)[1] + 2
     symbols[-1] = 0
-    windows = np.concatenate([np.arange(a, a + n - length + 1) for a, n in zip(starts.tolist(), sizes.tolist())])
-    number = np.full(len(raw), -1, np.int64)
-    number[windows] = np.arange(len(windows))
-    ranked = number[suffix_array(symbols)]
-    ranked = ranked[ranked >= 0]
-    views = np.lib.stride_tricks.sliding_window_view(raw, length)
-    same = np.zeros(len(ranked), bool)
-    for at in range(1, len(ranked), 1 << 16):
-        upto = min(len(ranked), at + (1 << 16))
-        same[at:upto] = (views[windows[ranked[at:upto]]] == views[windows[ranked[at - 1:upto - 1]]]).all(axis=1)
-    begin = np.nonzero(~same)[0]
-    out = np.ones(len(windows), bool)
-    if len(begin):
-        out[np.minimum.reduceat(ranked, begin)] = False
+    # rank of the words that begin at each place: equal for equal runs of `core` words
+    order = suffix_array(symbols)
+    enough = np.zeros(len(symbols), bool)
+    enough[:-1] = within + core <= np.repeat(words, words + 1)
+    order = order[enough[order]]
+    views = np.lib.stride_tricks.sliding_window_view(np.append(symbols, np.zeros(core, np.int64)), core)
+    differs = np.ones(len(order), np.int64)
+    if len(order) > 1:
+        differs[1:] = (views[order[1:]] != views[order[:-1]]).any(axis=1)
+    group = np.full(len(symbols), -1, np.int64)
+    group[order] = np.cumsum(differs)
+    # windows: the run of whole words in each, and the bytes beside it
+    counts = sizes - length + 1
+    begin = np.arange(counts.sum()) - np.repeat(np.concatenate([[0], np.cumsum(counts)])[:-1], counts)
+    lead = (np.repeat(places_, counts) - begin) % 8
+    first = (begin + lead - np.repeat(skip, counts)) // 8 + np.repeat(texts_at[:-1], counts)
+    offset = np.repeat(starts, counts) + begin
+    rest = length - 8 * core
+    beside = np.arange(rest)[None, :] + np.where(np.arange(rest)[None, :] < lead[:, None], 0, 8 * core)
+    edge = np.zeros((len(begin), 16), np.uint8)
+    edge[:, :rest] = raw[offset[:, None] + beside]
+    ends = edge.view(np.uint64)
+    key = group[first] * 8 + lead
+    order = np.lexsort((np.arange(len(key)), ends[:, 1], ends[:, 0], key))
+    out = np.zeros(len(key), bool)
+    same = (key[order[1:]] == key[order[:-1]]) & (ends[order[1:]] == ends[order[:-1]]).all(axis=1)
+    out[order[1:][same]] = True
     return out
 
 
@@ -221,6 +250,23 @@ def _occurrence(g: int, tie: int, place: int) -> int:
     return xxhash.xxh3_64_intdigest(np.array([g, tie, place], np.uint64).tobytes())
 
 
+def _runs(ranges: DataFrame) -> DataFrame:
+    """Ranges of a document that touch or overlap as one."""
+    @F.arrow_udf("array<struct<lo: int, hi: int>>")
+    def joined(lo: pa.Array, hi: pa.Array) -> pa.Array:
+        out = []
+        for a, b in zip(lo, hi):
+            a, b = np.asarray(a.as_py(), np.int64), np.asarray(b.as_py(), np.int64)
+            order = np.argsort(a)
+            a, b = a[order], np.maximum.accumulate(b[order])
+            cut = np.concatenate([[True], a[1:] > b[:-1] + 1])
+            out.append([{"lo": x, "hi": y} for x, y in zip(a[cut].tolist(), b[np.append(cut[1:], True)].tolist())])
+        return pa.array(out, pa.list_(pa.struct([("lo", pa.int32()), ("hi", pa.int32())])))
+
+    lists = ranges.groupBy("id", "tie").agg(F.collect_list("lo").alias("lo"), F.collect_list("hi").alias("hi"))
+    return lists.select("id", "tie", F.explode(joined("lo", "hi")).alias("r")).select("id", "tie", "r.lo", "r.hi")
+
+
 def repeated(docs: DataFrame, length: int = 100, gram: int = 32, most: int = 2048) -> DataFrame:
     """(id, tie, lo, hi): runs of window starts of which each window also starts earlier.
 
@@ -233,12 +279,12 @@ def repeated(docs: DataFrame, length: int = 100, gram: int = 32, most: int = 204
             found = [anchors(t.as_py(), length, gram)[0] for t in batch.column(2)]
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64) if found else [], pa.int64())], names=["g"])
 
-    often = stored(docs.mapInArrow(counted, "g long").groupBy("g").agg(F.count("*").alias("n")).where("n > 1").select("g"), "grams")
+    often = kept(docs.mapInArrow(counted, "g long").groupBy("g").agg(F.count("*").alias("n")).where("n > 1").select("g"), "grams")
     shared = spark.sparkContext.broadcast(_bitmap(often, "g"))
 
     def classed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.frombuffer(shared.value, np.uint8)
-        kinds = [*_ID, ("g", pa.int64()), ("c", pa.int64()), ("lo", pa.int64()), ("hi", pa.int64())]
+        kinds = [*_ID, ("g", pa.int64()), ("c", pa.int64()), ("lo", pa.int32()), ("hi", pa.int32())]
         for batch in batches:
             out = []
             for id_, tie, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
@@ -247,58 +293,69 @@ def repeated(docs: DataFrame, length: int = 100, gram: int = 32, most: int = 204
                 at = np.nonzero(_has(seen, h))[0]
                 out += [(id_, tie, g, xxhash.xxh3_64_intdigest(data[lo:hi + length], a_ - lo) - 2**63, lo, hi)
                         for g, a_, lo, hi in zip(h[at].view(np.int64).tolist(), a[at].tolist(), s[at].tolist(), e[at].tolist())]
+                if len(out) > _ROWS_AT_ONCE:
+                    yield _batch(out, kinds)
+                    out = []
             yield _batch(out, kinds)
 
-    places = stored(docs.mapInArrow(classed, f"{_WHERE}, g long, c long, lo long, hi long"), "places")
-    firsts = stored(places.groupBy("g", "c").agg(F.min(F.struct("id", "tie", "lo")).alias("f"), F.count("*").alias("n")), "classes")
+    places = kept(docs.mapInArrow(classed, f"{_WHERE}, g long, c long, lo int, hi int"), "places")
+    firsts = kept(places.groupBy("g", "c").agg(F.min(F.struct("id", "tie", "lo")).alias("f"), F.count("*").alias("n")), "classes")
     copies = (places.join(firsts.where("n > 1").select("g", "c", "f"), ["g", "c"])
               .where("NOT (id = f.id AND tie = f.tie AND lo = f.lo)").select("id", "tie", "lo", "hi"))
+    copies = kept(_runs(copies), "copies")
     several = firsts.groupBy("g").agg(F.count("*").alias("classes")).where("classes > 1")
     open_ = firsts.join(several, "g").select("g", F.col("f.id").alias("id"), F.col("f.tie").alias("tie"), F.col("f.lo").alias("lo"), "classes")
-    open_ = stored(open_, "open")
+    open_ = kept(open_, "open")
+    for done in (often, places, firsts):
+        discarded(done)
 
     @F.arrow_udf("long")
     def named(g: pa.Array, tie: pa.Array, lo: pa.Array) -> pa.Array:
-        rows = zip(*(x.to_numpy(zero_copy_only=False).view(np.uint64).tolist() for x in (g, tie, lo)))
+        rows = zip(*(x.cast(pa.int64()).to_numpy(zero_copy_only=False).view(np.uint64).tolist() for x in (g, tie, lo)))
         return pa.array(np.array([_occurrence(*r) for r in rows], np.uint64).view(np.int64), pa.int64())
 
     wanted = spark.sparkContext.broadcast(_bitmap(open_.select(named("g", "tie", "lo").alias("o")), "o"))
 
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, need = np.frombuffer(shared.value, np.uint8), np.frombuffer(wanted.value, np.uint8)
-        kinds = [*_ID, ("g", pa.int64()), ("lo", pa.int64()), ("data", pa.binary())]
+        kinds = [*_ID, ("g", pa.int64()), ("lo", pa.int32()), ("place", pa.int32()), ("data", pa.binary())]
         for batch in batches:
             out = []
             for id_, tie, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
                 data = text.as_py()
-                h, _, s, e = anchors(data, length, gram)
+                h, a, s, e = anchors(data, length, gram)
                 at = np.nonzero(_has(seen, h))[0]
                 if len(at):
                     names = np.array([_occurrence(g, tie % 2**64, lo) for g, lo in zip(h[at].tolist(), s[at].tolist())], np.uint64)
                     at = at[_has(need, names)]
-                    out += [(id_, tie, g, lo, data[lo:hi + length]) for g, lo, hi in zip(h[at].view(np.int64).tolist(), s[at].tolist(), e[at].tolist())]
+                    out += [(id_, tie, g, lo, place - lo, data[lo:hi + length]) for g, place, lo, hi in
+                            zip(h[at].view(np.int64).tolist(), a[at].tolist(), s[at].tolist(), e[at].tolist())]
+                if len(out) > _ROWS_AT_ONCE:
+                    yield _batch(out, kinds)
+                    out = []
             yield _batch(out, kinds)
 
-    met = docs.mapInArrow(contexts, f"{_WHERE}, g long, lo long, data binary").join(open_, ["g", "id", "tie", "lo"]).dropDuplicates(["g", "id", "tie", "lo"])
-    met = stored(met, "contexts")
+    met = docs.mapInArrow(contexts, f"{_WHERE}, g long, lo int, place int, data binary").join(open_, ["g", "id", "tie", "lo"]).dropDuplicates(["g", "id", "tie", "lo"])
+    met = kept(met, "contexts")
+    discarded(open_)
 
     def sorted_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, volume, last = [], 0, None
 
         def runs() -> pa.RecordBatch:
             out = []
-            again = repeated_windows([d for *_, d in held], length)
+            again = repeated_windows([x[-1] for x in held], [x[-2] for x in held], length)
             at = 0
-            for id_, tie, lo, data in held:
+            for id_, tie, lo, _, data in held:
                 n = len(data) - length + 1
                 edge = np.flatnonzero(np.diff(np.concatenate([[0], again[at:at + n], [0]])))
                 out += [(id_, tie, lo + a, lo + b - 1) for a, b in zip(edge[::2].tolist(), edge[1::2].tolist())]
                 at += n
-            return _batch(out, [*_ID, ("lo", pa.int64()), ("hi", pa.int64())])
+            return _batch(out, [*_ID, ("lo", pa.int32()), ("hi", pa.int32())])
 
         for batch in batches:
-            for g, *row in zip(*(batch.column(c).to_pylist() for c in ("g", "id", "tie", "lo", "data"))):
-                if g != last and volume > 1 << 12:
+            for g, *row in zip(*(batch.column(c).to_pylist() for c in ("g", "id", "tie", "lo", "place", "data"))):
+                if g != last and volume > 1 << 14:
                     yield runs()
                     held, volume = [], 0
                 held.append(row)
@@ -308,17 +365,17 @@ def repeated(docs: DataFrame, length: int = 100, gram: int = 32, most: int = 204
             yield runs()
 
     few = (met.where(F.col("classes") <= most).repartition(F.col("g")).sortWithinPartitions("g", "id", "tie", "lo")
-           .mapInArrow(sorted_out, f"{_WHERE}, lo long, hi long"))
-    at = F.explode(F.sequence(F.lit(0).cast("long"), F.octet_length("data") - length)).alias("k")
+           .mapInArrow(sorted_out, f"{_WHERE}, lo int, hi int"))
+    at = F.explode(F.sequence(F.lit(0), F.octet_length("data") - length)).alias("k")
     many = (met.where(F.col("classes") > most).select("id", "tie", "lo", "data", at)
-            .select("id", "tie", (F.col("lo") + F.col("k")).alias("lo"), F.md5(F.expr(f"substring(data, CAST(k AS INT) + 1, {length})")).alias("w")))
+            .select("id", "tie", (F.col("lo") + F.col("k")).alias("lo"), F.md5(F.expr(f"substring(data, k + 1, {length})")).alias("w")))
     earliest = many.groupBy("w").agg(F.min(F.struct("id", "tie", "lo")).alias("f"), F.count("*").alias("n")).where("n > 1").drop("n")
     late = many.join(earliest, "w").where("NOT (id = f.id AND tie = f.tie AND lo = f.lo)").select("id", "tie", "lo", F.col("lo").alias("hi"))
-    return copies.union(few).union(late)
+    return copies.union(kept(few.union(late), "ranges"))
 
 
 def without_repeats(docs: DataFrame, length: int = 100, **settings) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and the kept bytes of each document.
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and the bytes kept of each document.
 
     Null texts are empty; texts shorter than `length` stay whole. A null doc_id
     is smaller than any other. Documents of one id are ordered by a hash of their
@@ -326,6 +383,8 @@ def without_repeats(docs: DataFrame, length: int = 100, **settings) -> DataFrame
     Further columns are left out; a table without rows gives none.
     """
     rows = texts(docs).select(F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), F.xxhash64("text").alias("tie"), F.col("text").cast("binary").alias("data"))
+    if rows.groupBy("id").agg(F.min("tie").alias("a"), F.max("tie").alias("b")).where("a < b").isEmpty():
+        rows = rows.withColumn("tie", F.lit(0).cast("long"))  # ids alone tell documents apart
     gone = (repeated(rows, length, **settings).groupBy("id", "tie")
             .agg(F.collect_list("lo").alias("lo"), F.collect_list("hi").alias("hi")))
 

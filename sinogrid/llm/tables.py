@@ -20,7 +20,9 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch.new_folder(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
 
 
 def texts(docs: DataFrame) -> DataFrame:
@@ -38,3 +40,23 @@ def unused(df: DataFrame, name: str) -> str:
     while name.lower() in {c.lower() for c in df.columns}:
         name += "_"
     return name
+
+
+#: has Spark remove a query's shuffle files when the query ends
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """As `stored`, for large tables one after the other: the shuffle files of the write go with it."""
+    conf = df.sparkSession.conf
+    before = conf.get(_CLEANUP, "false")
+    conf.set(_CLEANUP, "true")
+    try:
+        return stored(df, name)
+    finally:
+        conf.set(_CLEANUP, before)
+
+
+def discarded(df: DataFrame) -> None:
+    """Remove a stored table that no later step reads."""
+    scratch.discard(df.sparkSession, df.stored_at)
