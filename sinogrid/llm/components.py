@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sinogrid.llm.tables import stored
+from sinogrid.llm.tables import kept
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -18,17 +18,17 @@ def components(edges: DataFrame) -> DataFrame:
     repeated edges change nothing.
     """
     tie = F.sum(F.xxhash64("a", "b").cast("decimal(20,0)")).alias("tie")
-    current = stored(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+    current = kept(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     seen = current.agg(F.count("*"), tie).first()
     while True:
         both = current.union(current.select("b", "a"))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
         large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        large = stored(large, "edges")
+        large = kept(large, "edges")
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = (large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
                  .union(low.select("a", "m")).where("a <> b").distinct())
-        current = stored(small, "edges")
+        current = kept(small, "edges")
         now = current.agg(F.count("*"), tie).first()
         if now == seen:
             break

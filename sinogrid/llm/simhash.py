@@ -12,7 +12,7 @@ big family of near copies makes, never do:
 - up to distance 2, each of their nodes is listed under itself and its 64 one-bit
   neighbours. Two fingerprints have a listing in common exactly if they differ in
   2 bits at most, so each listing links its nodes to its smallest one.
-- beyond, each node is first compared with a few pivots of the block. Once
+- beyond, each node is first compared with one pivot of the block. Once
   groups are formed of that, every node outside the block's largest group is
   compared with all nodes of the block, and groups are formed anew. Pairs within
   one group need no link of their own.
@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sinogrid.llm.components import components
-from sinogrid.llm.tables import NO_ID, stored, texts, unused
+from sinogrid.llm.tables import NO_ID, kept, texts, unused
 
 SEED = 42
 _LOW_BITS = np.uint64(0x0101010101010101)
@@ -118,13 +118,13 @@ def _verified(pairs: DataFrame, nodes: DataFrame, bits: int, distance: int) -> D
     return pairs.distinct().join(a, "a").join(b, "b").where(_distance(bits) <= distance).select("a", "b")
 
 
-def links(nodes: DataFrame, bits: int, parts: int, agree: int, distance: int, small: int = 24, pivots: int = 4) -> DataFrame:
+def links(nodes: DataFrame, bits: int, parts: int, agree: int, distance: int, small: int = 24) -> DataFrame:
     """Edges (a, b) between nodes (node, fp) whose groups are those of all pairs within `distance` that share a block."""
     width = bits // parts
     keys = [F.xxhash64(F.lit(n), *[_part(p, width) for p in chosen]) for n, chosen in enumerate(combinations(range(parts), agree))]
     listed = nodes.select("node", F.explode(F.array(*keys)).alias("block"))
     sizes = listed.groupBy("block").agg(F.count("*").alias("n"), F.min("node").alias("least")).where("n > 1")
-    members = stored(listed.join(sizes, "block"), "blocks")
+    members = kept(listed.join(sizes, "block"), "blocks")
     few = members.where(F.col("n") <= small).select("block", "node")
     pairs = few.toDF("block", "a").join(few.toDF("block", "b"), "block").where("a < b").select("a", "b")
     many = members.where(F.col("n") > small)
@@ -134,14 +134,12 @@ def links(nodes: DataFrame, bits: int, parts: int, agree: int, distance: int, sm
         under = large.select("node", F.explode(F.array(*flips)).alias("z"))
         star = under.join(under.groupBy("z").agg(F.min("node").alias("b"), F.count("*").alias("n")).where("n > 1").drop("n"), "z")
         return _verified(pairs, nodes, bits, distance).union(star.select(F.col("node").alias("a"), "b").where("a <> b").distinct())
-    chosen = [many.groupBy("block").agg(F.min_by("node", F.xxhash64(F.lit(k), "node")).alias("b")) for k in range(pivots)]
-    compared = pairs
-    for one in chosen:
-        compared = compared.union(many.select("block", F.col("node").alias("a")).join(one, "block").where("a <> b").select("a", "b"))
-    found = stored(_verified(compared, nodes, bits, distance), "links")
+    pivot = many.groupBy("block").agg(F.min_by("node", F.xxhash64("node")).alias("b"))
+    compared = pairs.union(many.select("block", F.col("node").alias("a")).join(pivot, "block").where("a <> b").select("a", "b"))
+    found = kept(_verified(compared, nodes, bits, distance), "links")
     # in large blocks: whatever is not in the block's largest group meets all the others
     group = components(found)
-    sided = stored(many.select("block", "node").join(group, "node", "left").withColumn("component", F.coalesce("component", "node")), "blocks")
+    sided = kept(many.select("block", "node").join(group, "node", "left").withColumn("component", F.coalesce("component", "node")), "blocks")
     sums = sided.groupBy("block", "component").agg(F.count("*").alias("n"))
     largest = sums.groupBy("block").agg(F.max_by("component", F.struct("n", "component")).alias("largest"), F.count("*").alias("groups")).where("groups > 1")
     open_blocks = sided.join(largest, "block")
@@ -165,8 +163,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, bits: int = 2304, parts: in
     component_id of a group that holds one is null. Repeated rows come out
     as often as they come in.
     """
-    rows = stored(fingerprints(docs, words, bits), "fingerprints")
-    nodes = stored(rows.groupBy("fp").agg(F.min(F.coalesce("doc_id", F.lit(NO_ID))).alias("node")), "nodes")
+    rows = kept(fingerprints(docs, words, bits), "fingerprints")
+    nodes = kept(rows.groupBy("fp").agg(F.min(F.coalesce("doc_id", F.lit(NO_ID))).alias("node")), "nodes")
     group = components(links(nodes, bits, parts, agree, distance))
     named = nodes.join(group, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
     return rows.join(named, "fp").select("doc_id", "fp", F.nullif("component_id", F.lit(NO_ID)).alias("component_id"))
@@ -178,15 +176,17 @@ def deduplicated(docs: DataFrame, **settings) -> DataFrame:
     Of rows that share this id one stays, the first by its further columns. All
     columns stay as they are.
     """
-    found = stored(near_duplicates(docs, **settings).select("doc_id", (F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("kept")), "kept")
-    ids = found.groupBy("doc_id").agg(F.max("kept").alias("kept"), F.count("*").alias("n")).where("kept")
-    name, row = unused(docs, "kept_id"), unused(docs, "row")
+    found = near_duplicates(docs, **settings).select("doc_id", (F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("kept"))
+    ids = found.groupBy("doc_id").agg(F.max("kept").alias("kept"), F.count("*").alias("n")).where("NOT kept OR n > 1")
+    name, row = unused(docs, "other_id"), unused(docs, "row")
+    # the ids that go are fewer than those that stay, and few enough ids repeat
+    others = kept(ids.select(F.col("doc_id").alias(name), (F.col("kept") & (F.col("n") > 1)).alias("again")), "others")
 
-    def of(wanted: DataFrame) -> DataFrame:
-        return docs.join(wanted.select(F.col("doc_id").alias(name)), docs["doc_id"].eqNullSafe(F.col(name)), "left_semi")
+    def of(wanted: DataFrame, how: str) -> DataFrame:
+        return docs.join(wanted.select(name), docs["doc_id"].eqNullSafe(F.col(name)), how)
 
-    repeated = ids.where("n > 1")
+    repeated = others.where("again")
     if repeated.isEmpty():
-        return of(ids)
+        return of(others, "left_anti")
     first = Window.partitionBy("doc_id").orderBy(*[F.col(c) for c in docs.columns if c != "doc_id"])
-    return of(ids.where("n = 1")).union(of(repeated).withColumn(row, F.row_number().over(first)).where(F.col(row) == 1).drop(row))
+    return of(others, "left_anti").union(of(repeated, "left_semi").withColumn(row, F.row_number().over(first)).where(F.col(row) == 1).drop(row))
