@@ -3,6 +3,7 @@ import random
 import numpy as np
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from sinogrid.llm import multiset, packing, ring, simhash, suffix
 from sinogrid.llm.components import components
 from tests.llm import helpers as h
@@ -71,6 +72,36 @@ def test_wide_fingerprints_with_pivots_equal_all_pairs(spark):
     assert {x.doc_id for x in kept.collect()} == set(few.values())
 
 
+def test_alike_finds_every_pair_at_the_limit(spark):
+    """Lone pairs at 0.8 and just above, a family with pivots, short texts; all pairs compared, no condition on blocks."""
+    r = random.Random(11)
+    rows = []
+    for k in range(60):  # 4 shingles of n go: n / (n + 4) and more
+        text = h.words(1000 + k, 20 + k % 8).split()
+        rows += [(10 * k, " ".join(text)), (10 * k + 1, " ".join(text + h.words(2000 + k, r.choice((3, 4, 5))).split()))]
+    for k in range(40):
+        text = h.words(50, 120).split()
+        for _ in range(r.randrange(5)):
+            text[r.randrange(120)] = f"edit{r.randrange(1000)}"
+        rows.append((5000 + k, " ".join(text)))
+    passage = h.words(60, 30)
+    rows += [(6000 + k, f"{h.words(3000 + k, 30)} {passage}") for k in range(30)]
+    rows += [(7000 + i, t) for i, t in h.odd_documents() if i is not None] + [(None, "nobody")]
+    ids = [-1 if i is None else i for i, _ in rows]
+    own = [set(simhash.shingle_set((t or "").encode(), 5).tolist()) for _, t in rows]
+    close = [(ids[a], ids[b]) for a in range(len(rows)) for b in range(a) if 5 * len(own[a] & own[b]) >= 4 * len(own[a] | own[b])]
+    exact = sum(5 * len(own[a] & own[b]) == 4 * len(own[a] | own[b]) for a in range(len(rows)) for b in range(a) if own[a])
+    assert exact >= 3
+    df = h.with_clashes(h.documents(spark, rows))
+    got = simhash.alike(df).collect()
+    assert len(got) == len(rows)
+    want = h.groups(set(ids), close)
+    assert {-1 if x.doc_id is None else x.doc_id: -1 if x.component_id is None else x.component_id for x in got} == want
+    stage = dict(corpus_pipeline.STAGES)["simhash"]
+    assert {-1 if x.doc_id is None else x.doc_id for x in stage(spark, df, None).collect()} == set(want.values())
+    assert simhash.alike(h.documents(spark, [])).count() == 0
+
+
 def test_deduplicated_keeps_columns_and_one_row(spark):
     df = h.with_clashes(h.documents(spark, h.odd_documents()))
     got = simhash.deduplicated(df)
