@@ -160,6 +160,12 @@ def test_templates_catch_other_parameters_and_check_slots(spark):
     assert kept.columns == docs.columns and {x.doc_id for x in kept.collect()} == {i for i, _ in rows} - found
 
 
+def test_sentences_that_begin_with_a_name(spark):
+    tom = "Tom has 5 apples. Tom buys 3 more apples. How many apples does Tom have now?"
+    rows = [(1, tom.replace("Tom", "Sue").replace("5", "8")), (2, f"{h.words(1, 20)}. {tom.replace('Tom', 'Mary Ann')} {h.words(2, 20)}"), (3, h.words(3, 60))]
+    assert {d for d, _ in contaminated(spark, rows, [(1, tom)])} == {1, 2}
+
+
 def test_warc_derivatives(spark, tmp_path):
     from sinogrid.llm import oracles, queries
 
