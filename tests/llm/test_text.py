@@ -166,6 +166,12 @@ def test_sentences_that_begin_with_a_name(spark):
     assert {d for d, _ in contaminated(spark, rows, [(1, tom)])} == {1, 2}
 
 
+def test_items_full_of_placeholders_and_short_ones(spark):
+    items = [(1, "Compute 12 * 7 + 34 / 2 - 9 + 81"), (2, "FIND THE SUM OF ALL PRIMES BELOW TEN"), (3, "Anna, Bernd, Clara, Dora, Emil, Frieda, Gustav"), (4, "Define entropy briefly")]
+    rows = [(10 + i, f"{h.words(i, 20)}. {t}. {h.words(i + 9, 20)}") for i, t in items] + [(20, "Compute 11 * 8 + 30 / 4 - 6 + 80"), (21, "Define entropy")]
+    assert set(contaminated(spark, rows, items)) == {(10 + i, i) for i, _ in items}
+
+
 def test_warc_derivatives(spark, tmp_path):
     from sinogrid.llm import oracles, queries
 
