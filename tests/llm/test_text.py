@@ -172,6 +172,15 @@ def test_items_full_of_placeholders_and_short_ones(spark):
     assert set(contaminated(spark, rows, items)) == {(10 + i, i) for i, _ in items}
 
 
+def test_words_put_in_and_changed(spark):
+    long = h.words(77, 37).split()
+    short = h.words(78, 15).split()
+    rows = [(at, " ".join([*h.words(at, 20).split(), *long[:at], "inserted", *long[at:]])) for at in range(10, 28)]
+    rows += [(100, " ".join(long[:12] + ["other"] + long[13:24] + ["again"] + long[25:])), (101, " ".join(short[:7] + ["other"] + short[8:])), (102, " ".join(long[:14]))]
+    got = contaminated(spark, rows, [(1, " ".join(long)), (2, " ".join(short))])
+    assert set(got) == {(at, 1) for at in range(10, 28)} | {(100, 1), (101, 2)}
+
+
 def test_warc_derivatives(spark, tmp_path):
     from sinogrid.llm import oracles, queries
 
