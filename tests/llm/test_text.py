@@ -181,6 +181,12 @@ def test_words_put_in_and_changed(spark):
     assert set(got) == {(at, 1) for at in range(10, 28)} | {(100, 1), (101, 2)}
 
 
+def test_values_that_become_equal_and_one_that_does_not_fit(spark):
+    item = "a farmer sells 12 apples and keeps 7 pears then packs the 12 apples into boxes and the 7 pears into crates before the market opens"
+    rows = [(1, item.replace("12", "9").replace("7", "9")), (2, item.replace("12 apples into", "13 apples into")), (3, item.replace("sells 12", "sells 30").replace("the 12", "the 31"))]
+    assert {d for d, _ in contaminated(spark, rows, [(1, item)])} == {1, 2, 3}
+
+
 def test_warc_derivatives(spark, tmp_path):
     from sinogrid.llm import oracles, queries
 
