@@ -196,7 +196,7 @@ def _common(docs: DataFrame, words: int) -> np.ndarray:
 
 
 def _prefixes(docs: DataFrame, words: int, share: Fraction) -> DataFrame:
-    """(doc_id, mark, prefix): a digest of the shingle set, and its first shingles, rare ones before common ones.
+    """(doc_id, mark, n, prefix): a digest of the shingle set, its size, and its first shingles, rare ones before common ones.
 
     Two sets with a Jaccard similarity of at least `share` have a shingle in
     common among the first n - ceil(share * n) + 1 of each, in any order that is
@@ -206,21 +206,23 @@ def _prefixes(docs: DataFrame, words: int, share: Fraction) -> DataFrame:
     few = np.nonzero(total)[0]
     shared = docs.sparkSession.sparkContext.broadcast((few, total[few]))
 
-    @F.arrow_udf("struct<mark: binary, prefix: array<bigint>>")
+    @F.arrow_udf("struct<mark: binary, n: int, prefix: array<bigint>>")
     def of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         count = np.zeros(2**_COUNT_BITS, np.int64)
         count[shared.value[0]] = shared.value[1]
         for batch in batches:
-            marks, prefixes = [], []
+            marks, sizes, prefixes = [], [], []
             for text in batch:
                 found = shingle_set(text.as_py().encode(), words)
                 marks.append(hashlib.blake2b(found.tobytes(), digest_size=16).digest())
+                sizes.append(len(found))
                 n = len(found) - -(-share.numerator * len(found) // share.denominator) + 1
                 order = np.argsort(count[(found >> np.uint64(64 - _COUNT_BITS)).astype(np.int64)], kind="stable")
                 prefixes.append(found[order[:n]].view(np.int64))
-            yield pa.StructArray.from_arrays([pa.array(marks, pa.binary()), pa.array(prefixes, pa.list_(pa.int64()))], ["mark", "prefix"])
+            yield pa.StructArray.from_arrays([pa.array(marks, pa.binary()), pa.array(sizes, pa.int32()), pa.array(prefixes, pa.list_(pa.int64()))],
+                                             ["mark", "n", "prefix"])
 
-    return texts(docs).select("doc_id", of("text").alias("s")).select("doc_id", "s.mark", "s.prefix")
+    return texts(docs).select("doc_id", of("text").alias("s")).select("doc_id", "s.mark", "s.n", "s.prefix")
 
 
 def _sets(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
@@ -242,7 +244,7 @@ def _sets(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], names=["node", "own"])
 
     named = texts(docs).select(F.coalesce("doc_id", F.lit(NO_ID)).alias("node"), "text")
-    return named.select("node", place.alias("place"), "text").mapInArrow(cut, "node long, own array<bigint>").join(ids, "node", "left_semi")
+    return named.select("node", place.alias("place"), "text").mapInArrow(cut, "node long, own array<bigint>")
 
 
 def alike(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -254,10 +256,13 @@ def alike(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame
     """
     share = Fraction(str(similarity))
     rows = kept(_prefixes(docs, words, share), "prefixes")
-    nodes = kept(rows.groupBy("mark").agg(F.min(F.coalesce("doc_id", F.lit(NO_ID))).alias("node"), F.first("prefix").alias("prefix")), "nodes")
+    nodes = kept(rows.groupBy("mark").agg(F.min(F.coalesce("doc_id", F.lit(NO_ID))).alias("node"), F.first("n").alias("n"), F.first("prefix").alias("prefix")), "nodes")
 
     def verified(pairs: DataFrame) -> DataFrame:
-        pairs = kept(pairs.distinct(), "pairs")
+        # sets of too different sizes cannot be alike, and are not moved
+        near = F.least("n_a", "n_b") * share.denominator >= F.greatest("n_a", "n_b") * share.numerator
+        n_a, n_b = (nodes.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}")) for x in "ab")
+        pairs = kept(pairs.distinct().join(n_a, "a").join(n_b, "b").where(near).select("a", "b").distinct(), "pairs")
         ids = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
         sets = kept(_sets(docs, kept(ids, "ids"), words), "sets")
         a, b = (sets.select(F.col("node").alias(n), F.col("own").alias(f"own_{n}")) for n in "ab")
