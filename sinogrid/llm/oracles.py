@@ -80,5 +80,31 @@ SELECT doc_id, size::BIGINT AS size, text_crc32::BIGINT AS text_crc32, 'rows' AS
 FROM (SELECT doc_id, size, text_crc32, shard, slot FROM stay UNION ALL SELECT doc_id, size, text_crc32, shard, slot FROM went)"""
 
 
+def _audit() -> str:
+    """Masks of failed filters per document; the Spark query joins tables of failing ids instead."""
+    return r"""
+WITH doc AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text FROM documents),
+cut AS (SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w, min(doc_id) OVER (PARTITION BY text) AS first_id FROM doc),
+fails AS (SELECT doc_id, part, CASE WHEN len(w) < 200 THEN 1 ELSE 0 END + CASE WHEN 100 * len(list_distinct(w)) < 50 * len(w) THEN 2 ELSE 0 END
+ + CASE WHEN 100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 3 * length(text) THEN 4 ELSE 0 END
+ + CASE WHEN regexp_matches(text, '[#$%&*|]') THEN 8 ELSE 0 END + CASE WHEN doc_id > first_id THEN 16 ELSE 0 END AS mask FROM cut),
+mark AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic FROM labels GROUP BY doc_id),
+few AS (SELECT part, mask, count(*) AS n, sum(coalesce(good, 0)) AS good, sum(coalesce(toxic, 0)) AS toxic FROM fails LEFT JOIN mark USING (doc_id) GROUP BY part, mask),
+letter AS (SELECT substr('ABCDE', i::INTEGER + 1, 1) AS l, 1 << i AS bit FROM range(0, 5) r(i)),
+orders AS (SELECT a.l || b.l || c.l || d.l || e.l AS filter_order, [a.bit, b.bit, c.bit, d.bit, e.bit] AS bits
+ FROM letter a, letter b, letter c, letter d, letter e WHERE a.bit | b.bit | c.bit | d.bit | e.bit = 31),
+steps AS (SELECT filter_order, s::INTEGER AS step, bits[s] AS bit, coalesce(list_sum(bits[1:s - 1]), 0)::BIGINT AS before FROM orders, range(1, 6) r(s)),
+act AS (SELECT bit, before, part, sum(CASE WHEN mask & (before | bit) = 0 THEN n ELSE 0 END) AS kept,
+ sum(CASE WHEN mask & before = 0 AND mask & bit <> 0 THEN n ELSE 0 END) AS removed,
+ sum(CASE WHEN mask & before <> 0 AND mask & bit <> 0 THEN n ELSE 0 END) AS redundant, sum(CASE WHEN mask = bit THEN n ELSE 0 END) AS unique_fails,
+ sum(CASE WHEN mask & before = 0 AND mask & bit <> 0 THEN good ELSE 0 END) AS good_lost,
+ sum(CASE WHEN mask & before = 0 AND mask & bit <> 0 THEN toxic ELSE 0 END) AS toxic_lost
+ FROM (SELECT DISTINCT bit, before FROM steps) s, few GROUP BY bit, before, part),
+share AS (SELECT part, bit, sum(removed) AS shapley FROM steps JOIN act USING (bit, before) GROUP BY part, bit)
+SELECT part, filter_order, step, kept::BIGINT AS kept, removed::BIGINT AS removed, redundant::BIGINT AS redundant, unique_fails::BIGINT AS unique_fails,
+ good_lost::BIGINT AS good_lost, toxic_lost::BIGINT AS toxic_lost, shapley::BIGINT AS shapley
+FROM steps JOIN act USING (bit, before) JOIN share USING (part, bit)"""
+
+
 def all_oracles() -> dict[str, str]:
-    return {"op2_warc_derivatives": _warc(), "op8_ring_shards": _ring()}
+    return {"op13_filter_audit": _audit(), "op2_warc_derivatives": _warc(), "op8_ring_shards": _ring()}

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sinogrid.llm import decontaminate, langid, multiset, packing, pii, ring, simhash, suffix, toxicity, warc
+from sinogrid.llm import decontaminate, filters, langid, multiset, packing, pii, ring, simhash, suffix, toxicity, warc
 from sinogrid.llm.tables import residue, table
 
 _REGISTRY = {}
@@ -85,3 +85,8 @@ def op2_warc_derivatives(spark, d):
 @query
 def op9_suffix_dedup(spark, d):
     return suffix.without_repeats(table(spark, d, "documents"), length=100).drop("kept")
+
+
+@query
+def op13_filter_audit(spark, d):
+    return filters.audit(table(spark, d, "documents"), table(spark, d, "labels"))
