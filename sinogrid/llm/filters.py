@@ -26,17 +26,18 @@ from pyspark.sql import functions as F
 
 from sinogrid.llm.tables import NO_ID, kept
 
-WORD = "[^\\x20\\x09-\\x0D]+"
+#: white space between words: a class for patterns, and as characters
+SPACE, SPACES = "[\\x20\\x09-\\x0D]+", " \t\n\x0b\f\r"
 KEY = ["id", "h"]
 
 
 def own_failures(text: Column) -> dict[str, Callable[[], Column]]:
-    """Filters A to D as conditions on a column `words` (array) and the text."""
-    words, code_points = F.size("words"), F.length(text)
+    """Filters A to D as conditions on a column `words` (array; one empty word if there are none) and the text."""
+    words, code_points = F.when(F.col("words")[0] == "", 0).otherwise(F.size("words")), F.length(text)
     return {
         "A": words < 200,
         "B": 100 * F.size(F.array_distinct("words")) < 50 * words,
-        "C": 100 * F.regexp_count(text, F.lit("[A-Z]")) > 3 * code_points,
+        "C": 100 * F.length(F.regexp_replace(text, "[^A-Z]+", "")) > 3 * code_points,
         "D": text.rlike("[#$%&*|]"),
     }
 
@@ -51,7 +52,7 @@ def judged(docs: DataFrame, labels: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("part"),
                        text.alias("text"))
-    rows = rows.select("id", "part", "text", F.regexp_extract_all("text", F.lit(WORD), F.lit(0)).alias("words"))
+    rows = rows.select("id", "part", "text", F.split(F.btrim("text", F.lit(SPACES)), SPACE).alias("words"))
     flags = [c.alias(name) for name, c in own_failures(F.col("text")).items()]
     rows = rows.select("id", F.xxhash64("text").alias("h"), "part", F.unhex(F.sha2("text", 256)).alias("digest"), *flags)
     rows = rows.groupBy(*KEY, "part", "digest", *"ABCD").agg(F.count(F.lit(1)).alias("n"))
