@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sinogrid.llm import decontaminate, filters, langid, multiset, packing, pii, ring, simhash, suffix, toxicity, warc
+from sinogrid.llm import alignment, decontaminate, filters, langid, multiset, packing, pii, ring, simhash, suffix, toxicity, warc
 from sinogrid.llm.tables import residue, table
 
 _REGISTRY = {}
@@ -90,3 +90,8 @@ def op9_suffix_dedup(spark, d):
 @query
 def op13_filter_audit(spark, d):
     return filters.audit(table(spark, d, "documents"), table(spark, d, "labels"))
+
+
+@query
+def op12_token_alignment(spark, d):
+    return alignment.link_report(table(spark, d, "documents"))
