@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sinogrid.llm import alignment, decontaminate, filters, langid, multiset, packing, pii, ring, simhash, suffix, toxicity, warc
+from sinogrid.llm import alignment, decontaminate, filters, langid, multiset, packing, pii, ring, setsketch, simhash, suffix, toxicity, warc
 from sinogrid.llm.tables import residue, table
 
 _REGISTRY = {}
@@ -95,3 +95,8 @@ def op13_filter_audit(spark, d):
 @query
 def op12_token_alignment(spark, d):
     return alignment.link_report(table(spark, d, "documents"))
+
+
+@query
+def op11_setsketch(spark, d):
+    return setsketch.near_duplicates(table(spark, d, "documents"))
