@@ -205,7 +205,9 @@ def _verified(pairs: DataFrame, docs: DataFrame, words: int, similarity: float)
 def _rare(docs: DataFrame, words: int, similarity: float) -> DataFrame:
     """(node, shingle): the n - ceil(s n) + 1 rarest shingles of each document; two sets of similarity s share one of theirs.
 
-    Rarity is counted in 2^20 hash buckets over these documents: any order is right, this one keeps common passages apart.
+    Rarity is counted in 2^20 hash buckets over these documents: any order is
+    right, this one keeps common passages apart. What is counted once is shared
+    with none and left out.
     """
     share, low = Fraction(str(similarity)), np.uint64(64 - _COUNT_BITS)
 
@@ -213,7 +215,7 @@ def _rare(docs: DataFrame, words: int, similarity: float) -> DataFrame:
         seen = np.zeros(1 << _COUNT_BITS, np.int64)
         for batch in batches:
             for text in batch.column(0):
-                seen[(shingle_set(text.as_py().encode(), words) >> low).astype(np.int64)] += 1
+                np.add.at(seen, (shingle_set(text.as_py().encode(), words) >> low).astype(np.int64), 1)
         at = np.flatnonzero(seen)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(seen[at])], names=["at", "n"])
 
@@ -227,8 +229,9 @@ def _rare(docs: DataFrame, words: int, similarity: float) -> DataFrame:
         out = []
         for t in text:
             own = shingle_set(t.as_py().encode(), words)
-            n = len(own) - -(-share.numerator * len(own) // share.denominator) + 1
-            out.append(own[np.argsort(shared.value[(own >> low).astype(np.int64)], kind="stable")[:n]].view(np.int64))
+            often = shared.value[(own >> low).astype(np.int64)]
+            order = np.argsort(often, kind="stable")[:len(own) - -(-share.numerator * len(own) // share.denominator) + 1]
+            out.append(own[order[often[order] > 0]].view(np.int64))
         return pa.array(out, pa.list_(pa.int64()))
 
     return docs.select("node", F.explode(first("text")).alias("shingle"))
@@ -242,14 +245,25 @@ def _sided(listed: DataFrame, found: DataFrame, names: tuple[str, ...]) -> DataF
     return listed
 
 
-def _across(still: DataFrame, keys: list[str], done: DataFrame) -> DataFrame:
-    """Pairs of one block and different groups, one of them outside the block's largest group, that are not in `done`."""
-    a = still.where("c_node <> largest").select(*keys, F.col("node").alias("x"), F.col("c_node").alias("cx"))
-    b = still.select(*keys, F.col("node").alias("y"), F.col("c_node").alias("cy"))
-    return a.join(b, keys).where("cx <> cy").select(*_ordered("x", "y")).distinct().join(done, ["child", "parent"], "left_anti")
+def _across(listed: DataFrame, found: DataFrame, key: str) -> DataFrame:
+    """Pairs (child, parent) of one block and different groups, one of them outside the block's largest group."""
+    sided = kept(_sided(listed, found, ("node",)), "sided")
+    sums = sided.groupBy(key, "c_node").agg(F.count(F.lit(1)).alias("k"))
+    largest = sums.groupBy(key).agg(F.max_by("c_node", F.struct("k", "c_node")).alias("largest"), F.count(F.lit(1)).alias("groups"))
+    still = sided.join(largest.where("groups > 1").drop("groups"), key)
+    a = still.where("c_node <> largest").select(key, F.col("node").alias("x"), F.col("c_node").alias("cx"))
+    b = still.select(key, F.col("node").alias("y"), F.col("c_node").alias("cy"))
+    return a.join(b, key).where("cx <> cy").select(*_ordered("x", "y")).distinct()
+
 
+def _open_nodes(listed: DataFrame, found: DataFrame) -> DataFrame:
+    """Nodes of blocks that have nodes of different groups."""
+    sided = _sided(listed, found, ("node",))
+    mixed = sided.groupBy("block").agg((F.min("c_node") < F.max("c_node")).alias("mixed")).where("mixed").select("block")
+    return kept(listed.join(mixed, "block", "left_semi").select("node").distinct(), "ids")
 
-def links(nodes: DataFrame, docs: DataFrame, words: int, similarity: float, pivots: int = 3, small: int = 64) -> DataFrame:
+
+def links(nodes: DataFrame, docs: DataFrame, words: int, similarity: float, pivots: int = 3) -> DataFrame:
     """Edges (a, b) between nodes whose groups are those of all similar pairs that share a band of registers.
 
     `nodes` are (node, n, regs), `docs` (node, text) of the same nodes at least.
@@ -261,23 +275,13 @@ def links(nodes: DataFrame, docs: DataFrame, words: int, similarity: float, pivo
     other = _sided(likely, found, ("child", "parent")).where("c_child <> c_parent").select("child", "parent")
     found = found.union(_verified(kept(other, "pairs"), docs, words, similarity))
 
-    sided = kept(_sided(listed, found, ("node",)), "sided")
+    ids = _open_nodes(listed, found)
     discarded(listed)
-    sums = sided.groupBy("block", "c_node").agg(F.count(F.lit(1)).alias("n"))
-    largest = sums.groupBy("block").agg(F.max_by("c_node", F.struct("n", "c_node")).alias("largest"), F.count(F.lit(1)).alias("groups"))
-    still = kept(sided.join(largest.where("groups > 1").drop("groups"), "block"), "open")
-    discarded(sided)
-    more = [_across(still.where(F.col("many") <= small), ["block"], likely)]
-    hot = still.where(F.col("many") > small)
-    if not hot.isEmpty():
-        ids = kept(hot.select("node").distinct(), "ids")
-        rare = _rare(_named(docs, ids).join(ids, "node", "left_semi"), words, similarity)
-        more.append(_across(hot.join(rare, "node"), ["block", "shingle"], likely))
-    for pairs in more:
-        able = kept(_plausible(pairs, nodes, similarity).select("child", "parent"), "pairs")
-        found = found.union(_verified(able, docs, words, similarity))
-    discarded(still)
-    return found
+    rare = kept(_rare(_named(docs, ids).join(ids, "node", "left_semi"), words, similarity), "rare")
+    pairs = _across(rare, found, "shingle").join(likely, ["child", "parent"], "left_anti")
+    able = kept(_plausible(pairs, nodes, similarity).select("child", "parent"), "pairs")
+    discarded(rare)
+    return found.union(_verified(able, docs, words, similarity))
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.85, **settings) -> DataFrame:

@@ -59,13 +59,13 @@ def test_no_documents(spark):
     assert setsketch.near_duplicates(h.documents(spark, [])).collect() == []
 
 
-@pytest.mark.parametrize("small", [64, 2])
-def test_families_around_the_limit(spark, small):
-    """Copies at all similarities near 0.85, and texts that share a passage; large buckets go the way of small ones."""
+@pytest.mark.parametrize("pivots", [3, 1])
+def test_families_around_the_limit(spark, pivots):
+    """Copies at all similarities near 0.85, and texts that share a passage."""
     rows = family(0, 60, 200, 9, 1) + family(100, 40, 60, 3, 2) + family(200, 30, 400, 14, 3)
     passage = h.words(9, 150)
     rows += [(300 + k, h.words(1000 + k, 20) + " " + passage + " " + h.words(2000 + k, 20)) for k in range(60)]
-    out = setsketch.near_duplicates(h.documents(spark, rows), small=small, pivots=1 if small == 2 else 3)
+    out = setsketch.near_duplicates(h.documents(spark, rows), pivots=pivots)
     assert got(out) == plain(rows)
 
 
