@@ -112,7 +112,7 @@ class Reconstruction:
             own = rows.where(F.col("itype") != ITYPES["Projection"])
             self._write(_since_reset(earlier.unionByName(own)), "calib", batch)
             rows = earlier.unionByName(rows)
-        return calibrate.calibrate(rows, self.cfg)
+        return calibrate.calibrate(rows, self.cfg, self._path("levels", batch))
 
     def _number(self, rows: DataFrame, fins, before: DataFrame, batch: int):
         """Accepted messages with their arrival number, written out."""
@@ -170,7 +170,7 @@ class Reconstruction:
         self._write(rows.join(ends, "row_id", "full").select(
             "row_id", F.coalesce("n", F.lit(0)).cast("bigint").alias("n"), "last_seq", "fin_seq"), "progress", batch)
         # Tables of the batch before are read again only by this batch, which is now committed.
-        for name in ("new", "work", "run", "pool", "complete", "ends"):
+        for name in ("new", "work", "run", "levels", "pool", "complete", "ends"):
             scratch.discard(self.spark, self._path(name, batch))
         for name in ("tail", "calib", "image", "open", "progress"):
             scratch.discard(self.spark, self._path(name, batch - 1))
