@@ -52,8 +52,37 @@ def test_ranges_split_a_hot_key_with_equal_times(spark):
     assert [r.rn for r in hot.orderBy("event_id").collect()] == list(range(1, 7802))
     from sinogrid.operators.blocked import range_blocks
 
-    sizes = [r["count"] for r in range_blocks(rows, ["row_id"], ["ts", "event_id"]).groupBy("_blk").count().collect()]
-    assert max(sizes) < 3000
+    sizes = [r["count"] for r in range_blocks(rows, ["ts", "event_id"]).groupBy("_blk").count().collect()]
+    assert max(sizes) < 3000 and len(sizes) >= 8
+
+
+@pytest.mark.parametrize("most", [8, 500])
+def test_ranges_follow_the_order(spark, monkeypatch, most):
+    """Nulls, times that few or many rows share, and more borders than one level of comparisons holds."""
+    from sinogrid.operators import blocked
+
+    monkeypatch.setattr(blocked, "LEAST_BLOCKS", most)
+    rows = spark.range(20000).selectExpr(
+        "IF(id % 50 = 0, NULL, timestamp_micros(cast(IF(id % 3 = 0, 5000, id * id % 9973) * 1000000 AS BIGINT))) AS ts", "cast(id * 7 % 20011 AS INT) AS event_id")
+    got = [(r.ts is not None, r.ts, r.event_id, r._blk) for r in blocked.range_blocks(rows, ["ts", "event_id"]).collect()]
+    blocks = [b for *_, b in sorted(got, key=lambda r: (r[0], r[1] or 0, r[2]))]
+    assert blocks == sorted(blocks) and len(set(blocks)) > 0.7 * most
+    with pytest.raises(TypeError):
+        blocked.range_blocks(rows.selectExpr("cast(event_id AS STRING) AS name"), ["name"])
+
+
+def test_numbering_writes_nothing(spark):
+    import os
+
+    from sinogrid import scratch
+
+    def files():
+        return {n for n in os.listdir(scratch.shared_folder(spark))} if os.path.isdir(scratch.shared_folder(spark)) else set()
+
+    before = files()
+    rows = spark.range(1000).selectExpr("id % 3 AS row_id", "id AS ts", "id AS event_id")
+    assert keyed_rank(rows, ["row_id"], ["ts", "event_id"], out="rn").where("row_id = 1").agg(F.max("rn")).first()[0] == 333
+    assert files() == before
 
 
 @pytest.mark.parametrize("parts", [1, 3, 8])
