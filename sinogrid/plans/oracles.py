@@ -329,6 +329,7 @@ def all_oracles() -> dict[str, str]:
     q["sirt_iterated"] = f"""{reconstruction('31::DOUBLE', 40, 40, 2)}
  SELECT row_id, {label} AS iteration, pix, {r('val')} AS val FROM image WHERE k > 0"""
     q["tomography_job"] = tomography_sql()
+    q["stream_tomography"] = f"SELECT iteration, pixels, total FROM ({q['tomography_job']}) job WHERE status = 'DENOISED'"
     q["stream_reconstruct"] = q["sirt_emit"]
     q["assemble_iterations"] = f"""WITH {GATHER} SELECT iteration, row_id, pix, arrival, {r('val')} AS val FROM messages JOIN done USING (iteration)
  WHERE arrival <= done_at QUALIFY arrival = max(arrival) OVER (PARTITION BY iteration, row_id)"""

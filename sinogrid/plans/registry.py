@@ -515,16 +515,19 @@ def iteration_notices(spark, d):
     return assemble.iteration_notices(_recon_messages(spark, d), views.ROWS)
 
 
+def _whole_job(spark, d):
+    n = views.table(spark, d, "embeddings").count()
+    return TomoConfig(num_sinogram_projections=n, num_sinograms=12, window_length=64, window_step=n // 4,
+                      write_freq=3, tile=4, keying="modulo", remove_invalids=True)
+
+
 @query
 def tomography_job(spark, d):
     """Ticks, frame lookup, detector rows, windowed reconstruction and gathering as one job.
 
     Images of 8 x 8 samples; rows are repeated to 12.
     """
-    n = views.table(spark, d, "embeddings").count()
-    cfg = TomoConfig(num_sinogram_projections=n, num_sinograms=12, window_length=64, window_step=n // 4,
-                     write_freq=3, tile=4, keying="modulo", remove_invalids=True)
-    path = scratch.new_folder(spark, "recon")
+    cfg, path = _whole_job(spark, d), scratch.new_folder(spark, "recon")
     notices = tomography.run_batch(spark, views.images(spark, d), cfg, path)
     written = sinks.read_iterations(spark, path, OPEN)
     sums = sirt.image_pixels(written, views.SIDE, cfg.tile).groupBy("iteration").agg(
@@ -657,6 +660,19 @@ def stream_reconstruct(spark, d):
     return sirt.image_pixels(images, NX, cfg.tile).selectExpr("row_id", "iteration", "pix", *_round("val"))
 
 
+@query
+def stream_tomography(spark, d):
+    """The whole job as one streaming query: ticks come as a stream and look up frames of a static table."""
+    cfg, images = _whole_job(spark, d), views.images(spark, d)
+    seq = views.table(spark, d, "events").selectExpr("event_id + 1 AS seq").where(F.col("seq") <= cfg.total_ticks)
+    root, progress = scratch.new_folder(spark, "live"), scratch.new_folder(spark, "live-progress")
+    _in_batches(gen.tick_columns(seq, cfg.num_sinogram_projections), "seq",
+                lambda ticks: tomography.start_stream(spark, images, cfg, root, progress, ticks, True))
+    done = stream_tomo.Reconstruction(spark, root, cfg).iterations()
+    return sirt.image_pixels(done, views.SIDE, cfg.tile).groupBy("iteration").agg(
+        F.count(F.lit(1)).alias("pixels"), F.round(F.sum("val"), 6).alias("total"))
+
+
 # -- statistics -------------------------------------------------------------
 
 @query

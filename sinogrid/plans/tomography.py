@@ -34,10 +34,6 @@ def repeated_rows(rows: DataFrame, ny: int, cfg: TomoConfig) -> DataFrame:
     return fr.tile_rows(rows, cfg.num_sinograms, ny) if cfg.num_sinograms else rows
 
 
-def message_rows(frames: DataFrame, ny: int, cfg: TomoConfig) -> DataFrame:
-    return repeated_rows(source_rows(frames, cfg), ny, cfg)
-
-
 def complete_images(emitted: DataFrame, num_sinograms: int) -> DataFrame:
     """Emitted images of the iterations for which every row id is there."""
     rows = emitted.groupBy("iteration", "row_id").agg(F.lit(1).alias("one"))
@@ -73,22 +69,30 @@ def notices(spark: SparkSession, images: DataFrame, cfg: TomoConfig, num_sinogra
     return control("WARMUP", 0).unionByName(done).unionByName(control("FIN", cfg.total_ticks + 1))
 
 
-def start_stream(spark: SparkSession, images: DataFrame, cfg: TomoConfig, root: str,
-                 checkpoint: str | None = None) -> StreamingQuery:
-    """The same job on ticks that arrive at the configured rate.
+def start_stream(spark: SparkSession, images: DataFrame, cfg: TomoConfig, root: str, checkpoint: str | None = None,
+                 ticks: DataFrame | None = None, available_now: bool = False) -> StreamingQuery:
+    """The job as one streaming query, from ticks to complete iterations.
 
-    Without `checkpoint` progress is kept in a folder of this run only.
+    `ticks` (seq, iter, kind) is any stream of them; by default they arrive at
+    the configured rate. Without `checkpoint` progress is kept in a folder of
+    this run only.
     """
     n, ny = image_facts(images)
-    job = stream.Reconstruction(spark, root, replace(cfg, num_sinograms=cfg.num_sinograms or ny))
-    writer = gen.tick_stream(spark, cfg).writeStream.foreachBatch(tick_batch(job, images, n, ny))
-    return writer.option("checkpointLocation", checkpoint or scratch.new_folder(spark, "tomo-progress")).start()
+    ticks = gen.tick_stream(spark, cfg) if ticks is None else ticks
+    writer = ticks.writeStream.foreachBatch(tick_batch(live_job(spark, root, cfg, ny), images, n))
+    writer = writer.option("checkpointLocation", checkpoint or scratch.new_folder(spark, "tomo-progress"))
+    return (writer.trigger(availableNow=True) if available_now else writer).start()
+
+
+def live_job(spark: SparkSession, root: str, cfg: TomoConfig, ny: int) -> stream.Reconstruction:
+    """Reconstruction of source rows that are repeated after they are calibrated, as in `run_batch`."""
+    return stream.Reconstruction(spark, root, replace(cfg, num_sinograms=cfg.num_sinograms or ny), lambda rows: repeated_rows(rows, ny, cfg))
 
 
-def tick_batch(job: stream.Reconstruction, images: DataFrame, n: int, ny: int):
-    """Batch writer from ticks to reconstruction; reads only the frames of its ticks."""
+def tick_batch(job: stream.Reconstruction, images: DataFrame, n: int):
+    """Batch writer from ticks to reconstruction: the static frames are filtered to the positions in reach of the ticks, then joined."""
     def process(ticks: DataFrame, batch: int) -> None:
         frames = fr.tick_frames(ticks, fr.frames_in_reach(images, ticks, n), n)
-        job.process(message_rows(frames, ny, job.cfg), batch)
+        job.process(source_rows(frames, job.cfg), batch)
 
     return process

@@ -7,8 +7,8 @@ written under the number of this one:
     progress  row_id, n, last_seq, fin_seq      written last: it commits the batch
     tail      messages that later windows can still cover
     calib     calibration frames since the last reset of their set
-    image     the current image of every row id
-    open      emitted images of iterations that still lack rows
+    image     the current image of every row id: a batch writes those it changed
+    open      emitted images of iterations that still lack rows, likewise
 
 A batch that is repeated after a failure finds either its commit, and does
 nothing, or the tables of the batch before, and replaces its own. Nothing is
@@ -18,6 +18,8 @@ an uninterrupted run.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -28,6 +30,7 @@ from sinogrid.operators import calibrate, records, sirt
 from sinogrid.operators.blocked import block_of, keyed_rank
 from sinogrid.plans import reconstruct
 from sinogrid.sources.frames import ITYPES
+from sinogrid.streaming.store import DeltaTable
 
 MESSAGE = "row_id BIGINT, seq BIGINT, theta DOUBLE, center DOUBLE, ray ARRAY<DOUBLE>, rn BIGINT"
 PROGRESS = "row_id BIGINT, n BIGINT, last_seq BIGINT, fin_seq BIGINT"
@@ -39,10 +42,11 @@ NEVER = 2**63 - 1
 class Reconstruction:
     """The tables of one streaming reconstruction below `root`."""
 
-    def __init__(self, spark: SparkSession, root: str, cfg: TomoConfig):
+    def __init__(self, spark: SparkSession, root: str, cfg: TomoConfig, spread: Callable[[DataFrame], DataFrame] | None = None):
+        """`spread` is applied to the cleaned rows of a batch, for example to repeat them."""
         if cfg.num_sinograms < 1:
             raise ValueError("num_sinograms is needed: an iteration is complete when that many row ids are there")
-        self.spark, self.root, self.cfg = spark, root.rstrip("/"), cfg
+        self.spark, self.root, self.cfg, self.spread = spark, root.rstrip("/"), cfg, spread or (lambda rows: rows)
 
     # -- tables -------------------------------------------------------------
 
@@ -60,6 +64,12 @@ class Reconstruction:
         df.write.mode("overwrite").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def images(self) -> DeltaTable:
+        return DeltaTable(self.spark, self.root, "image", IMAGE, ["row_id"])
+
+    def waiting(self) -> DeltaTable:
+        return DeltaTable(self.spark, self.root, "open", OPEN, ["iteration", "row_id"])
+
     @property
     def output(self) -> str:
         return f"{self.root}/recon"
@@ -82,10 +92,11 @@ class Reconstruction:
             return
         before = self.progress(batch - 1)
         fins, rows = self._split(frames)
-        rows = self._clean(self._check(rows, batch), batch)
+        rows = self.spread(self._clean(self._check(rows, batch), batch))
         new, ends = self._number(rows, fins, before, batch)
         work = self._due(new, before, batch)
-        fired = reconstruct.fire(work, self._path("run", batch), self.cfg, self._read("image", batch - 1, IMAGE))
+        start = self.images().read(batch - 1, work.where("fired > done").select("row_id"))
+        fired = reconstruct.fire(work, self._path("run", batch), self.cfg, start)
         self._gather(fired, batch)
         self._keep_images(fired, batch)
         self._commit(new, ends, before, batch)
@@ -147,21 +158,21 @@ class Reconstruction:
         return work
 
     def _gather(self, fired: reconstruct.Fired, batch: int) -> None:
-        pool = self._read("open", batch - 1, OPEN).unionByName(fired.emitted().select("row_id", "tile", "vals", "iteration"))
-        pool = self._write(pool, "pool", batch)
-        rows = pool.groupBy("iteration", "row_id").agg(F.count(F.lit(1)).alias("_t"))
-        done = (rows.groupBy("iteration").agg(F.count(F.lit(1)).alias("_rows"))
+        """Write the iterations that are complete now; images that wait for others stay where they were written."""
+        waiting = self.waiting()
+        new = fired.emitted().select("row_id", "tile", "vals", "iteration")
+        known = waiting.manifest(batch - 1).select("iteration", "row_id").unionByName(new.select("iteration", "row_id")).distinct()
+        done = (known.groupBy("iteration").agg(F.count(F.lit(1)).alias("_rows"))
                 .where(F.col("_rows") == self.cfg.num_sinograms).select("iteration"))
         done = self._write(done, "complete", batch)
+        gone = known.join(done, "iteration", "left_semi")
         if not done.isEmpty():
-            sinks.write_iterations(pool.join(done, "iteration", "left_semi"), self.output)
-        self._write(pool.join(done, "iteration", "left_anti").select("row_id", "tile", "vals", "iteration"), "open", batch)
+            # a row id emits an iteration once, so nothing new replaces what waits
+            sinks.write_iterations(waiting.read(batch - 1, gone).unionByName(new).join(done, "iteration", "left_semi"), self.output)
+        waiting.write(new.join(done, "iteration", "left_anti"), batch, gone)
 
     def _keep_images(self, fired: reconstruct.Fired, batch: int) -> None:
-        earlier = self._read("image", batch - 1, IMAGE)
-        latest = fired.latest().select("row_id", "tile", "vals")
-        changed = latest.select("row_id").distinct()
-        self._write(earlier.join(changed, "row_id", "left_anti").unionByName(latest), "image", batch)
+        self.images().write(fired.latest().select("row_id", "tile", "vals"), batch)
 
     def _commit(self, new: DataFrame, ends: DataFrame, before: DataFrame, batch: int) -> None:
         rows = (before.select("row_id", "n", "last_seq")
@@ -170,10 +181,12 @@ class Reconstruction:
         self._write(rows.join(ends, "row_id", "full").select(
             "row_id", F.coalesce("n", F.lit(0)).cast("bigint").alias("n"), "last_seq", "fin_seq"), "progress", batch)
         # Tables of the batch before are read again only by this batch, which is now committed.
-        for name in ("new", "work", "run", "levels", "pool", "complete", "ends"):
+        for name in ("new", "work", "run", "levels", "complete", "ends"):
             scratch.discard(self.spark, self._path(name, batch))
-        for name in ("tail", "calib", "image", "open", "progress"):
+        for name in ("tail", "calib", "progress"):
             scratch.discard(self.spark, self._path(name, batch - 1))
+        self.images().tidy(batch)
+        self.waiting().tidy(batch)
 
 
 def _since_reset(frames: DataFrame) -> DataFrame:

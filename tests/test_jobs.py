@@ -11,7 +11,6 @@ from sinogrid.sinks import read_kv_csv
 from sinogrid.sources import frames as fr
 from sinogrid.sources import generators as gen
 from sinogrid.sources import views
-from sinogrid.streaming.tomography import Reconstruction
 from tests.model import mixed_checksum
 
 
@@ -57,8 +56,9 @@ def test_tomography_stream_equals_batch(spark, data, tmp_path):
     assert done == ["000000", "000002", "000004"]
     assert sum(r.status == "WARMUP" for r in notices) == sum(r.status == "FIN" for r in notices) == 10
 
-    job = Reconstruction(spark, str(tmp_path / "stream"), cfg)
-    process = tomography.tick_batch(job, images, *tomography.image_facts(images))
+    n, ny = tomography.image_facts(images)
+    job = tomography.live_job(spark, str(tmp_path / "stream"), cfg, ny)
+    process = tomography.tick_batch(job, images, n)
     for batch, (low, high) in enumerate(((1, 23), (24, 60))):
         process(gen.ticks(spark, cfg).where(F.col("seq").between(low, high)), batch)
     key = lambda df: {(r.row_id, r.iteration, r.pix): round(r.val, 9) for r in sirt.image_pixels(df, 8, 4).collect()}
