@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -68,13 +69,18 @@ class Batch:
             own = [x if good else () for x, good in zip(side, ok)]
             sizes = np.fromiter(map(len, h), np.int64, len(h))
             lengths = np.fromiter(map(len, own), np.int64, len(own))
-            line = np.fromiter((k for x in own for k in x), np.int64, lengths.sum())
+            line = np.fromiter(chain.from_iterable(own), np.int64, lengths.sum())
             self.ids.append(line)
             self.docs.append(np.repeat(np.arange(len(own)), lengths))
             self.ends.append(np.cumsum(sizes[line]))
         self.bytes = int(self.ends[0][-1]) if len(self.ends[0]) else 0
-        self.cuts = np.intersect1d(*self.ends)
-        self.groups = [np.searchsorted(self.cuts, e) for e in self.ends]
+        both = np.zeros((2, self.bytes + 1), np.bool_)
+        for side, e in zip(both, self.ends):
+            side[e] = True
+        cut = both[0] & both[1]
+        self.cuts = np.flatnonzero(cut)
+        before = np.cumsum(cut) - cut
+        self.groups = [before[e] for e in self.ends]
 
     def counted(self, values: np.ndarray) -> np.ndarray:
         return np.bincount(values, minlength=self.count)
@@ -101,13 +107,17 @@ class Batch:
 
     def written(self, tables: tuple[list[str], list[str]]) -> list[str]:
         """The groups of each document as text: ids of a group's A side, a bar, those of its B side, groups parted by semicolons."""
-        group = np.concatenate(self.groups)
-        side = np.repeat([0, 1], [len(x) for x in self.ids])
-        order = np.argsort(group * 2 + side, kind="stable")
-        group, side, ids, docs = group[order], side[order], np.concatenate(self.ids)[order], np.concatenate(self.docs)[order]
-        last = np.append((np.diff(group) != 0) | (np.diff(side) != 0), True)[:len(ids)].astype(np.int64)
+        sizes = [np.bincount(g, minlength=len(self.cuts)) for g in self.groups]
+        # where each token of a side comes: behind its own side's and the other's tokens of earlier groups
+        earlier = np.cumsum(sizes[1]) - sizes[1], np.cumsum(sizes[0])
+        at = [np.arange(len(g)) + e[g] for g, e in zip(self.groups, earlier)]
+        codes, docs = (np.empty(len(self.ids[0]) + len(self.ids[1]), np.int64) for _ in range(2))
+        for k, (place, g) in enumerate(zip(at, self.groups)):
+            last = np.append(np.diff(g) != 0, True)[:len(g)]
+            codes[place] = self.ids[k] * 2 + last + k * len(tables[0])
+            docs[place] = self.docs[k]
         both = tables[0] + tables[1]
-        parts = list(map(both.__getitem__, ((ids + side * (len(tables[0]) // 2)) * 2 + last).tolist()))
+        parts = list(map(both.__getitem__, codes.tolist()))
         at = np.searchsorted(docs, np.arange(self.count + 1)).tolist()
         return ["".join(parts[a:b])[:-1] for a, b in zip(at, at[1:])]
 

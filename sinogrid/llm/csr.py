@@ -28,13 +28,14 @@ class Csr:
         """From entries in any order; entries of one place are added."""
         values = np.ones(len(rows), np.int64) if values is None else values
         place = rows.astype(np.int64) * width + columns
-        if len(place) and (np.diff(place) <= 0).any():
-            order = np.argsort(place, kind="stable")
-            place, values = place[order], values[order]
+        step = np.diff(place)
+        if (step <= 0).any():
+            if (step < 0).any():
+                order = np.argsort(place, kind="stable")
+                place, rows, columns, values = place[order], rows[order], columns[order], values[order]
             first = np.flatnonzero(np.diff(place, prepend=-1))
-            place, values = place[first], np.add.reduceat(values, first)
-        bounds = np.searchsorted(place, np.arange(height + 1, dtype=np.int64) * width)
-        return Csr(bounds, place % max(width, 1), values, width)
+            rows, columns, values = rows[first], columns[first], np.add.reduceat(values, first)
+        return Csr(np.concatenate([[0], np.cumsum(np.bincount(rows, minlength=height))]), columns, values, width)
 
     @property
     def height(self) -> int:
