@@ -10,10 +10,12 @@ rules the pair out, by the sets themselves.
 
 With 36 bands of 7 registers a pair of Jaccard similarity J meets with a chance
 of 1 - (1 - J^7)^36 at least (equal registers are somewhat likelier than J): all
-but 9e-7 at 0.85, 6e-11 at 0.9. Equal sets are one node. A bucket never lists all its pairs at first: its
-nodes meet some pivots, groups are formed of the links, and only nodes of
-different groups are compared further. In buckets above `small` nodes these must
-also share one of their rarest shingles, as all pairs above the similarity do.
+but 9e-7 at 0.85, 6e-11 at 0.9. Equal sets are one node. A bucket never lists
+all its pairs: its nodes meet a few pivots, of these pairs each node's likeliest
+is verified first, groups are formed of the links, and only pairs of different
+groups are verified further. The nodes of buckets that still hold several groups
+are listed under their rarest shingles, one of which all pairs above the
+similarity share, and nodes outside such a list's largest group meet its others.
 """
 
 from __future__ import annotations
