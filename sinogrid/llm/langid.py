@@ -10,22 +10,24 @@ scores are the sums over its words, every occurrence counted.
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sinogrid.llm.tables import stored
 
 UNKNOWN = "und"
-_WORD = re.compile(r"[^\W\d_]+")
+_WORD = regex.compile(r"\p{L}+")
 _ORDER = 5
 _CACHED = 200_000
+_CHUNK = 60
+_RUN = 1 << 16
 
 
 @dataclass
@@ -63,10 +65,14 @@ def fit(docs: DataFrame, learn_from: Column, sample_rows: int = 16_000, max_word
         return (counts.groupBy(name).agg(F.sum("n").alias("n"), *row).where(F.col("n") >= least)
                 .orderBy(F.desc("n"), name).limit(most).drop("n").collect())
 
-    marked = F.concat(F.lit("<"), F.substring("word", 1, 60), F.lit(">"))
-    grams = [words.select("lang", "n", F.explode(F.expr(
-        f"transform(sequence(1, greatest(length(w) - {k - 1}, 1)), i -> substring(w, i, {k}))")).alias("gram"))
-        for words in [words.select("lang", "n", marked.alias("w"))] for k in range(1, _ORDER + 1)]
+    # a long run is cut into chunks, each read with the first letters of the next one: no n-gram is lost or met twice
+    marked = F.concat(F.lit("<"), "word", F.lit(">"))
+    parts = words.select("lang", "n", F.regexp_extract_all(marked, F.lit(f"(?s).{{1,{_CHUNK}}}"), F.lit(0)).alias("parts"))
+    grams = [parts.select("lang", "n", F.posexplode(F.expr(
+        f"transform(parts, (p, i) -> concat(p, substring(coalesce(get(parts, i + 1), ''), 1, {k - 1})))")).alias("at", "w"))
+        .where((F.col("at") == 0) | (F.length("w") >= k)).select("lang", "n", F.explode(F.expr(
+            f"transform(sequence(1, greatest(length(w) - {k - 1}, 1)), i -> substring(w, i, {k}))")).alias("gram"))
+        for k in range(1, _ORDER + 1)]
     names, rows, scores = {}, {}, []
     for name, lists in (("word", [frequent(words, "word", max_words, 2)]), ("gram", [frequent(g, "gram", max_grams, 1) for g in grams])):
         index = {}
@@ -92,13 +98,19 @@ class Scorer:
     def unseen(self, word: str) -> np.ndarray:
         found = self.seen.get(word)
         if found is None:
-            marked, grams = f"<{word}>" if len(word) <= 60 else f"<{word[:60]}>", self.model.grams
+            marked, grams = f"<{word}>", self.model.grams
             found = self.zero
             for k in range(_ORDER, 0, -1):
-                rows = [grams[g] for i in range(len(marked) - k + 1) if (g := marked[i:i + k]) in grams and g not in "<>"]
-                if rows:
-                    found = self.model.scores[rows].mean(axis=0)
+                total, times = 0.0, 0
+                for begin in range(0, len(marked) - k + 1, _RUN):
+                    rows = [grams[g] for i in range(begin, min(begin + _RUN, len(marked) - k + 1)) if (g := marked[i:i + k]) in grams and g not in "<>"]
+                    if rows:
+                        total, times = total + self.model.scores[rows].sum(axis=0, dtype=np.float64), times + len(rows)
+                if times:
+                    found = (total / times).astype(np.float32)
                     break
+            if len(word) > _CHUNK:
+                return found
             if len(self.seen) >= _CACHED:
                 self.seen.clear()
             self.seen[word] = found
@@ -127,7 +139,8 @@ class Scorer:
 def predict(docs: DataFrame, model: Model, keep: list[Column]) -> DataFrame:
     """`keep` of each document with lang_pred and score (posterior of equally likely languages).
 
-    Null texts and texts without a letter are `und` with score 0. Ties, as of a
+    Null texts and texts without a letter (number signs such as a half or a
+    circled one are none) are `und` with score 0. Runs of letters are read whole. Ties, as of a
     text whose letters are all unknown, go to the first language by name.
     Repeated rows are scored alike; further columns are left out.
     """
