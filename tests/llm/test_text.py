@@ -1,8 +1,11 @@
+import math
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pytest
+import regex
 from pyspark.sql import functions as F
 
 from sinogrid.llm import decontaminate, langid, pii, toxicity, warc
@@ -116,6 +119,36 @@ def test_swaps_of_sentences():
     assert toxicity.swapped("nobody named") == []
 
 
+def test_training_reaches_a_minimum_of_the_stated_loss():
+    own, y = [[0], [0, 1], [1, 2], [2], [], [0, 2]], [1, 1, 0, 0, 0, 1]
+    before, after = [[0, 1], [2]], [[0, 2], [1]]
+
+    def loss(b, w):
+        score = lambda x: 1 / (1 + math.exp(-b - sum(w[i] for i in x)))
+        fit = -sum(math.log(score(x) if t else 1 - score(x)) / 6 for x, t in zip(own, y))
+        return fit + 1e-3 * sum(x * x for x in w) + 2.0 * sum((score(q) - score(p)) ** 2 for p, q in zip(before, after)) / 2
+
+    b, w = toxicity.train(own, np.array(y, float), np.full(6, 1 / 6), before, after, 3, 2.0, 1e-3, rounds=4000, step=0.02)
+    least = loss(b, list(w))
+    for i in range(3):
+        for by in (-0.05, 0.05):
+            assert loss(b, [x + by * (j == i) for j, x in enumerate(w)]) >= least - 1e-9
+    assert loss(b + 0.05, w) >= least and loss(b - 0.05, w) >= least
+
+
+def test_given_documents_hold_the_model_to_swaps(spark):
+    folder = "/root/testdata/sf0.01"
+    docs, labels = (spark.read.parquet(f"{folder}/{x}.parquet") for x in ("documents", "labels"))
+    free, tied = (toxicity.fit(docs, labels, F.lit(True), penalty=p) for p in (0.0, 100.0))
+    assert tied.pairs > 0
+
+    def gap(model):
+        score = toxicity.Scorer(model)
+        return max(abs(score(f"the of and {w}") - score("the of and")) for group in toxicity.IDENTITY_TERMS for w in group)
+
+    assert gap(tied) < 0.1 and gap(tied) < gap(free) / 3
+
+
 LINES = {"en": "the river and the house were very quiet this morning", "de": "der fluss und das haus waren heute morgen sehr ruhig",
          "es": "el río y la casa estaban muy tranquilos esta mañana"}
 
@@ -137,6 +170,53 @@ def test_language_words_first_then_grams(spark):
     assert langid.predict(h.documents(spark, []), model, [F.col("doc_id")]).count() == 0
 
 
+def plain_language(rows, texts):
+    """The same model and scores with dictionaries: words seen twice, n-grams of all words, longest known order of an unseen word."""
+    letters = lambda t: regex.findall(r"\p{L}+", (t or "").lower())
+    langs = sorted({lang for _, lang in rows})
+    words, grams = Counter(), [Counter() for _ in range(6)]
+    for text, lang in rows:
+        for w in letters(text):
+            words[w, lang] += 1
+            for k in range(1, 6):
+                m = f"<{w}>"
+                grams[k].update((m[i:i + k], lang) for i in range(max(1, len(m) - k + 1)))
+    table = lambda c, least: ({x for x, _ in c if sum(c[x, y] for y in langs) >= least}, c)
+    words, grams = table(words, 2), [table(c, 1) for c in grams]
+
+    def logs(x, known, counts):
+        return np.array([math.log((counts[x, y] + 0.5) / (sum(counts[z, y] for z in known) + 0.5 * len(known))) for y in langs])
+
+    out = []
+    for text in texts:
+        total, found = np.zeros(len(langs)), letters(text)
+        for w in found:
+            if w in words[0]:
+                total += logs(w, *words)
+                continue
+            m = f"<{w}>"
+            for k in range(5, 0, -1):
+                got = [g for i in range(len(m) - k + 1) if (g := m[i:i + k]) in grams[k][0] and g not in "<>"]
+                if got:
+                    total += np.mean([logs(g, *grams[k]) for g in got], axis=0)
+                    break
+        chances = np.exp(total - total.max())
+        out.append((langs[int(chances.argmax())], chances.max() / chances.sum()) if found else ("und", 0.0))
+    return out
+
+
+def test_language_equals_a_plain_version_with_runs_of_any_length(spark):
+    rows = [(f"{t} {' '.join(random.Random(i).sample(t.split(), 4))}", lang) for i in range(3) for lang, t in LINES.items()]
+    rows += [("ab" * 45 + "xyzzy" * 9 + "q", "en"), ("ab" * 45 + "yzzxy" * 9 + "q", "de"), ("½ 12 m²", "es")]
+    texts = ["the quiet housing", "flüsse und häuser", "casas", "ba" * 31 + "yzzxyyzzxy", "ab" * 40 + "xyzzyxyzzy", "½ ²", "①", "Ⅷ", "m² río", None, "", "q" * 200]
+    docs = spark.createDataFrame([(i, t, lang) for i, (t, lang) in enumerate(rows)], "doc_id long, text string, lang string")
+    scorer = langid.Scorer(langid.fit(docs, F.lit(True)))
+    got, want = [scorer(t) for t in texts], plain_language(rows, texts)
+    assert [x for x, _ in got] == [x for x, _ in want]
+    assert np.allclose([p for _, p in got], [p for _, p in want], atol=1e-4)
+    assert [x for x, _ in got[5:8]] == ["und"] * 3 and got[3][0] == "de" and got[4][0] == "en"
+
+
 ITEM = "If Anna buys 12 apples for 5 euros and gives 4 of them to Bernd how many apples does Anna have left"
 
 
