@@ -33,6 +33,9 @@ MURMUR_F1 = 0x85EBCA6B
 MURMUR_F2 = 0xC2B2AE35
 MURMUR_LEN = 4
 
+# Fixed value: seed with which Spark hashes the columns of a hash partitioning.
+PARTITION_SEED = 42
+
 # Fixed value: rounds of the record checksum.
 CHECKSUM_ROUNDS = 1000
 
@@ -85,7 +88,7 @@ def with_murmur_u32(df: DataFrame, source: str, out: str) -> DataFrame:
     ])
 
 
-def with_murmur_inv_u32(df: DataFrame, source: str, out: str) -> DataFrame:
+def with_murmur_inv_u32(df: DataFrame, source: str, out: str, seed: int = 0) -> DataFrame:
     """Add `out`: the integer whose Murmur3 value is `source`."""
     return _in_stages(df, source, out, [
         lambda k: _xorshift(k, 16),
@@ -95,7 +98,7 @@ def with_murmur_inv_u32(df: DataFrame, source: str, out: str) -> DataFrame:
         lambda k: _xorshift(k, 16).bitwiseXOR(F.lit(MURMUR_LEN)),
         lambda k: (k + F.lit(2**32 - MURMUR_ADD)).bitwiseAND(F.lit(MASK32)),
         lambda k: _mul32(k, _inverse32(5)),
-        lambda k: _rot32(k, 32 - 13),
+        lambda k: _rot32(k, 32 - 13).bitwiseXOR(F.lit(seed)),
         lambda k: _mul32(k, _inverse32(MURMUR_C2)),
         lambda k: _rot32(k, 32 - 15),
         lambda k: _mul32(k, _inverse32(MURMUR_C1)),

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sinogrid.functions.hashing import java_hash, with_murmur_u32
+from sinogrid.functions.hashing import PARTITION_SEED, java_hash, with_murmur_inv_u32, with_murmur_u32
 from sinogrid.operators.blocked import block_of, keyed_rank
 
 # Fixed value: records sent to one target before the next one is used.
@@ -89,6 +89,27 @@ def with_modulo(df: DataFrame, targets: int, key: str = "row_id") -> DataFrame:
     return df.withColumn(SINK, modulo_target(F.col(key), targets))
 
 
+def with_balanced_key(df: DataFrame, source: str = "row_id", out: str = "place_key") -> DataFrame:
+    """Add the INT key whose hash, as Spark partitions by it, is `source`.
+
+    Then `repartition(n, out)` alone puts a row into partition `source` modulo
+    n, for every n: consecutive ids are dealt out evenly, and whatever keeps
+    that partitioning (a join or aggregate on `out`) needs no further exchange.
+    `source` has to fit into 32 bits with sign; a null, and what does not fit,
+    gets a null key.
+    """
+    value = F.col(source).cast("bigint")
+    df = with_murmur_inv_u32(df, source, out, PARTITION_SEED)
+    signed = F.when(F.col(out) >= 2**31, F.col(out) - F.lit(2**32)).otherwise(F.col(out)).cast("int")
+    return df.withColumn(out, F.when(value.between(-2**31, 2**31 - 1), signed))
+
+
+def partition_load(df: DataFrame, *extra: str) -> DataFrame:
+    """Rows in each partition of `df` as it lies (per value of `extra`)."""
+    return (df.select(*extra, F.spark_partition_id().alias("part")).groupBy(*extra, "part")
+            .agg(F.count(F.lit(1)).alias("records")))
+
+
 def key_or_random(df: DataFrame, num_keys: int, key: str = "row_id", seed: str = "seq") -> DataFrame:
     """Fill a missing key with a spread, but repeatable, value in [0, num_keys)."""
     df = with_murmur_u32(df, seed, "_spread")

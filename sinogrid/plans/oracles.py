@@ -238,6 +238,12 @@ def all_oracles() -> dict[str, str]:
     q["sink_kv_csv"] = f"WITH {KV}, {CHECKSUMS} SELECT key, val, checksum, count(*) AS n FROM kv JOIN sums USING (key) GROUP BY ALL"
     q["sink_iterations"] = f"""WITH {FRAMES} SELECT lpad(projection_id::VARCHAR, 6, '0') AS iteration, count(DISTINCT row_id) AS row_ids,
  CAST(sum(len(ray)) AS BIGINT) AS samples, {r(f"sum({list_total('ray')})")} AS total FROM frames GROUP BY projection_id"""
+    q["placement_forward"] = "SELECT 0::BIGINT AS moved, count(*) AS records FROM events"
+    q["placement_shuffle"] = "SELECT 4 AS targets, count(*) AS records, 0::BIGINT AS above_share FROM events"
+    q["balanced_placement"] = "SELECT o_orderkey AS row_id, CAST(o_orderkey % 4 AS INTEGER) AS part FROM orders"
+    q["stream_progress"] = f"""WITH {KV}, span AS (SELECT min(seq) AS low, max(seq) + 1 - min(seq) AS width FROM kv)
+ SELECT CAST(b AS BIGINT) AS batch, count(*) AS messages, CAST(sum(strlen(key)) AS BIGINT) AS bytes, max(seq) AS last_seq
+ FROM kv, span, range(0, 3) t(b) WHERE seq >= low + width * b // 3 AND seq < low + width * (b + 1) // 3 GROUP BY b"""
     for job in ("forward", "shuffle", "reroute", "interleave"):
         q[f"stream_kv_{job}"] = q["sink_kv_csv"]
     q["stream_kv_broadcast"] = q["sink_kv_csv"].replace("count(*) AS n", "4 * count(*) AS n")
@@ -329,6 +335,7 @@ def all_oracles() -> dict[str, str]:
     q["sirt_iterated"] = f"""{reconstruction('31::DOUBLE', 40, 40, 2)}
  SELECT row_id, {label} AS iteration, pix, {r('val')} AS val FROM image WHERE k > 0"""
     q["tomography_job"] = tomography_sql()
+    q["restore_rows"] = f"SELECT * FROM ({q['recon_state']}) state WHERE row_id % 2 = 0"
     q["stream_tomography"] = f"SELECT iteration, pixels, total FROM ({q['tomography_job']}) job WHERE status = 'DENOISED'"
     q["stream_reconstruct"] = q["sirt_emit"]
     q["assemble_iterations"] = f"""WITH {GATHER} SELECT iteration, row_id, pix, arrival, {r('val')} AS val FROM messages JOIN done USING (iteration)

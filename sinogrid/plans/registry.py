@@ -373,6 +373,33 @@ def route_modulo(spark, d):
     return _placed(routing.with_modulo(rows, TARGETS))
 
 
+@query
+def placement_forward(spark, d):
+    """Rows by where they lay and where they lie after forwarding: none has moved."""
+    rows = views.kv(spark, d).withColumn("was", F.spark_partition_id())
+    moved = F.when(F.col("part") != F.col("was"), F.col("records")).otherwise(0)
+    return routing.partition_load(routing.forward(rows), "was").agg(
+        F.coalesce(F.sum(moved), F.lit(0)).alias("moved"), F.coalesce(F.sum("records"), F.lit(0)).alias("records"))
+
+
+@query
+def placement_shuffle(spark, d):
+    """Rows after shuffling: every target is used, and no task gave one of them more than its even share."""
+    rows = views.kv(spark, d).withColumn("was", F.spark_partition_id())
+    dealt = routing.partition_load(routing.shuffle(rows, TARGETS), "was")
+    share = dealt.groupBy("was").agg(F.sum("records").alias("records"), F.max("records").alias("most"), F.collect_set("part").alias("parts"))
+    return share.agg(F.size(F.array_distinct(F.flatten(F.collect_list("parts")))).alias("targets"), F.sum("records").alias("records"),
+                     F.max(F.col("most") - F.ceil(F.col("records") / TARGETS)).alias("above_share"))
+
+
+@query
+def balanced_placement(spark, d):
+    """Plain hash partitioning of inverted keys deals consecutive ids out in turn."""
+    ids = views.table(spark, d, "orders").selectExpr("o_orderkey AS row_id")
+    placed = routing.with_balanced_key(ids).repartition(TARGETS, "place_key")
+    return placed.select("row_id", F.spark_partition_id().alias("part"))
+
+
 @query
 def key_or_random(spark, d):
     rows = views.bad_rows(spark, d).select("row_id", "seq", "projection_id")
@@ -576,19 +603,22 @@ def after_fin_filter(spark, d):
 BATCHES = 3
 
 
-def _in_batches(src, order, start):
-    """Hand the rows of `src` to a stream in BATCHES parts by `order`; it is started anew, from its checkpoint, for each.
+def _in_batches(src, order, start, parts=BATCHES):
+    """Hand the rows of `src` to a stream in `parts` parts by `order`; it is started anew, from its checkpoint, for each.
 
     `start` takes the streaming table and gives the started query, which ends
-    when it has read what is there.
+    when it has read what is there. The ended queries are returned.
     """
     spark, schema = src.sparkSession, src.schema
     folder = scratch.new_folder(spark, "stream-source")
     low, high = src.agg(F.min(order), F.max(order)).first()
-    cuts = [low + (high + 1 - low) * k // BATCHES for k in range(BATCHES + 1)]
+    cuts = [low + (high + 1 - low) * k // parts for k in range(parts + 1)]
+    ended = []
     for begin, end in zip(cuts, cuts[1:]):
         src.where((F.col(order) >= begin) & (F.col(order) < end)).write.mode("append").parquet(folder)
-        start(spark.readStream.schema(schema).parquet(folder)).awaitTermination()
+        ended.append(start(spark.readStream.schema(schema).parquet(folder)))
+        ended[-1].awaitTermination()
+    return ended
 
 
 @query
@@ -660,6 +690,26 @@ def stream_reconstruct(spark, d):
     return sirt.image_pixels(images, NX, cfg.tile).selectExpr("row_id", "iteration", "pix", *_round("val"))
 
 
+@query
+def restore_rows(spark, d):
+    """Even row ids taken out of a run after half its messages into a new one: their last images."""
+    src = views.frames(spark, d).select("row_id", "seq", "theta", "center", "ray")
+    half = views.frames_per_row(spark, d) // 2
+    runs = []
+    for part, rows in ((src.where(F.col("seq") <= half), views.ROWS), (src.where((F.col("seq") > half) & (F.col("row_id") % 2 == 0)), views.ROWS // 2)):
+        cfg = replace(SIRT, num_sinograms=rows)
+        root, progress = scratch.new_folder(spark, "restore"), scratch.new_folder(spark, "restore-progress")
+        run = stream_tomo.Reconstruction(spark, root, cfg)
+        if runs:
+            run.restore(runs[0], spark.range(0, views.ROWS, 2).select(F.col("id").alias("row_id")))
+        _in_batches(part, "seq", lambda rows: stream_tomo.start(rows, cfg, root, progress, True), parts=1)
+        runs.append(run)
+    last = runs[1].last_batch()
+    passes = runs[1].progress(last).select("row_id", (F.floor(F.col("n") / SIRT.window_step) - 1).alias("pass0"))
+    return sirt.image_pixels(runs[1].images().read(last), NX, TILE).join(passes, "row_id").groupBy("row_id", "pass0").agg(
+        F.count(F.lit(1)).alias("pixels"), F.round(F.sum("val"), 6).alias("total"))
+
+
 @query
 def stream_tomography(spark, d):
     """The whole job as one streaming query: ticks come as a stream and look up frames of a static table."""
@@ -685,6 +735,19 @@ def progress_snapshot(spark, d):
     return stats.progress_snapshot(views.arrivals(spark, d), "events")
 
 
+@query
+def stream_progress(spark, d):
+    """Figures that a running stream reports with its batches."""
+    src = views.kv(spark, d)
+    progress = scratch.new_folder(spark, "observed-progress")
+    ended = _in_batches(src, "seq", lambda rows: (
+        stats.observed(rows, F.octet_length("key")).writeStream.format("noop")
+        .option("checkpointLocation", progress).trigger(availableNow=True).start()))
+    reports = [r for one in ended for r in stats.batch_progress(one)]
+    rows = [(r["batch"], r["messages"], r["bytes"], r["last_seq"]) for r in reports]
+    return spark.createDataFrame(rows, "batch BIGINT, messages BIGINT, bytes BIGINT, last_seq BIGINT")
+
+
 @query
 def progress_json(spark, d):
     return stats.progress_json(stats.progress_snapshot(views.arrivals(spark, d), "events")).select("row_id", "json")

@@ -46,6 +46,13 @@ def committed(spark: SparkSession, path: str) -> bool:
     return exists(spark, f"{path}/_SUCCESS")
 
 
+def numbers(spark: SparkSession, path: str, name: str) -> list[int]:
+    """The n of all folders path/name=n that a job has finished writing."""
+    files, where = _filesystem(spark, f"{path}/{name}=*")
+    found = [str(f.getPath().getName()).split("=")[1] for f in files.globStatus(where) or []]
+    return sorted(int(n) for n in found if committed(spark, f"{path}/{name}={n}"))
+
+
 def discard(spark: SparkSession, path: str) -> None:
     """Remove an intermediate table of this run."""
     files, where = _filesystem(spark, path)

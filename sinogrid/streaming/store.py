@@ -31,8 +31,8 @@ class DeltaTable:
         return f"{self.folder}/manifest/batch={batch}"
 
     def manifest(self, batch: int) -> DataFrame:
-        """(keys, at) after a batch; empty before the first."""
-        if batch >= 0 and scratch.committed(self.spark, self._manifest_path(batch)):
+        """(keys, at) after a batch; empty before the first. What a run was begun with is under number -1."""
+        if batch >= -1 and scratch.committed(self.spark, self._manifest_path(batch)):
             return self.spark.read.schema(self._manifest_schema).parquet(self._manifest_path(batch))
         return self.spark.createDataFrame([], self._manifest_schema)
 

@@ -37,6 +37,8 @@ PROGRESS = "row_id BIGINT, n BIGINT, last_seq BIGINT, fin_seq BIGINT"
 IMAGE = "row_id BIGINT, tile INT, vals ARRAY<DOUBLE>"
 OPEN = "row_id BIGINT, tile INT, vals ARRAY<DOUBLE>, iteration STRING"
 NEVER = 2**63 - 1
+# number under which a run keeps the state that it was begun with
+BEGUN = -1
 
 
 class Reconstruction:
@@ -55,7 +57,7 @@ class Reconstruction:
 
     def _read(self, name: str, batch: int, schema) -> DataFrame:
         path = self._path(name, batch)
-        if batch >= 0 and scratch.committed(self.spark, path):
+        if batch >= BEGUN and scratch.committed(self.spark, path):
             return self.spark.read.schema(schema).parquet(path)
         return self.spark.createDataFrame([], schema)
 
@@ -84,6 +86,37 @@ class Reconstruction:
     def rejected(self) -> DataFrame:
         return self.spark.read.option("basePath", f"{self.root}/rejected").parquet(f"{self.root}/rejected/batch=*")
 
+    # -- restore ------------------------------------------------------------
+
+    def last_batch(self) -> int | None:
+        """The newest committed batch."""
+        return max(scratch.numbers(self.spark, f"{self.root}/progress", "batch"), default=None)
+
+    def restore(self, earlier: Reconstruction, only: DataFrame | None = None) -> None:
+        """Begin this run, which has no batch yet, with what `earlier` had after its last batch.
+
+        `only` (a column row_id) names the row ids to take; without it all are
+        taken. Their messages, counts, calibration frames, images and emitted
+        images that wait for other row ids are copied, so the run goes on as if
+        it had not been interrupted. Iterations that `earlier` has written stay
+        with it. Progress is written last: a restore that failed can be repeated.
+        """
+        batch = earlier.last_batch()
+        if batch is None:
+            raise ValueError("nothing to restore: the earlier run has no committed batch")
+        if self.last_batch() not in (None, BEGUN):
+            raise ValueError("a run can only be restored before its first batch")
+
+        def chosen(df: DataFrame) -> DataFrame:
+            return df if only is None else df.join(only.select("row_id").distinct(), "row_id", "left_semi")
+
+        if scratch.committed(self.spark, earlier._path("calib", batch)):
+            self._write(chosen(self.spark.read.parquet(earlier._path("calib", batch))), "calib", BEGUN)
+        self._write(chosen(earlier._read("tail", batch, MESSAGE)), "tail", BEGUN)
+        for ours, theirs in ((self.images(), earlier.images()), (self.waiting(), earlier.waiting())):
+            ours.write(chosen(theirs.read(batch)), BEGUN)
+        self._write(chosen(earlier.progress(batch)), "progress", BEGUN)
+
     # -- one micro-batch ----------------------------------------------------
 
     def process(self, frames: DataFrame, batch: int) -> None:

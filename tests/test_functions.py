@@ -58,3 +58,17 @@ def test_cleaning_rules(spark, x, log, valid, normal):
                   cleaning.abnormal_to_zero(F.col("x")).alias("n")).first()
     same = lambda a, b: (math.isnan(a) and math.isnan(b)) or a == pytest.approx(b)
     assert same(r.l, log) and same(r.v, valid) and same(r.n, normal)
+
+
+@pytest.mark.parametrize("targets", [3, 8])
+def test_balanced_keys_follow_the_engines_partitioning(spark, targets):
+    from sinogrid.operators.routing import with_balanced_key
+
+    ids = [0, 1, 2, 7, -1, -5, 2**31 - 1, -2**31, 123456789, 2**31, None]
+    df = spark.createDataFrame([(i,) for i in ids], "row_id BIGINT")
+    keyed = with_balanced_key(df)
+    for r in keyed.select("row_id", "place_key", F.hash("place_key").alias("h")).collect():
+        fits = r.row_id is not None and -2**31 <= r.row_id < 2**31
+        assert (r.place_key is not None) == fits and (not fits or r.h == r.row_id)
+    placed = keyed.where("place_key IS NOT NULL").repartition(targets, "place_key").withColumn("part", F.spark_partition_id())
+    assert all(r.part == r.row_id % targets for r in placed.collect())

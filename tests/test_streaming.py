@@ -184,3 +184,32 @@ def test_fin_and_rejects_and_calibration(spark, data, tmp_path):
     close(pixels(job.iterations(), 64, 64), pixels(expected, 64, 64))
     assert job.rejected().select("reason").distinct().collect()[0].reason == "wrong length"
     assert job.rejected().count() == 10
+
+
+def test_restored_run_goes_on_as_if_uninterrupted(spark, data, tmp_path):
+    frames = views.frames(spark, data).select("row_id", "seq", "theta", "center", "ray").where("row_id < 3")
+    cfg = TomoConfig(window_length=4, window_step=2, write_freq=2, num_sinograms=3, tile=64)
+    first, rest = frames.where("seq <= 7"), frames.where("seq > 7 AND seq <= 12")
+
+    def run(name, *parts):
+        job = tomography.Reconstruction(spark, str(tmp_path / name), cfg)
+        for batch, part in enumerate(parts):
+            job.process(part, batch)
+        return job
+
+    whole, early = run("whole", first, rest), run("early", first)
+    late = tomography.Reconstruction(spark, str(tmp_path / "late"), cfg)
+    with pytest.raises(ValueError):
+        late.restore(tomography.Reconstruction(spark, str(tmp_path / "none"), cfg))
+    late.restore(early)
+    late.restore(early)
+    late.process(rest, 0)
+    with pytest.raises(ValueError):
+        late.restore(early)
+    images = lambda job: {(r.row_id, r.tile): r.vals for r in job.images().read(job.last_batch()).collect()}
+    want, got = images(whole), images(late)
+    assert want.keys() == got.keys() and len(want) == 3
+    assert all(np.allclose(want[k], got[k]) for k in want)
+    assert rows_of(late.progress(0).select("row_id", "n", "last_seq")) == rows_of(whole.progress(1).select("row_id", "n", "last_seq"))
+    written = lambda *jobs: sorted({r.iteration for j in jobs for r in j.iterations().select("iteration").distinct().collect()})
+    assert written(whole) == written(early, late)
