@@ -101,8 +101,8 @@ def fit(docs: DataFrame, labels: DataFrame, learn_from: Column, sample_rows: int
     with the least loss over four folds, each ranked and fitted without its own
     rows. `pairs` of the model is the number of swaps it was held to. Null
     labels and ids are not learned from; a document with several labels is toxic
-    if one of them says so. Without rows of both kinds the model is its bias
-    alone.
+    if one of them says so. Without rows of both kinds, or if no choice does
+    better on the folds than no features, the model is its bias alone.
     """
     marks = (labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").where(learn_from)
              .groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic")))
@@ -191,7 +191,10 @@ def fit(docs: DataFrame, labels: DataFrame, learn_from: Column, sample_rows: int
         return loss
 
     grid = [(min(max_features, max(8, int(rows[1] * k))), decay) for k in _SIZES for decay in _DECAYS]
-    size, decay = min(sorted(set(grid)), key=lambda x: held_out(*x)) if folds else (grid[0][0], _DECAYS[-1])
+    # log(2) a fold is the loss of a model without features: one that is no better has learned nothing that holds elsewhere
+    loss, size, decay = min((held_out(*x), *x) for x in sorted(set(grid))) if folds else (np.inf, 0, 0.0)
+    if loss >= len(folds) * np.log(2):
+        return Model(bias=0.0)
     names = list(dict.fromkeys(ranked[None][:size] + named))
     column = {index[f]: j for j, f in enumerate(names)}
     own, before, after = ([[column[f] for f in x if f in column] for x in lists] for lists in (own, before, after))
