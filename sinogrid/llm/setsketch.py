@@ -26,11 +26,11 @@ from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sinogrid.llm.components import components
+from sinogrid.llm.pairing import alike_pairs, child_parent, node_texts, shingle_set, texts_of, with_groups
 from sinogrid.llm.tables import NO_ID, discarded, kept, texts
 
 SEED = 11
@@ -38,22 +38,11 @@ REGISTERS, BAND = 256, 7
 BASE, RATE, TOP = 1.125, 20.0, 255
 _CHUNK = 1 << 12
 _MIX = np.uint32(0x9E3779B1)
-_COUNT_BITS, _ID_BITS = 20, 26
+_COUNT_BITS = 20
 #: twice the log likelihood ratio from which a similarity is ruled out: 6 standard deviations
 RULED_OUT = 36.0
 
 
-def shingle_set(text: bytes, words: int) -> np.ndarray:
-    """The different 64-bit hashes of a text's word shingles, sorted; fewer words are one shingle, none are none."""
-    found = text.lower().split()  # of bytes: A-Z alone, and white space is \\x20 and \\x09-\\x0D
-    if not found:
-        return np.zeros(0, np.uint64)
-    joined, digest = b" ".join(found), xxhash.xxh3_64_intdigest
-    after = np.cumsum(np.fromiter(map(len, found), np.int64, len(found)) + 1)
-    ends = ((after[words - 1:] if len(found) > words else after[-1:]) - 1).tolist()
-    return np.unique(np.array([digest(joined[a:b], SEED) for a, b in zip([0, *after.tolist()], ends)], dtype=np.uint64))
-
-
 def _keys(count: int) -> tuple[np.ndarray, np.ndarray]:
     r = np.random.default_rng(SEED)
     return (r.integers(0, 2**32, count, np.uint32) | np.uint32(1))[:, None], r.integers(0, 2**32, count, np.uint32)[:, None]
@@ -134,18 +123,12 @@ def _buckets(nodes: DataFrame) -> DataFrame:
     return listed.join(sizes, "block")
 
 
-def _ordered(one: str, other: str) -> list:
-    """Two nodes as (child, parent) by a hash order of all nodes."""
-    first = F.struct(F.xxhash64(one), one) > F.struct(F.xxhash64(other), other)
-    return [F.when(first, F.col(one)).otherwise(F.col(other)).alias("child"), F.when(first, F.col(other)).otherwise(F.col(one)).alias("parent")]
-
-
 def _pivoted(listed: DataFrame, pivots: int) -> DataFrame:
     """Pairs (child, parent) of the nodes of a block with `pivots` of them, the first ones by several hashes."""
     chosen = [F.min(F.struct(F.xxhash64("node", *[F.lit(k)] * (k > 0)), "node"))["node"] for k in range(pivots)]
     pivot = listed.groupBy("block").agg(F.array_distinct(F.array(*chosen)).alias("p"))
     pairs = listed.join(pivot, "block").select("node", F.explode("p").alias("other")).where("node <> other")
-    return pairs.select(*_ordered("node", "other")).distinct()
+    return pairs.select(*child_parent("node", "other")).distinct()
 
 
 def _plausible(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
@@ -165,45 +148,6 @@ def _plausible(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFra
     return told.where(F.col("j.lost") < RULED_OUT).select("child", "parent", F.col("j.estimate").alias("estimate"))
 
 
-def _named(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Documents (node, text) with one of the ids, and few others: a bitmap of fixed size goes to the scan."""
-    place = F.shiftrightunsigned(F.xxhash64("node"), 64 - _ID_BITS)
-    bit = F.call_function("shiftleft", F.lit(1).cast("long"), (place % 64).cast("int"))
-    told = ids.groupBy(F.shiftright(place, 6).alias("word")).agg(F.bit_or(bit).alias("bits")).toArrow()
-    packed = np.zeros(2**_ID_BITS // 64, np.int64)
-    packed[told["word"].to_numpy()] = told["bits"].to_numpy()
-    shared = docs.sparkSession.sparkContext.broadcast(packed)
-
-    @F.arrow_udf("boolean")
-    def listed(place: pa.Array) -> pa.Array:
-        at = place.to_numpy()
-        return pa.array(shared.value[at >> 6] >> (at & 63) & 1 == 1)
-
-    return docs.where(listed(place))
-
-
-def _verified(pairs: DataFrame, docs: DataFrame, words: int, similarity: float) -> DataFrame:
-    """Edges (a, b): pairs (child, parent) of documents whose full sets are similar. Texts go to their pairs and are cut there."""
-    share = Fraction(str(similarity))
-
-    @F.arrow_udf("boolean")
-    def alike(a: pa.Array, b: pa.Array) -> pa.Array:
-        out, last, own = [], None, None
-        for x, y in zip(a, b):
-            y = y.as_py()
-            if y != last:
-                last, own = y, shingle_set(y.encode(), words)
-            one = shingle_set(x.as_py().encode(), words)
-            both = len(np.intersect1d(one, own, assume_unique=True))
-            out.append(both * share.denominator >= (len(one) + len(own) - both) * share.numerator)
-        return pa.array(out, pa.bool_())
-
-    held = _named(docs, pairs.select(F.col("child").alias("node")).union(pairs.select("parent")).distinct())
-    for x in ("child", "parent"):
-        pairs = pairs.join(held.select(F.col("node").alias(x), F.col("text").alias(f"t_{x}")), x)
-    return kept(pairs.where(alike("t_child", "t_parent")).select(F.col("child").alias("a"), F.col("parent").alias("b")), "links")
-
-
 def _rare(docs: DataFrame, words: int, similarity: float) -> DataFrame:
     """(node, shingle): the n - ceil(s n) + 1 rarest shingles of each document; two sets of similarity s share one of theirs.
 
@@ -239,28 +183,20 @@ def _rare(docs: DataFrame, words: int, similarity: float) -> DataFrame:
     return docs.select("node", F.explode(first("text")).alias("shingle"))
 
 
-def _sided(listed: DataFrame, found: DataFrame, names: tuple[str, ...]) -> DataFrame:
-    """`listed` with the groups of the nodes in each of the columns, named c_ and the column."""
-    group = kept(components(found), "groups")
-    for x in names:
-        listed = listed.join(group.toDF(x, f"c_{x}"), x, "left").withColumn(f"c_{x}", F.coalesce(f"c_{x}", x))
-    return listed
-
-
 def _across(listed: DataFrame, found: DataFrame, key: str) -> DataFrame:
     """Pairs (child, parent) of one block and different groups, one of them outside the block's largest group."""
-    sided = kept(_sided(listed, found, ("node",)), "sided")
+    sided = kept(with_groups(listed, found, ("node",)), "sided")
     sums = sided.groupBy(key, "c_node").agg(F.count(F.lit(1)).alias("k"))
     largest = sums.groupBy(key).agg(F.max_by("c_node", F.struct("k", "c_node")).alias("largest"), F.count(F.lit(1)).alias("groups"))
     still = sided.join(largest.where("groups > 1").drop("groups"), key)
     a = still.where("c_node <> largest").select(key, F.col("node").alias("x"), F.col("c_node").alias("cx"))
     b = still.select(key, F.col("node").alias("y"), F.col("c_node").alias("cy"))
-    return a.join(b, key).where("cx <> cy").select(*_ordered("x", "y")).distinct()
+    return a.join(b, key).where("cx <> cy").select(*child_parent("x", "y")).distinct()
 
 
 def _open_nodes(listed: DataFrame, found: DataFrame) -> DataFrame:
     """Nodes of blocks that have nodes of different groups."""
-    sided = _sided(listed, found, ("node",))
+    sided = with_groups(listed, found, ("node",))
     mixed = sided.groupBy("block").agg((F.min("c_node") < F.max("c_node")).alias("mixed")).where("mixed").select("block")
     return kept(listed.join(mixed, "block", "left_semi").select("node").distinct(), "ids")
 
@@ -273,17 +209,17 @@ def links(nodes: DataFrame, docs: DataFrame, words: int, similarity: float, pivo
     listed = kept(_buckets(nodes), "buckets")
     likely = kept(_plausible(_pivoted(listed, pivots), nodes, similarity), "likely")
     best = likely.groupBy("child").agg(F.max_by("parent", F.struct("estimate", "parent")).alias("parent"))
-    found = _verified(kept(best, "pairs"), docs, words, similarity)
-    other = _sided(likely, found, ("child", "parent")).where("c_child <> c_parent").select("child", "parent")
-    found = found.union(_verified(kept(other, "pairs"), docs, words, similarity))
+    found = alike_pairs(kept(best, "pairs"), docs, words, similarity)
+    other = with_groups(likely, found, ("child", "parent")).where("c_child <> c_parent").select("child", "parent")
+    found = found.union(alike_pairs(kept(other, "pairs"), docs, words, similarity))
 
     ids = _open_nodes(listed, found)
     discarded(listed)
-    rare = kept(_rare(_named(docs, ids).join(ids, "node", "left_semi"), words, similarity), "rare")
+    rare = kept(_rare(texts_of(docs, ids).join(ids, "node", "left_semi"), words, similarity), "rare")
     pairs = _across(rare, found, "shingle").join(likely, ["child", "parent"], "left_anti")
     able = kept(_plausible(pairs, nodes, similarity).select("child", "parent"), "pairs")
     discarded(rare)
-    return found.union(_verified(able, docs, words, similarity))
+    return found.union(alike_pairs(able, docs, words, similarity))
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.85, **settings) -> DataFrame:
@@ -298,12 +234,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.85, *
     rows = kept(sketches(docs, words), "sketches")
     own = F.coalesce("doc_id", F.lit(NO_ID))
     nodes = kept(rows.where("n > 0").groupBy("mark").agg(F.min(own).alias("node"), F.first("n").alias("n"), F.first("regs").alias("regs")), "nodes")
-    whole = texts(docs).select(own.alias("node"), "text")
-    again = kept(rows.groupBy(own.alias("node")).agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("node"), "again")
-    if not again.isEmpty():
-        # one of each text of an id that repeats
-        repeated = _named(whole, again).join(again, "node", "left_semi").groupBy("node", F.xxhash64("text")).agg(F.first("text").alias("text")).select("node", "text")
-        whole = whole.join(again, "node", "left_anti").union(repeated)
+    whole = node_texts(docs, rows)
     group = components(links(nodes, whole, words, similarity, **settings))
     named = nodes.join(group, "node", "left").select("mark", F.coalesce("component", "node").alias("component"))
     out = rows.join(named, "mark", "left").select("doc_id", "n", F.coalesce("component", own).alias("component"))

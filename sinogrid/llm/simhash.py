@@ -18,7 +18,8 @@ big family of near copies makes, never do:
   one group need no link of their own.
 
 Wide fingerprints estimate a Jaccard similarity, and lose pairs near the limit.
-`alike` links by the similarity itself, with the same treatment of blocks.
+In `alike` they propose, the similarity itself decides, and pairs that share no
+block of bits meet under their rarest shingles.
 """
 
 from __future__ import annotations
@@ -35,6 +36,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sinogrid.llm.components import components
+from sinogrid.llm.pairing import alike_pairs, child_parent, node_texts, with_groups
 from sinogrid.llm.tables import NO_ID, discarded, kept, texts, unused
 
 SEED = 42
@@ -42,7 +44,6 @@ _LOW_BITS = np.uint64(0x0101010101010101)
 _AT_ONCE = 255 * 1024
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _COUNT_BITS = 20
-_ID_BITS = 26
 
 
 def shingle_hashes(text: bytes, words: int):
@@ -195,8 +196,27 @@ def _common(docs: DataFrame, words: int) -> np.ndarray:
     return total
 
 
-def _prefixes(docs: DataFrame, words: int, share: Fraction) -> DataFrame:
-    """(doc_id, mark, n, prefix): a digest of the shingle set, its size, and its first shingles, rare ones before common ones.
+def parity_bits(hashes: np.ndarray) -> bytes:
+    """Of each of 2^k places (64 at least, as many as hashes up to 2^16) whether an odd number of hashes fall on it.
+
+    Two sets differ in as many places at most as they have elements of their
+    own. Folding the halves of a wide bitmap on one another gives the narrow one.
+    """
+    places = 1 << min(max(int(len(hashes) - 1).bit_length(), 6), 16)
+    odd = np.bincount((hashes & np.uint64(places - 1)).astype(np.int64), minlength=places) & 1
+    return np.packbits(odd.astype(bool)).tobytes()
+
+
+def parity_distance(a: bytes, b: bytes) -> int:
+    """Places in which two parity bitmaps differ, the wider one folded to the width of the other."""
+    one, other = sorted((np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)), key=len)
+    while len(other) > len(one):
+        other = other[:len(other) // 2] ^ other[len(other) // 2:]
+    return int(np.bitwise_count(one ^ other).sum())
+
+
+def _described(docs: DataFrame, words: int, share: Fraction, bits: int) -> DataFrame:
+    """(doc_id, mark, n, fp, odd, prefix): of each shingle set a digest, its size, SimHash, parity bitmap and first shingles, rare ones first.
 
     Two sets with a Jaccard similarity of at least `share` have a shingle in
     common among the first n - ceil(share * n) + 1 of each, in any order that is
@@ -205,76 +225,114 @@ def _prefixes(docs: DataFrame, words: int, share: Fraction) -> DataFrame:
     total = _common(docs, words)
     few = np.nonzero(total)[0]
     shared = docs.sparkSession.sparkContext.broadcast((few, total[few]))
+    kinds = {"mark": pa.binary(), "n": pa.int32(), "fp": pa.list_(pa.int64()), "odd": pa.binary(), "prefix": pa.list_(pa.int64())}
 
-    @F.arrow_udf("struct<mark: binary, n: int, prefix: array<bigint>>")
+    @F.arrow_udf("struct<mark: binary, n: int, fp: array<bigint>, odd: binary, prefix: array<bigint>>")
     def of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         count = np.zeros(2**_COUNT_BITS, np.int64)
         count[shared.value[0]] = shared.value[1]
         for batch in batches:
-            marks, sizes, prefixes = [], [], []
+            rows = []
             for text in batch:
                 found = shingle_set(text.as_py().encode(), words)
-                marks.append(hashlib.blake2b(found.tobytes(), digest_size=16).digest())
-                sizes.append(len(found))
-                n = len(found) - -(-share.numerator * len(found) // share.denominator) + 1
+                n = len(found)
                 order = np.argsort(count[(found >> np.uint64(64 - _COUNT_BITS)).astype(np.int64)], kind="stable")
-                prefixes.append(found[order[:n]].view(np.int64))
-            yield pa.StructArray.from_arrays([pa.array(marks, pa.binary()), pa.array(sizes, pa.int32()), pa.array(prefixes, pa.list_(pa.int64()))],
-                                             ["mark", "n", "prefix"])
+                prefix = found[order[:n - -(-share.numerator * n // share.denominator) + 1]].view(np.int64)
+                rows.append((hashlib.blake2b(found.tobytes(), digest_size=16).digest(), n, _set_fingerprint(found, bits), parity_bits(found), prefix))
+            columns = zip(*rows) if rows else [[]] * len(kinds)
+            yield pa.StructArray.from_arrays([pa.array(list(c), kind) for c, kind in zip(columns, kinds.values())], list(kinds))
 
-    return texts(docs).select("doc_id", of("text").alias("s")).select("doc_id", "s.mark", "s.n", "s.prefix")
+    return texts(docs).select("doc_id", of("text").alias("s")).select("doc_id", "s.*")
 
 
-def _sets(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
-    """(node, own) of documents with one of the ids `node`, and few others: shingle sets."""
-    place = F.shiftrightunsigned(F.xxhash64("node"), 64 - _ID_BITS)
-    bits = ids.groupBy(F.shiftright(place, 6).alias("word")).agg(
-        F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (place % 64).cast("int"))).alias("bits")).collect()
-    packed = np.zeros(2**_ID_BITS // 64, np.int64)
-    for r in bits:
-        packed[r["word"]] = r["bits"]
-    shared = docs.sparkSession.sparkContext.broadcast(packed.tobytes())
+def _set_fingerprint(hashes: np.ndarray, bits: int) -> np.ndarray:
+    """SimHash of a set of shingle hashes."""
+    counts, step = np.zeros((bits // 64, 64), dtype=np.int64), _AT_ONCE // (bits // 64)
+    for at in range(0, len(hashes), step):
+        counts += bit_counts(remixed(hashes[at:at + step], bits // 64))
+    return np.packbits(2 * counts > len(hashes), axis=1, bitorder="little").view(np.int64).reshape(-1)
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.frombuffer(shared.value, np.uint8)
-        for batch in batches:
-            at = batch.column(1).to_numpy()
-            batch = batch.filter(pa.array(seen[at >> 3] >> (at & 7).astype(np.uint8) & 1 == 1))
-            found = [shingle_set(t.as_py().encode(), words).view(np.int64) for t in batch.column(2)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], names=["node", "own"])
 
-    named = texts(docs).select(F.coalesce("doc_id", F.lit(NO_ID)).alias("node"), "text")
-    return named.select("node", place.alias("place"), "text").mapInArrow(cut, "node long, own array<bigint>")
+def _plausible(pairs: DataFrame, nodes: DataFrame, share: Fraction, bits: int, distance: int | None) -> DataFrame:
+    """(child, parent, apart): pairs within the Hamming distance, if one is given, that neither sizes nor parity bitmaps rule out.
 
+    Sets of a Jaccard similarity s have (n_a + n_b) (1 - s) / (1 + s) elements at
+    most that are not in both, and parity bitmaps cannot differ in more places.
+    """
 
-def alike(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
+    @F.arrow_udf("int")
+    def differing(a: pa.Array, b: pa.Array) -> pa.Array:
+        return pa.array([parity_distance(x, y) for x, y in zip(a.to_pylist(), b.to_pylist())], pa.int32())
+
+    wanted = ["n", "odd"] + ["fp"] * (distance is not None)
+    for x, own in (("child", "a"), ("parent", "b")):
+        pairs = pairs.join(nodes.select(F.col("node").alias(x), *[F.col(c).alias(f"{c}_{own}") for c in wanted]), x)
+    pairs = pairs.where(F.least("n_a", "n_b") * share.denominator >= F.greatest("n_a", "n_b") * share.numerator)
+    if distance is not None:
+        pairs = pairs.where(_distance(bits) <= distance)
+    told = pairs.select("child", "parent", (F.col("n_a") + F.col("n_b")).alias("sum"), differing("odd_a", "odd_b").alias("d"))
+    able = told.where(F.col("d") * (share.denominator + share.numerator) <= F.col("sum") * (share.denominator - share.numerator))
+    return able.groupBy("child", "parent").agg(F.min(F.col("d") / F.col("sum")).alias("apart"))
+
+
+def _confirmed(likely: DataFrame, docs: DataFrame, words: int, similarity: float, found: DataFrame | None = None) -> DataFrame:
+    """Links among likely pairs, by full sets, after those `found`: each child's nearest parent first, then pairs of groups still apart."""
+    nearest = kept(likely.groupBy("child").agg(F.min_by("parent", F.struct("apart", "parent")).alias("parent")), "pairs")
+    first = alike_pairs(nearest, docs, words, similarity)
+    found = first if found is None else found.union(first)
+    other = with_groups(likely, found, ("child", "parent")).where("c_child <> c_parent").select("child", "parent")
+    other = kept(other.join(nearest, ["child", "parent"], "left_anti"), "pairs")
+    return found.union(alike_pairs(other, docs, words, similarity))
+
+
+def _block_pairs(nodes: DataFrame, bits: int, parts: int) -> DataFrame:
+    """(child, parent): nodes that share a block of fingerprint bits, each with the block's first node by a hash order."""
+    keys = [F.xxhash64(F.lit(p), _part(p, bits // parts)) for p in range(parts)]
+    listed = nodes.where("n > 0").select("node", F.explode(F.array(*keys)).alias("block"))
+    pivot = listed.groupBy("block").agg(F.min_by("node", F.struct(F.xxhash64("node"), "node")).alias("pivot"), F.count("*").alias("many")).where("many > 1")
+    return kept(listed.join(pivot, "block").where("node <> pivot").select(*child_parent("node", "pivot")).distinct(), "pairs")
+
+
+def _prefix_pairs(nodes: DataFrame, found: DataFrame, share: Fraction) -> DataFrame:
+    """(child, parent): nodes of different groups that share a prefix shingle and are of near sizes, one of them outside the largest group there."""
+    listed = with_groups(nodes.where("n > 0").select("node", "n", "prefix"), found, ("node",)).select("node", "n", F.col("c_node").alias("c"), F.explode("prefix").alias("block"))
+    mixed = listed.groupBy("block").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("block")
+    listed = kept(listed.join(mixed, "block", "left_semi"), "blocks")
+    sums = listed.groupBy("block", "c").agg(F.count("*").alias("k")).groupBy("block").agg(F.max_by("c", F.struct("k", "c")).alias("largest"))
+    a = listed.join(sums, "block").where("c <> largest").select("block", F.col("node").alias("x"), F.col("c").alias("cx"), F.col("n").alias("nx"))
+    b = listed.select("block", F.col("node").alias("y"), F.col("c").alias("cy"), F.col("n").alias("ny"))
+    near = F.least("nx", "ny") * share.denominator >= F.greatest("nx", "ny") * share.numerator
+    pairs = kept(a.join(b, "block").where((F.col("cx") != F.col("cy")) & near).select(*child_parent("x", "y")).distinct(), "pairs")
+    discarded(listed)
+    return pairs
+
+
+def alike(docs: DataFrame, words: int = 5, similarity: float = 0.8, bits: int = 2304, parts: int = 96, distance: int = 420) -> DataFrame:
     """(doc_id, component_id): groups of all pairs whose shingle sets have a Jaccard similarity of `similarity` or more.
 
-    No pair is lost: sets are listed under their first shingles, and what meets
-    is compared whole (shingles as 64-bit hashes). Null, empty and white texts,
-    null ids and repeated rows are treated as by `near_duplicates`.
+    Blocks of fingerprint bits propose pairs, those within the Hamming distance
+    (by default 4 standard deviations above the mean one at 0.8) go on; what
+    shares no block meets under a first shingle, so that no pair is lost. Sizes
+    and parity bitmaps rule pairs out without error, full sets decide. Texts move
+    only with pairs that are left. Null, empty and white texts, null ids and
+    repeated rows are treated as by `near_duplicates`.
     """
     share = Fraction(str(similarity))
-    rows = kept(_prefixes(docs, words, share), "prefixes")
-    nodes = kept(rows.groupBy("mark").agg(F.min(F.coalesce("doc_id", F.lit(NO_ID))).alias("node"), F.first("n").alias("n"), F.first("prefix").alias("prefix")), "nodes")
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        # sets of too different sizes cannot be alike, and are not moved
-        near = F.least("n_a", "n_b") * share.denominator >= F.greatest("n_a", "n_b") * share.numerator
-        n_a, n_b = (nodes.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}")) for x in "ab")
-        pairs = kept(pairs.distinct().join(n_a, "a").join(n_b, "b").where(near).select("a", "b").distinct(), "pairs")
-        ids = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-        sets = kept(_sets(docs, kept(ids, "ids"), words), "sets")
-        a, b = (sets.select(F.col("node").alias(n), F.col("own").alias(f"own_{n}")) for n in "ab")
-        both = F.size(F.array_intersect("own_a", "own_b"))
-        enough = both * (share.numerator + share.denominator) >= (F.size("own_a") + F.size("own_b")) * share.numerator
-        found = kept(pairs.join(a, "a").join(b, "b").where(enough).select("a", "b"), "links")
-        discarded(sets)
-        return found
-
-    group = components(_linked(nodes.select("node", F.explode("prefix").alias("block")), verified, small=2))
-    named = nodes.join(group, "node", "left").select("mark", F.coalesce("component", "node").alias("component_id"))
-    return rows.join(named, "mark").select("doc_id", F.nullif("component_id", F.lit(NO_ID)).alias("component_id"))
+    rows = kept(_described(docs, words, share, bits), "described")
+    own = F.coalesce("doc_id", F.lit(NO_ID))
+    nodes = kept(rows.groupBy("mark").agg(F.min(own).alias("node"), *[F.first(c).alias(c) for c in ("n", "fp", "odd", "prefix")]), "nodes")
+    whole = node_texts(docs, rows)
+
+    likely = kept(_plausible(_block_pairs(nodes, bits, parts), nodes, share, bits, distance), "likely")
+    found = _confirmed(likely, whole, words, similarity)
+    rest = _prefix_pairs(nodes, found, share).join(likely, ["child", "parent"], "left_anti")
+    found = _confirmed(kept(_plausible(rest, nodes, share, bits, None), "likely"), whole, words, similarity, found)
+
+    named = nodes.join(components(found), "node", "left").select("mark", F.coalesce("component", "node").alias("component_id"))
+    out = kept(rows.join(named, "mark").select("doc_id", F.nullif("component_id", F.lit(NO_ID)).alias("component_id")), "groups")
+    discarded(rows)
+    discarded(nodes)
+    return out
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, bits: int = 2304, parts: int = 96, agree: int = 1, distance: int = 349) -> DataFrame:
