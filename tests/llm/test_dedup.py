@@ -238,3 +238,25 @@ def test_ring_odd_rows(spark):
     sizes = [sum(x.shard == k for x in got) for k in range(24)]
     assert len(got) == 79 and max(sizes) - min(sizes) <= 1
     assert ring.assign(h.documents(spark, []), "doc_id", ["doc_id"], shards=24).count() == 0
+
+
+def test_parity_bitmaps_never_rule_out_a_pair():
+    r = np.random.default_rng(4)
+    for n, m, both in ((1, 1, 0), (5, 70, 3), (64, 65, 64), (400, 300, 250), (3000, 900, 10), (200, 200, 200)):
+        x = r.integers(0, 2**64, n + m - both, np.uint64)
+        a, b = x[:n], x[n - both:]
+        got = simhash.parity_distance(simhash.parity_bits(a), simhash.parity_bits(b))
+        assert got == simhash.parity_distance(simhash.parity_bits(b), simhash.parity_bits(a))
+        assert got <= n + m - 2 * both and (n + m - 2 * both - got) % 2 == 0
+    far = [r.integers(0, 2**64, 400, np.uint64) for _ in range(2)]
+    assert simhash.parity_distance(*map(simhash.parity_bits, far)) * 9 > 800
+
+
+def test_a_shared_passage_makes_no_square_of_pairs(spark):
+    passage = h.words(70, 30)
+    share, none = simhash.Fraction("0.8"), spark.createDataFrame([], "a long, b long")
+    rows = [(k, f"{h.words(4000 + k, 60)} {passage}") for k in range(200)]
+    nodes = simhash._described(h.documents(spark, rows), 5, share, 2304).withColumnRenamed("doc_id", "node").cache()
+    assert simhash._block_pairs(nodes, 2304, 96).count() <= 200
+    assert simhash._prefix_pairs(nodes, none, share).count() <= 200
+    nodes.unpersist()
