@@ -6,6 +6,9 @@ ranked and written once; each pass reads only the part of that table its window
 can reach. Each pass writes its images to the shared folder, which cuts the
 lineage and survives lost executors. An image that is neither emitted nor the
 last of its row id is removed once the next pass is written.
+
+Passes over small images (one tile) run in one job for all passes instead, each
+row id in a task of its own: see `operators/fold`.
 """
 
 from __future__ import annotations
@@ -18,11 +21,13 @@ from pyspark.sql import types as T
 
 from sinogrid import scratch
 from sinogrid.config import TomoConfig
-from sinogrid.operators import routing, sirt, windows
+from sinogrid.operators import fold, routing, sirt, windows
 from sinogrid.operators.blocked import block_of, keyed_rank
 
 # Steps whose messages share a folder of the work table.
 CHUNK = 32
+# Folders that the images of one job over all passes are written to.
+MOST_FOLDERS = 64
 
 IMAGE_SCHEMA = T.StructType([
     T.StructField("row_id", T.LongType()), T.StructField("tile", T.IntegerType()),
@@ -39,10 +44,11 @@ class Fired:
     steps: int
     nx: int
     cfg: TomoConfig
+    stride: int = 1  # passes whose images share a folder
 
     def images(self) -> DataFrame:
         """Kept images: row_id, tile, vals, pass0, last."""
-        paths = [f"{self.root}/step={j}/keep=1" for j in range(1, self.steps + 1)]
+        paths = [f"{self.root}/step={j}/keep=1" for j in range(1, self.steps + 1, self.stride)]
         paths = [p for p in paths if scratch.exists(self.spark, p)]
         reader = self.spark.read.schema(IMAGE_SCHEMA)
         return reader.parquet(*paths) if paths else self.spark.createDataFrame([], IMAGE_SCHEMA)
@@ -110,6 +116,8 @@ def fire(work: DataFrame, root: str, cfg: TomoConfig, start: DataFrame | None =
     if facts["nx"] != facts["least"]:
         raise ValueError(f"payloads of {facts['least']} to {facts['nx']} samples: all must have one length")
     steps, nx, tile = int(facts["steps"] or 0), int(facts["nx"] or 0), cfg.tile
+    if 0 < nx <= min(tile, fold.MOST_COLUMNS):
+        return _fire_folded(work, root, cfg, start, steps, nx)
     rows = work.where(F.col("fired") > F.col("done")).groupBy("row_id").agg(
         F.first("done").alias("done"), F.first("fired").alias("fired"))
     if steps:
@@ -136,6 +144,20 @@ def fire(work: DataFrame, root: str, cfg: TomoConfig, start: DataFrame | None =
     return Fired(spark, root, steps, nx, cfg)
 
 
+def _fire_folded(work, root, cfg, start, steps, nx):
+    """All passes of each row id in one job."""
+    stride = max(1, -(-steps // MOST_FOLDERS))
+    if steps:
+        begun = work.where((F.col("done") > 0) & (F.col("fired") > F.col("done"))).select("row_id").distinct()
+        if start is not None:
+            start = start.select("row_id", "vals").join(begun, "row_id", "left_semi")
+        at = F.floor((F.col("step") - 1) / F.lit(stride)) * stride + 1
+        # a repeated run replaces the folders that it wrote before, and no other
+        (fold.folded(work, start, cfg, nx).withColumn("step", at).withColumn("keep", F.lit(1))
+         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("step", "keep").parquet(root))
+    return Fired(work.sparkSession, root, steps, nx, cfg, stride)
+
+
 def _image_before(spark, root, j, active, start, nx, tile):
     """(image, None), or (None, blank) when every row id starts from zero."""
     if j > 1:

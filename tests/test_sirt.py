@@ -106,3 +106,36 @@ def test_a_sweep_moves_cells_once(spark):
     cells = [line for line in plan.split("\n") if "Exchange hashpartitioning(row_id" in line and "tile" in line]
     assert len(cells) == 3  # rays by tile and block, sums by tile, old tiles by tile
     assert "cell" not in "".join(cells)
+
+
+def test_passes_over_small_images_add_no_jobs(spark):
+    jobs = []
+    for step in (6, 1):  # 2 and 12 passes
+        _, frames = make_frames(spark)
+        spark.sparkContext.setJobGroup(f"passes-{step}", "")
+        fired = sirt_reconstruct(frames, TomoConfig(window_length=6, window_step=step, write_freq=1, tile=64))
+        assert fired.steps == 12 // step
+        jobs.append(len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"passes-{step}")))
+    spark.sparkContext.setJobGroup("other", "")
+    assert jobs[0] == jobs[1]
+
+
+def test_missing_rays_samples_and_copies_fold_as_in_one_job_per_pass(spark, monkeypatch):
+    """Null rays, null and NaN samples, a null angle, one message given twice: both forms agree."""
+    from sinogrid.operators import fold
+
+    data, _ = make_frames(spark)
+    data = [list(r) for r in data] + [list(data[4])]
+    data[1][4] = None
+    data[2][4] = [None, *data[2][4][1:]]
+    data[6][4] = [*data[6][4][:-1], math.nan]
+    data[8][2] = None
+    data[9][3] = 4.0
+    frames = spark.createDataFrame([tuple(r) for r in data], "row_id BIGINT, seq BIGINT, theta DOUBLE, center DOUBLE, ray ARRAY<DOUBLE>")
+    images = []
+    for most in (fold.MOST_COLUMNS, 0):
+        monkeypatch.setattr(fold, "MOST_COLUMNS", most)
+        out = sirt_reconstruct(frames, TomoConfig(window_length=4, window_step=2, window_iter=2, write_freq=2, tile=16)).emitted_pixels()
+        images.append({(r.row_id, r.iteration, r.pix): r.val for r in out.collect()})
+    assert images[0].keys() == images[1].keys() and len(images[0]) == 6 * N * N
+    assert all(images[0][k] == pytest.approx(images[1][k], abs=1e-9) for k in images[0])
