@@ -8,9 +8,13 @@ table holds one detector row of a frame per row
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sinogrid.operators.blocked import Running, block_of, running
+
 # Frame type codes.
 ITYPES = {
     "End": 0,
@@ -22,6 +26,10 @@ ITYPES = {
 }
 
 
+# Subsets of a row id whose frames are numbered together.
+SUBSETS_A_BLOCK = 4096
+
+
 def itype_label(itype: Column) -> Column:
     label = F.lit(None).cast("string")
     for name, code in ITYPES.items():
@@ -154,13 +162,18 @@ def frames_in_reach(frames: DataFrame, ticks: DataFrame, nmsgs: int) -> DataFram
     return frames.where((F.col("seq") >= lo) | (F.col("seq") <= hi))
 
 
-def ordered_subset(frames: DataFrame, total: int, size: int = 16, index: str = "idx") -> DataFrame:
-    """Position of each frame when every ceil(total/size)-th frame is taken in turn."""
+def ordered_subset(frames: DataFrame, total: int, size: int = 16, index: str = "idx", keys: Sequence[str] = ("row_id",)) -> DataFrame:
+    """Position of each frame of its row id when every ceil(total/size)-th frame is taken in turn.
+
+    Positions are counted, so row ids may have more or fewer frames than `total`,
+    and numbers may be missing or come twice.
+    """
     subsets = -(-total // size)
     i = F.col(index).cast("bigint")
-    residue = F.pmod(i, F.lit(subsets))
-    # Frames with a smaller residue come first: full rounds plus those of the last, short round.
-    whole, rest = divmod(total, subsets)
-    before = residue * whole + F.least(residue, F.lit(rest))
-    position = before + F.floor(i / F.lit(subsets))
-    return frames.withColumn("subset", residue).withColumn("position", position)
+    # a struct, so that frames without a row id are a group like any other
+    rows = frames.withColumn("subset", F.pmod(i, F.lit(subsets))).withColumn("_key", F.struct(*keys))
+    one = Running(F.when(i.isNotNull(), 1).otherwise(0).cast("bigint"), "sum")
+    block = F.coalesce(block_of(F.col("subset"), SUBSETS_A_BLOCK), F.lit(-1))
+    rows = running(rows, ["_key"], ["subset", index], block, {"position": one})
+    position = F.when(i.isNotNull(), F.col("position") - 1)
+    return rows.select(*frames.columns, "subset", position.alias("position"))

@@ -106,3 +106,16 @@ def test_split_targets_keep_rows_with_their_target(spark):
     assert placed.rdd.getNumPartitions() == 12
     off = placed.where(F.floor(F.spark_partition_id() / 3) != F.col("sink_id"))
     assert off.count() == 0 and placed.count() == 1000
+
+
+def test_positions_in_subsets_are_counted(spark):
+    """A row id with one frame more, one with a gap and a frame that comes twice."""
+    from sinogrid.sources.frames import ordered_subset
+
+    ids = {0: list(range(41)), 1: [n for n in range(40) if n != 7] + [12], None: [3, 1, 2]}
+    rows = spark.createDataFrame([(row, i) for row, some in ids.items() for i in some], "row_id BIGINT, idx BIGINT")
+    got = ordered_subset(rows, 40).collect()
+    for row, some in ids.items():
+        want = sorted(some, key=lambda i: (i % 3, i))
+        assert [r.idx for r in sorted((r for r in got if r.row_id == row), key=lambda r: r.position)] == want
+        assert sorted(r.position for r in got if r.row_id == row) == list(range(len(some)))
