@@ -2,14 +2,15 @@
 
 `start_count_windows` numbers each micro-batch with the batch operators and
 keeps counts and recent messages in tables, so a key may hold any share of a
-batch. `stateful_count_windows` keeps them in the state store: lower latency,
-and at most one Arrow batch and the reach of a window in memory per key.
+batch. `stateful_count_windows` keeps them in the state store: lower latency, and
+in memory the sequence numbers of one key in a micro-batch and the reach of a window.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,6 +25,7 @@ OUTPUT = "row_id BIGINT, pass BIGINT, rn BIGINT, seq BIGINT"
 STATE = "count BIGINT, recent ARRAY<BIGINT>"
 RECENT = "row_id BIGINT, seq BIGINT, rn BIGINT"
 COUNTS = "row_id BIGINT, n BIGINT"
+OUT_ROWS = 10_000  # rows of fired windows that go out together
 
 
 def start_count_windows(rows: DataFrame, length: int, step: int, root: str, checkpoint: str,
@@ -83,24 +85,28 @@ def stateful_count_windows(rows: DataFrame, length: int, step: int) -> DataFrame
     """Windows as they fire, one row per (message, pass), from keyed state.
 
     The state of a key is its message count and the sequence numbers that later
-    windows can still cover. Messages are taken as Spark delivers them, sorted
-    within an Arrow batch.
+    windows can still cover. Messages of a micro-batch are taken in the order of
+    `seq`.
     """
     keep = length + step
 
     def advance(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         count, recent = state.get if state.exists else (0, [])
-        recent = list(recent)
-        for batch in batches:
-            new = batch["seq"].sort_values().tolist()
-            known, first = recent + new, count - len(recent)
-            for k in range(count // step + 1, (count + len(new)) // step + 1):
-                size = k * step if (k - 1) * step < length else max(length, step)
-                numbers = range(k * step - size + 1, k * step + 1)
-                yield pd.DataFrame({"row_id": key[0], "pass": k, "rn": list(numbers),
-                                    "seq": [known[n - 1 - first] for n in numbers]})
-            count, recent = count + len(new), known[-keep:]
-        state.update((count, recent))
+        # Spark cuts the messages of a key into Arrow batches anywhere and in no order.
+        new = np.sort(np.concatenate([batch["seq"].to_numpy() for batch in batches]))
+        known, first = np.concatenate([np.array(recent, dtype=new.dtype), new]), count - len(recent)
+        held, rows = [], 0
+        last = (count + len(new)) // step
+        for k in range(count // step + 1, last + 1):
+            size = k * step if (k - 1) * step < length else max(length, step)
+            held.append((k, np.arange(k * step - size + 1, k * step + 1)))
+            rows += size
+            if rows >= OUT_ROWS or k == last:
+                rn = np.concatenate([numbers for _, numbers in held])
+                passes = np.repeat([k for k, _ in held], [len(numbers) for _, numbers in held])
+                yield pd.DataFrame({"row_id": key[0], "pass": passes, "rn": rn, "seq": known[rn - 1 - first]})
+                held, rows = [], 0
+        state.update((count + len(new), known[-keep:].tolist()))
 
     return rows.select("row_id", "seq").groupBy("row_id").applyInPandasWithState(
         advance, OUTPUT, STATE, "append", GroupStateTimeout.NoTimeout)

@@ -213,3 +213,20 @@ def test_restored_run_goes_on_as_if_uninterrupted(spark, data, tmp_path):
     assert rows_of(late.progress(0).select("row_id", "n", "last_seq")) == rows_of(whole.progress(1).select("row_id", "n", "last_seq"))
     written = lambda *jobs: sorted({r.iteration for j in jobs for r in j.iterations().select("iteration").distinct().collect()})
     assert written(whole) == written(early, late)
+
+
+def test_state_windows_sort_across_arrow_batches(spark, tmp_path):
+    seqs = [(n * 37) % 101 for n in range(101)]
+    spark.createDataFrame([(1, s) for s in seqs], "row_id BIGINT, seq BIGINT").coalesce(1).write.parquet(str(tmp_path / "in"))
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10")
+    try:
+        rows = spark.readStream.schema("row_id BIGINT, seq BIGINT").parquet(str(tmp_path / "in"))
+        out = stateful_count_windows(rows, 6, 4)
+        (out.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "progress"))
+         .trigger(availableNow=True).start().awaitTermination())
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    got = spark.read.schema(out.schema).parquet(str(tmp_path / "out")).collect()
+    assert max(r["pass"] for r in got) == 25
+    assert all(r.seq == r.rn - 1 for r in got)
