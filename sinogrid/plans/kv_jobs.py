@@ -43,9 +43,24 @@ def target_summary(routed: DataFrame) -> DataFrame:
     The checksum depends on the key alone, so keys are counted first and each
     is hashed once per target.
     """
-    per_key = routed.groupBy("sink_id", "key").agg(
-        F.count(F.lit(1)).alias("n"), F.sum("val").alias("v"))
-    per_key = per_key.withColumn("c", record_checksum(F.col("key")))
+    return _summed(_counted(routed, "sink_id", "key"))
+
+
+def broadcast_summary(df: DataFrame, targets: int) -> DataFrame:
+    """`target_summary` of a broadcast: every target gets the same records.
+
+    Keys are counted and hashed before their copies go out, so that no task
+    holds a key once per target.
+    """
+    return _summed(routing.broadcast_to_all(_counted(df, "key"), targets))
+
+
+def _counted(df: DataFrame, *group: str) -> DataFrame:
+    per_key = df.groupBy(*group).agg(F.count(F.lit(1)).alias("n"), F.sum("val").alias("v"))
+    return per_key.withColumn("c", record_checksum(F.col("key")))
+
+
+def _summed(per_key: DataFrame) -> DataFrame:
     # XOR of n equal values: the value when n is odd, else 0
     odd = F.when(F.col("n") % 2 == 1, F.col("c")).otherwise(F.lit(0))
     return per_key.groupBy("sink_id").agg(

@@ -95,3 +95,13 @@ def test_keying_does_not_change_results(spark, data):
         pixels = sirt_reconstruct(rows, cfg).emitted_pixels().select("row_id", "pass0", "pix", F.round("val", 9).alias("v"))
         images.append(sorted(tuple(r) for r in pixels.collect()))
     assert images[0] == images[1]
+
+
+def test_broadcast_summary_counts_keys_before_copies(spark):
+    rows = spark.createDataFrame([(i, f"key{i % 7}", i % 5) for i in range(40)], "seq BIGINT, key STRING, val INT")
+    plain = kv_jobs.target_summary(kv_jobs.with_target(rows, "broadcast", 3))
+    ours = kv_jobs.broadcast_summary(rows, 3)
+    assert sorted(ours.collect()) == sorted(plain.collect())
+    plan = ours._jdf.queryExecution().optimizedPlan().toString()
+    lines = [line for line in plan.splitlines() if "Generate" in line or "Aggregate" in line]
+    assert ["Generate" in line for line in lines] == [False, True, False]
