@@ -90,3 +90,13 @@ def test_held_out_accuracy(spark):
     rows = marks.groupBy("toxic").agg(F.avg("score").alias("s")).collect()
     means = {int(x.toxic): x.s for x in rows}
     assert means[1] > means[0] + 0.3
+
+
+def test_warc_text_is_worked_out_once(spark):
+    from sinogrid.llm import warc
+
+    pages = spark.createDataFrame([(1, "u", "<p>a  b &#65;&amp;<!-- x --></p>\n\n<script>y</script> c \t d")], "page_id BIGINT, url STRING, html STRING")
+    out = warc.derive(warc.responses(pages))
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("</template") == 1
+    assert out.where("record_type = 'conversion'").first().content == "a b A&\nc d"
