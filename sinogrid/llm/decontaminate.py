@@ -11,8 +11,11 @@ another value do not count, and a name without any rejects the alignment. So a
 question asked with other numbers or names is found, and texts that only share a
 pattern are not.
 
-Each task drops most windows by a bitmap of fixed size that the benchmark's
-hashes fill; what passes is joined exactly.
+A word that no benchmark item has, and that is no number, unit or capital, is in
+no window that matches. Each task cuts the documents at such words, which leaves
+few stretches of the length of a window, and drops most windows of these by their
+hashes. Both go by bitmaps of fixed size that the benchmark fills; what passes is
+joined exactly.
 """
 
 from __future__ import annotations
@@ -23,6 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -38,10 +42,14 @@ _LITERAL, _NUMBER, _CAPITAL, _MARK = range(4)
 _KIND = np.uint64(62)
 _LOW = np.uint64(2**62 - 1)
 _PLACE = {k: np.uint64(int.from_bytes(hashlib.blake2b(k.encode(), digest_size=8).digest(), "little") >> 2) for k in ("<number>", "<name>", "<unit>")}
+_NO_WORD = np.uint64(int.from_bytes(hashlib.blake2b(b"<no word>", digest_size=8).digest(), "little") >> 2)
 _VERBATIM = np.uint64(0x2545F4914F6CDD1D >> 2)
 _FACTOR = 0x9E3779B97F4A7C15
 _MAP_BITS = 24
+_WORD_BITS = 22
 _CACHED = 300_000
+#: words of texts that are looked at together
+_AT_ONCE = 1 << 18
 
 
 class _Vocabulary(dict):
@@ -54,7 +62,7 @@ class _Vocabulary(dict):
             kind = _NUMBER
         else:
             kind = _CAPITAL if token[0].isupper() else _LITERAL
-        word = int.from_bytes(hashlib.blake2b(token.lower().encode(), digest_size=8).digest(), "little") >> 2
+        word = xxhash.xxh3_64_intdigest(token.lower().encode()) >> 2
         self[token] = found = kind << 62 | word
         return found
 
@@ -79,6 +87,10 @@ class Words:
         return self.tokens[self.keep[i]].lower()
 
 
+def _word_slot(codes: np.ndarray) -> np.ndarray:
+    return (codes >> np.uint64(62 - _WORD_BITS)).astype(np.int64)
+
+
 def _hashed(codes: np.ndarray, size: int) -> np.ndarray:
     n = len(codes) - size + 1
     total = np.zeros(max(n, 0), np.uint64)
@@ -91,6 +103,45 @@ def _hashed(codes: np.ndarray, size: int) -> np.ndarray:
     return total
 
 
+class Stretches(Words):
+    """Of several texts the longest runs, of `least` words or more, of numbers, capitals and words with a bit in `known`.
+
+    After each run stands a word that no text has, as one that no item has ends
+    it in its text. Neither is a name, number or unit, so readings of a run are
+    those of the text, and no window across runs has the hash of an item's.
+    """
+
+    def __init__(self, known: np.ndarray, least: int):
+        self.known, self.least, self.volume = known, least, 0
+        self.tokens, self.parts = [], []
+
+    def add(self, row: int, words: Words) -> None:
+        self.volume += len(words.tokens)
+        able = np.zeros(len(words.codes) + 2, np.int8)
+        able[1:-1] = (words.kinds != _LITERAL) | self.known[_word_slot(words.codes)]
+        edges = np.flatnonzero(np.diff(able))
+        begins, ends = edges[::2], edges[1::2]
+        long = ends - begins >= self.least
+        begins, sizes = begins[long], ends[long] - begins[long] + 1  # the word after it included
+        if not len(sizes):
+            return
+        place = np.repeat(begins - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
+        last = np.cumsum(sizes) - 1
+        at = place.copy()
+        at[last] -= 1
+        kinds, codes, starts = words.kinds[at], words.codes[at], words.starts[at]
+        kinds[last], codes[last], starts[last] = _LITERAL, _NO_WORD, False
+        tokens = words.tokens
+        self.tokens += [tokens[k] for k in words.keep[at].tolist()]
+        self.parts.append((kinds, codes, starts, place, np.full(len(at), row)))
+
+    def joined(self) -> Stretches:
+        none = (np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, bool), np.zeros(0, np.int64), np.zeros(0, np.int64))
+        self.kinds, self.codes, self.starts, self.place, self.row = (np.concatenate(x) for x in zip(none, *self.parts))
+        self.keep = np.arange(len(self.tokens))
+        return self
+
+
 class Template:
     """Template words of one reading: hashes, which are placeholders, and where each begins; a run of names is one placeholder.
 
@@ -105,7 +156,8 @@ class Template:
             return
         number, name = words.kinds == _NUMBER, (words.kinds == _CAPITAL) & (~words.starts | named)
         unit = np.zeros(n, bool)
-        unit[1:] = number[:-1] & (words.kinds[1:] == _LITERAL) & np.isin(codes[1:], _UNIT_HASHES)
+        after = np.flatnonzero(number[:-1] & (words.kinds[1:] == _LITERAL)) + 1
+        unit[after] = np.isin(codes[after], _UNIT_HASHES)
         hashes, slot = codes.copy(), number | name | unit
         for which, value in ((number, "<number>"), (name, "<name>"), (unit, "<unit>")):
             hashes[which] = _PLACE[value]
@@ -191,6 +243,29 @@ def item_windows(benchmark: DataFrame, words: int = 8, least: int = 5) -> DataFr
     return rows.mapInArrow(cut, f"item long, {_WINDOW}, length int").dropDuplicates(["item", "size", "pos", "hash"])
 
 
+def _known_words(benchmark: DataFrame) -> bytes:
+    """2**_WORD_BITS bits, set where the hashes of the items' words and of the units say."""
+
+    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocabulary, seen = _Vocabulary(), np.zeros(2**_WORD_BITS, bool)
+        for batch in batches:
+            for text in batch.column(0):
+                seen[_word_slot(Words(text.as_py(), vocabulary).codes)] = True
+                if len(vocabulary) > _CACHED:
+                    vocabulary.clear()
+        bits = np.packbits(seen, bitorder="little").view(np.int64)
+        at = np.flatnonzero(bits)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(bits[at])], names=["word", "bits"])
+
+    rows = benchmark.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).mapInArrow(words, "word int, bits long")
+    packed = np.zeros(2**_WORD_BITS // 64, np.int64)
+    for r in rows.groupBy("word").agg(F.bit_or("bits").alias("bits")).collect():
+        packed[r["word"]] = r["bits"]
+    units = np.zeros(2**_WORD_BITS, bool)
+    units[_word_slot(_UNIT_HASHES & _LOW)] = True
+    return (packed | np.packbits(units, bitorder="little").view(np.int64)).tobytes()
+
+
 def _same(a: str | None, b: str) -> bool:
     """Whether two values are one, or a name and the same with further words, as after a capital that isn't part of it."""
     return a is not None and (a == b or f" {b} ".endswith(f" {a} ") or f" {a} ".endswith(f" {b} "))
@@ -266,27 +341,35 @@ def matches(docs: DataFrame, benchmark: DataFrame, words: int = 8, least: int =
     for r in bits:
         packed[r["word"]] = r["bits"]
     sizes = sorted(r[0] for r in items.select("size").distinct().collect())
-    shared = spark.sparkContext.broadcast(packed.tobytes())
+    shared = spark.sparkContext.broadcast((packed.tobytes(), _known_words(benchmark)))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.unpackbits(np.frombuffer(shared.value, np.uint8), bitorder="little").view(bool)
-        vocabulary = _Vocabulary()
+        seen, known = (np.unpackbits(np.frombuffer(x, np.uint8), bitorder="little").view(bool) for x in shared.value)
+        vocabulary, shortest = _Vocabulary(), min(sizes, default=1)
+
+        def hits(held: Stretches, docs: list) -> list[tuple]:
+            out, own = [], set()
+            for t in readings(held.joined()):
+                for size in sizes if t.verbatim else [k for k in sizes if k >= least]:
+                    starts, hashes = t.windows(size)
+                    hit = np.nonzero(seen[(hashes >> np.uint64(64 - _MAP_BITS)).astype(np.int64)])[0]
+                    for _, *row in t.rows(0, size, starts[hit].tolist(), hashes[hit].view(np.int64).tolist()):
+                        key = row[1], row[0], row[3]  # a place of all texts
+                        if key not in own:
+                            own.add(key)
+                            row[1] = int(held.place[key[0]])
+                            out.append((docs[held.row[key[0]]], *row))
+            return out
+
         for batch in batches:
-            out = []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+            out, docs, held = [], batch.column(0).to_pylist(), Stretches(known, shortest)
+            for row, text in enumerate(batch.column(1)):
                 if len(vocabulary) > _CACHED:
                     vocabulary.clear()
-                own = set()
-                for t in readings(Words(text.as_py(), vocabulary)):
-                    for size in sizes if t.verbatim else [k for k in sizes if k >= least]:
-                        starts, hashes = t.windows(size)
-                        hit = np.nonzero(seen[(hashes >> np.uint64(64 - _MAP_BITS)).astype(np.int64)])[0]
-                        for row in t.rows(doc, size, starts[hit].tolist(), hashes[hit].view(np.int64).tolist()):
-                            key = row[1], row[2], row[4]
-                            if key not in own:
-                                own.add(key)
-                                out.append(row)
-            yield _columns(out, "doc", pa.int64())
+                held.add(row, Words(text.as_py(), vocabulary))
+                if held.volume > _AT_ONCE:
+                    out, held = out + hits(held, docs), Stretches(known, shortest)
+            yield _columns(out + hits(held, docs), "doc", pa.int64())
 
     @F.arrow_udf("struct<covered: int, matched: int, slots: int>")
     def aligned(found: pa.Array, length: pa.Array) -> pa.Array:

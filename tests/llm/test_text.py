@@ -267,6 +267,25 @@ def test_values_that_become_equal_and_one_that_does_not_fit(spark):
     assert {d for d, _ in contaminated(spark, rows, [(1, item)])} == {1, 2, 3}
 
 
+def test_stretches_have_the_windows_of_whole_texts():
+    vocabulary = decontaminate._Vocabulary()
+    item = decontaminate.Words(ITEM, vocabulary)
+    known = np.zeros(2**decontaminate._WORD_BITS, bool)
+    known[decontaminate._word_slot(np.append(item.codes, decontaminate._UNIT_HASHES))] = True
+    wanted = {h for t in decontaminate.readings(item, apart=True) for h in t.windows(8)[1].tolist()}
+    texts = [f"{h.words(1, 300)} 7 Anna. {ITEM.replace('5', '8')} Bernd {h.words(2, 300)}", "", h.words(3, 400), ITEM.replace("Anna", "Clara Dora"), f"{ITEM} {ITEM}"]
+    held, whole = decontaminate.Stretches(known, 8), []
+    for row, text in enumerate(texts):
+        found = decontaminate.Words(text, vocabulary)
+        held.add(row, found)
+        whole += [(row, p, w, x, tuple(v)) for t in decontaminate.readings(found) for _, _, p, w, x, v in t.rows(0, 8, *map(np.ndarray.tolist, t.windows(8))) if x in wanted]
+    held.joined()
+    cut = [(int(held.row[p]), int(held.place[p]), w, x, tuple(v)) for t in decontaminate.readings(held)
+           for _, _, p, w, x, v in t.rows(0, 8, *map(np.ndarray.tolist, t.windows(8))) if x in wanted]
+    assert set(cut) == set(whole) and {0, 3, 4} == {r for r, *_ in cut}
+    assert len(held.codes) < 300  # of about 1,100 words
+
+
 def test_warc_derivatives(spark, tmp_path):
     from sinogrid.llm import oracles, queries
 
