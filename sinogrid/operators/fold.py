@@ -25,6 +25,8 @@ from sinogrid.operators import routing
 # Detector columns up to which a task works on whole images.
 MOST_COLUMNS = 128
 _HELD = 64  # images in an output batch
+# Crossings of a window up to which a task keeps them (24 bytes each).
+_TRACED = 1 << 22
 OUT = "row_id BIGINT, tile INT, vals ARRAY<DOUBLE>, pass0 BIGINT, last BOOLEAN, step BIGINT"
 _SCHEMA = pa.schema([("row_id", pa.int64()), ("tile", pa.int32()), ("vals", pa.list_(pa.float64())),
                      ("pass0", pa.int64()), ("last", pa.bool_()), ("step", pa.int64())])
@@ -98,6 +100,20 @@ class _Message:
     slope: float | None
     across: float | None
     values: pa.DoubleArray | None
+    traced: tuple | None = None
+
+    def rays(self, nx: int, tile: int, mid: float, keep: bool):
+        """(column, cell, chord, squares summed per column) of all crossings.
+
+        They depend on the centre alone, so the passes and sweeps whose windows
+        hold the message trace it once if they `keep` them.
+        """
+        if self.traced is not None and self.traced[0] == mid:
+            return self.traced[1]
+        col, cell, chord = self.crossings(nx, tile, mid)
+        out = col, cell, chord, np.bincount(col, chord * chord, nx)
+        self.traced = (mid, out) if keep else None
+        return out
 
     def crossings(self, nx: int, tile: int, mid: float):
         """(column, cell, chord) of all crossings: a ray meets at most two cells per strip."""
@@ -107,12 +123,15 @@ class _Message:
         ends = self.slope * at + icept[:, None], self.slope * (at + 1.0) + icept[:, None]
         bottom, top = np.minimum(*ends), np.maximum(*ends)
         # the cell of an undefined line is 0, as in a cast
-        low, high = (np.nan_to_num(np.floor(x), nan=0.0) for x in (bottom, top))
+        low, high = np.floor(bottom), np.floor(top)
+        if np.isnan(bottom).any():
+            low, high = (np.nan_to_num(x, nan=0.0) for x in (low, high))
         apart, chord = low != high, np.sqrt(1.0 + self.slope * self.slope)
         out = []
         for cell, ok in ((low, (low >= 0) & (low < nx)), (high, apart & (high >= 0) & (high < nx))):
-            col, strip = np.nonzero(ok)
-            cell, parted, b, t = cell[ok], apart[ok], bottom[ok], top[ok]
+            found = np.flatnonzero(ok)
+            col, strip = np.divmod(found, nx)
+            cell, parted, b, t = (x.ravel()[found] for x in (cell, apart, bottom, top))
             part = (np.minimum(t, cell + 1.0) - np.maximum(b, cell)) / np.where(parted, t - b, 1.0)
             share = np.where(parted, part, 1.0)
             cell = cell.astype(np.int64)
@@ -142,6 +161,7 @@ class _Row:
         """One sweep, as `sirt.sweep`: messages of one number are one message."""
         nx, cells = self.nx, self.tile * self.tile
         num, den = np.zeros(cells), np.zeros(cells)
+        keep = 2 * nx * nx * len(window) <= _TRACED
         same: dict[int | None, list[_Message]] = {}
         for m in window:
             if m.values is not None and m.slope is not None and mid is not None:
@@ -150,9 +170,9 @@ class _Row:
             for copies in same.values():
                 sim, norm = np.zeros(nx), np.zeros(nx)
                 for m in reversed(copies):  # the first one's crossings are left for the way back
-                    col, cell, chord = m.crossings(nx, self.tile, mid)
+                    col, cell, chord, squares = m.rays(nx, self.tile, mid, keep)
                     sim += np.bincount(col, self.image[cell] * chord, nx)
-                    norm += np.bincount(col, chord * chord, nx)
+                    norm += squares
                 values = copies[0].values
                 change = np.where(norm != 0, (values.to_numpy(zero_copy_only=False) - sim) / norm, 0.0)
                 if values.null_count:  # a missing sample changes nothing, one that is NaN makes its cells undefined

@@ -1,11 +1,12 @@
 import math
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from sinogrid.config import TomoConfig
-from sinogrid.operators import sirt
+from sinogrid.operators import fold, sirt
 from sinogrid.plans.reconstruct import sirt_reconstruct
 from tests import model
 
@@ -139,3 +140,23 @@ def test_missing_rays_samples_and_copies_fold_as_in_one_job_per_pass(spark, monk
         images.append({(r.row_id, r.iteration, r.pix): r.val for r in out.collect()})
     assert images[0].keys() == images[1].keys() and len(images[0]) == 6 * N * N
     assert all(images[0][k] == pytest.approx(images[1][k], abs=1e-9) for k in images[0])
+
+
+def test_a_message_is_traced_once_for_all_passes(monkeypatch):
+    calls, plain = [], fold._Message.crossings
+    monkeypatch.setattr(fold._Message, "crossings", lambda self, *a: calls.append(self.rn) or plain(self, *a))
+
+    def passes(most):
+        monkeypatch.setattr(fold, "_TRACED", most)
+        row = fold._Row(0, 8, 8)
+        row.ready(0)
+        sent = [fold._Message(n, n, 4.0, True, 0.1 * n, 1.0, pa.array(np.arange(8.0) + n)) for n in range(12)]
+        for begin in (0, 4, 4, 8):
+            row.sweep(sent[begin:begin + 8], 4.0)
+        row.sweep(sent[8:], 3.5)  # another centre is traced anew
+        return row.image
+
+    kept = passes(1 << 22)
+    assert len(calls) == 12 + 4
+    calls.clear()
+    assert (passes(0) == kept).all() and len(calls) == 8 + 8 + 8 + 4 + 4
