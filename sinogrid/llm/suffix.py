@@ -8,7 +8,8 @@ occurrence are a run, whose bytes are its context (about 135).
 
 1. Anchors are hashed and counted; those that occur once can have no equal window.
 2. Occurrences of equal contexts form a class. All of its windows but those of
-   the earliest occurrence are repeats.
+   the earliest occurrence are repeats. Only the earliest ones move back to their
+   documents, whose other places are the repeats.
 3. Where classes share an anchor, their earliest contexts meet in one task, which
    sorts their suffixes and finds the windows in common. Anchors with more than
    `most` classes (a passage that countless documents quote, each in its own
@@ -250,21 +251,26 @@ def _occurrence(g: int, tie: int, place: int) -> int:
     return xxhash.xxh3_64_intdigest(np.array([g, tie, place], np.uint64).tobytes())
 
 
-def _runs(ranges: DataFrame) -> DataFrame:
-    """Ranges of a document that touch or overlap as one."""
+def _late_runs(places: DataFrame, firsts: DataFrame) -> DataFrame:
+    """(id, tie, lo, hi): the places (arrays lo, hi) of each document that are not among its `firsts`; what touches or overlaps is one."""
     @F.arrow_udf("array<struct<lo: int, hi: int>>")
-    def joined(lo: pa.Array, hi: pa.Array) -> pa.Array:
+    def joined(lo: pa.Array, hi: pa.Array, first: pa.Array) -> pa.Array:
         out = []
-        for a, b in zip(lo, hi):
+        for a, b, f in zip(lo, hi, first):
             a, b = np.asarray(a.as_py(), np.int64), np.asarray(b.as_py(), np.int64)
+            late = ~np.isin(a, np.asarray(f.as_py() or [], np.int64))
+            a, b = a[late], b[late]
             order = np.argsort(a)
             a, b = a[order], np.maximum.accumulate(b[order])
-            cut = np.concatenate([[True], a[1:] > b[:-1] + 1])
-            out.append([{"lo": x, "hi": y} for x, y in zip(a[cut].tolist(), b[np.append(cut[1:], True)].tolist())])
+            cut = np.ones(len(a), bool)
+            cut[1:] = a[1:] > b[:-1] + 1
+            ends = np.append(cut[1:], True)[:len(a)]
+            out.append([{"lo": x, "hi": y} for x, y in zip(a[cut].tolist(), b[ends].tolist())])
         return pa.array(out, pa.list_(pa.struct([("lo", pa.int32()), ("hi", pa.int32())])))
 
-    lists = ranges.groupBy("id", "tie").agg(F.collect_list("lo").alias("lo"), F.collect_list("hi").alias("hi"))
-    return lists.select("id", "tie", F.explode(joined("lo", "hi")).alias("r")).select("id", "tie", "r.lo", "r.hi")
+    own = firsts.groupBy("f.id", "f.tie").agg(F.collect_list("f.lo").alias("first"))
+    rows = places.select("id", "tie", "lo", "hi").join(own, ["id", "tie"], "left")
+    return rows.select("id", "tie", F.explode(joined("lo", "hi", "first")).alias("r")).select("id", "tie", "r.lo", "r.hi")
 
 
 def repeated(docs: DataFrame, length: int = 100, gram: int = 32, most: int = 2048) -> DataFrame:
@@ -284,29 +290,33 @@ def repeated(docs: DataFrame, length: int = 100, gram: int = 32, most: int = 204
 
     def classed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.frombuffer(shared.value, np.uint8)
-        kinds = [*_ID, ("g", pa.int64()), ("c", pa.int64()), ("lo", pa.int32()), ("hi", pa.int32())]
+        kinds = [*_ID, *((n, pa.list_(k)) for n, k in (("g", pa.int64()), ("c", pa.int64()), ("lo", pa.int32()), ("hi", pa.int32())))]
         for batch in batches:
-            out = []
+            out, held = [], 0
             for id_, tie, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
                 data = text.as_py()
                 h, a, s, e = anchors(data, length, gram)
                 at = np.nonzero(_has(seen, h))[0]
-                out += [(id_, tie, g, xxhash.xxh3_64_intdigest(data[lo:hi + length], a_ - lo) - 2**63, lo, hi)
-                        for g, a_, lo, hi in zip(h[at].view(np.int64).tolist(), a[at].tolist(), s[at].tolist(), e[at].tolist())]
-                if len(out) > _ROWS_AT_ONCE:
+                if not len(at):
+                    continue
+                lo, hi = s[at], e[at]
+                c = [xxhash.xxh3_64_intdigest(data[x:y + length], z - x) - 2**63 for x, y, z in zip(lo.tolist(), hi.tolist(), a[at].tolist())]
+                out.append((id_, tie, h[at].view(np.int64), np.array(c, np.int64), lo.astype(np.int32), hi.astype(np.int32)))
+                held += len(at)
+                if held > _ROWS_AT_ONCE:
                     yield _batch(out, kinds)
-                    out = []
+                    out, held = [], 0
             yield _batch(out, kinds)
 
-    places = kept(docs.mapInArrow(classed, f"{_WHERE}, g long, c long, lo int, hi int"), "places")
-    firsts = kept(places.groupBy("g", "c").agg(F.min(F.struct("id", "tie", "lo")).alias("f"), F.count("*").alias("n")), "classes")
-    copies = (places.join(firsts.where("n > 1").select("g", "c", "f"), ["g", "c"])
-              .where("NOT (id = f.id AND tie = f.tie AND lo = f.lo)").select("id", "tie", "lo", "hi"))
-    copies = kept(_runs(copies), "copies")
+    places = kept(docs.mapInArrow(classed, f"{_WHERE}, g array<long>, c array<long>, lo array<int>, hi array<int>"), "places")
+    each = places.select("id", "tie", F.explode(F.arrays_zip("g", "c", "lo")).alias("p"))
+    firsts = kept(each.select("p.g", "p.c", F.struct("id", "tie", "p.lo").alias("f")).groupBy("g", "c").agg(F.min("f").alias("f")), "classes")
+    copies = kept(_late_runs(places, firsts), "copies")
+    discarded(places)
     several = firsts.groupBy("g").agg(F.count("*").alias("classes")).where("classes > 1")
     open_ = firsts.join(several, "g").select("g", F.col("f.id").alias("id"), F.col("f.tie").alias("tie"), F.col("f.lo").alias("lo"), "classes")
     open_ = kept(open_, "open")
-    for done in (often, places, firsts):
+    for done in (often, firsts):
         discarded(done)
 
     @F.arrow_udf("long")

@@ -1,10 +1,11 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from sinogrid.llm import multiset, packing, ring, simhash, suffix
+from sinogrid.llm import multiset, packing, ring, simhash, suffix, tables
 from sinogrid.llm.components import components
 from tests.llm import helpers as h
 
@@ -260,3 +261,29 @@ def test_a_shared_passage_makes_no_square_of_pairs(spark):
     assert simhash._block_pairs(nodes, 2304, 96).count() <= 200
     assert simhash._prefix_pairs(nodes, none, share).count() <= 200
     nodes.unpersist()
+
+
+def test_late_places_are_those_that_are_no_firsts(spark):
+    places = spark.createDataFrame([(1, 0, [5, 0, 40], [9, 4, 44]), (2, 0, [0, 7], [3, 8]), (3, 0, [1], [6])], "id long, tie long, lo array<int>, hi array<int>")
+    firsts = spark.createDataFrame([(10, 11, (1, 0, 40)), (12, 13, (2, 0, 0)), (14, 15, (2, 0, 7))], "g long, c long, f struct<id: long, tie: long, lo: int>")
+    assert sorted(map(tuple, suffix._late_runs(places, firsts).collect())) == [(1, 0, 0, 9), (3, 0, 1, 6)]
+
+
+def test_batches_of_texts_are_bounded_in_bytes(spark, tmp_path):
+    setting = "spark.sql.execution.arrow.maxBytesPerBatch"
+    spark.range(0, 4000, 1, 1).select(F.col("id").alias("doc_id"), F.repeat(F.lit("x"), 4000).alias("text")).write.parquet(f"{tmp_path}/documents.parquet")
+    before = spark.conf.get(setting)
+
+    def rows(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.nbytes])], names=["n"])
+
+    try:
+        spark.conf.unset(setting)
+        found = [r["n"] for r in tables.table(spark, str(tmp_path), "documents").mapInArrow(rows, "n long").collect()]
+        assert sum(found) > 16_000_000 and max(found) < 5_000_000
+        spark.conf.set(setting, "64k")
+        tables.small_batches(spark)
+        assert spark.conf.get(setting).removesuffix("b") in ("64k", "65536")
+    finally:
+        spark.conf.set(setting, before)
