@@ -252,12 +252,13 @@ def _occurrence(g: int, tie: int, place: int) -> int:
 
 
 def _late_runs(places: DataFrame, firsts: DataFrame) -> DataFrame:
-    """(id, tie, lo, hi): the places (arrays lo, hi) of each document that are not among its `firsts`; what touches or overlaps is one."""
+    """(id, tie, lo, hi): the places (arrays lo, more; more = hi - lo is small and packs well) of each document that are not among its `firsts`; what touches or overlaps is one."""
     @F.arrow_udf("array<struct<lo: int, hi: int>>")
-    def joined(lo: pa.Array, hi: pa.Array, first: pa.Array) -> pa.Array:
+    def joined(lo: pa.Array, more: pa.Array, first: pa.Array) -> pa.Array:
         out = []
-        for a, b, f in zip(lo, hi, first):
+        for a, b, f in zip(lo, more, first):
             a, b = np.asarray(a.as_py(), np.int64), np.asarray(b.as_py(), np.int64)
+            b += a
             late = ~np.isin(a, np.asarray(f.as_py() or [], np.int64))
             a, b = a[late], b[late]
             order = np.argsort(a)
@@ -269,8 +270,8 @@ def _late_runs(places: DataFrame, firsts: DataFrame) -> DataFrame:
         return pa.array(out, pa.list_(pa.struct([("lo", pa.int32()), ("hi", pa.int32())])))
 
     own = firsts.groupBy("f.id", "f.tie").agg(F.collect_list("f.lo").alias("first"))
-    rows = places.select("id", "tie", "lo", "hi").join(own, ["id", "tie"], "left")
-    return rows.select("id", "tie", F.explode(joined("lo", "hi", "first")).alias("r")).select("id", "tie", "r.lo", "r.hi")
+    rows = places.select("id", "tie", "lo", "more").join(own, ["id", "tie"], "left")
+    return rows.select("id", "tie", F.explode(joined("lo", "more", "first")).alias("r")).select("id", "tie", "r.lo", "r.hi")
 
 
 def repeated(docs: DataFrame, length: int = 100, gram: int = 32, most: int = 2048) -> DataFrame:
@@ -287,10 +288,11 @@ def repeated(docs: DataFrame, length: int = 100, gram: int = 32, most: int = 204
 
     often = kept(docs.mapInArrow(counted, "g long").groupBy("g").agg(F.count("*").alias("n")).where("n > 1").select("g"), "grams")
     shared = spark.sparkContext.broadcast(_bitmap(often, "g"))
+    discarded(often)
 
     def classed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.frombuffer(shared.value, np.uint8)
-        kinds = [*_ID, *((n, pa.list_(k)) for n, k in (("g", pa.int64()), ("c", pa.int64()), ("lo", pa.int32()), ("hi", pa.int32())))]
+        kinds = [*_ID, *((n, pa.list_(k)) for n, k in (("g", pa.int64()), ("c", pa.int64()), ("lo", pa.int32()), ("more", pa.int32())))]
         for batch in batches:
             out, held = [], 0
             for id_, tie, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
@@ -301,14 +303,14 @@ def repeated(docs: DataFrame, length: int = 100, gram: int = 32, most: int = 204
                     continue
                 lo, hi = s[at], e[at]
                 c = [xxhash.xxh3_64_intdigest(data[x:y + length], z - x) - 2**63 for x, y, z in zip(lo.tolist(), hi.tolist(), a[at].tolist())]
-                out.append((id_, tie, h[at].view(np.int64), np.array(c, np.int64), lo.astype(np.int32), hi.astype(np.int32)))
+                out.append((id_, tie, h[at].view(np.int64), np.array(c, np.int64), lo.astype(np.int32), (hi - lo).astype(np.int32)))
                 held += len(at)
                 if held > _ROWS_AT_ONCE:
                     yield _batch(out, kinds)
                     out, held = [], 0
             yield _batch(out, kinds)
 
-    places = kept(docs.mapInArrow(classed, f"{_WHERE}, g array<long>, c array<long>, lo array<int>, hi array<int>"), "places")
+    places = kept(docs.mapInArrow(classed, f"{_WHERE}, g array<long>, c array<long>, lo array<int>, more array<int>"), "places")
     each = places.select("id", "tie", F.explode(F.arrays_zip("g", "c", "lo")).alias("p"))
     firsts = kept(each.select("p.g", "p.c", F.struct("id", "tie", "p.lo").alias("f")).groupBy("g", "c").agg(F.min("f").alias("f")), "classes")
     copies = kept(_late_runs(places, firsts), "copies")
@@ -316,8 +318,7 @@ def repeated(docs: DataFrame, length: int = 100, gram: int = 32, most: int = 204
     several = firsts.groupBy("g").agg(F.count("*").alias("classes")).where("classes > 1")
     open_ = firsts.join(several, "g").select("g", F.col("f.id").alias("id"), F.col("f.tie").alias("tie"), F.col("f.lo").alias("lo"), "classes")
     open_ = kept(open_, "open")
-    for done in (often, firsts):
-        discarded(done)
+    discarded(firsts)
 
     @F.arrow_udf("long")
     def named(g: pa.Array, tie: pa.Array, lo: pa.Array) -> pa.Array:

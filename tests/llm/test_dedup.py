@@ -264,7 +264,7 @@ def test_a_shared_passage_makes_no_square_of_pairs(spark):
 
 
 def test_late_places_are_those_that_are_no_firsts(spark):
-    places = spark.createDataFrame([(1, 0, [5, 0, 40], [9, 4, 44]), (2, 0, [0, 7], [3, 8]), (3, 0, [1], [6])], "id long, tie long, lo array<int>, hi array<int>")
+    places = spark.createDataFrame([(1, 0, [5, 0, 40], [4, 4, 4]), (2, 0, [0, 7], [3, 1]), (3, 0, [1], [5])], "id long, tie long, lo array<int>, more array<int>")
     firsts = spark.createDataFrame([(10, 11, (1, 0, 40)), (12, 13, (2, 0, 0)), (14, 15, (2, 0, 7))], "g long, c long, f struct<id: long, tie: long, lo: int>")
     assert sorted(map(tuple, suffix._late_runs(places, firsts).collect())) == [(1, 0, 0, 9), (3, 0, 1, 6)]
 
