@@ -1,4 +1,4 @@
-"""Steps that similarity joins share: order of a pair, texts of chosen ids, comparison of full sets, groups of links."""
+"""Steps that similarity joins share: parity bitmaps, order of a pair, texts of chosen ids, comparison of full sets, groups of links."""
 
 from __future__ import annotations
 
@@ -28,6 +28,25 @@ def shingle_set(text: bytes, words: int) -> np.ndarray:
     return np.unique(np.array([digest(joined[a:b], SEED) for a, b in zip([0, *after.tolist()], ends)], dtype=np.uint64))
 
 
+def parity_bits(hashes: np.ndarray) -> bytes:
+    """Of each of 2^k places (64 at least, as many as hashes up to 2^16) whether an odd number of hashes fall on it.
+
+    Two sets differ in as many places at most as they have elements of their
+    own. Folding the halves of a wide bitmap on one another gives the narrow one.
+    """
+    places = 1 << min(max(int(len(hashes) - 1).bit_length(), 6), 16)
+    odd = np.bincount((hashes & np.uint64(places - 1)).astype(np.int64), minlength=places) & 1
+    return np.packbits(odd.astype(bool)).tobytes()
+
+
+def parity_distance(a: bytes, b: bytes) -> int:
+    """Places in which two parity bitmaps differ, the wider one folded to the width of the other."""
+    one, other = sorted((np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)), key=len)
+    while len(other) > len(one):
+        other = other[:len(other) // 2] ^ other[len(other) // 2:]
+    return int(np.bitwise_count(one ^ other).sum())
+
+
 def child_parent(one: str, other: str) -> list:
     """Two nodes as (child, parent) by a hash order of all nodes."""
     first = F.struct(F.xxhash64(one), one) > F.struct(F.xxhash64(other), other)

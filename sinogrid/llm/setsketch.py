@@ -6,7 +6,7 @@ The register of a union is the larger of the two. Two sets have equal registers
 the more often the more they share, so sets that agree in a whole band of
 registers meet; what meets is judged by the likelihood of its register
 comparisons (greater, less, equal, with both set sizes known) and, unless that
-rules the pair out, by the sets themselves.
+or the parity bitmaps of the sets rule the pair out, by the sets themselves.
 
 With 36 bands of 7 registers a pair of Jaccard similarity J meets with a chance
 of 1 - (1 - J^7)^36 at least (equal registers are somewhat likelier than J): all
@@ -15,7 +15,9 @@ all its pairs: its nodes meet a few pivots, of these pairs each node's likeliest
 is verified first, groups are formed of the links, and only pairs of different
 groups are verified further. The nodes of buckets that still hold several groups
 are listed under their rarest shingles, one of which all pairs above the
-similarity share, and nodes outside such a list's largest group meet its others.
+similarity share, and nodes outside such a list's largest group meet its others
+if both have enough shingles from the listed one on: no copy edited beyond the
+limit meets the whole of a large family by the passages that all of it has.
 """
 
 from __future__ import annotations
@@ -30,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sinogrid.llm.components import components
-from sinogrid.llm.pairing import alike_pairs, child_parent, node_texts, shingle_set, texts_of, with_groups
+from sinogrid.llm.pairing import alike_pairs, child_parent, node_texts, parity_bits, parity_distance, shingle_set, texts_of, with_groups
 from sinogrid.llm.tables import NO_ID, discarded, kept, texts
 
 SEED = 11
@@ -103,14 +105,14 @@ def estimated(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, si
 
 
 def sketches(docs: DataFrame, words: int = 5) -> DataFrame:
-    """(doc_id, mark, n, regs) of documents: digest and size of the shingle set, and its registers."""
+    """(doc_id, mark, n, regs, odd) of documents: digest and size of the shingle set, its registers and its parity bitmap."""
 
-    @F.arrow_udf("struct<mark: binary, n: bigint, regs: binary>")
+    @F.arrow_udf("struct<mark: binary, n: bigint, regs: binary, odd: binary>")
     def of(text: pa.Array) -> pa.Array:
         sets = [shingle_set(t.as_py().encode(), words) for t in text]
         return pa.StructArray.from_arrays([pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary()),
-                                           pa.array(list(map(len, sets)), pa.int64()), pa.array([registers(s).tobytes() for s in sets], pa.binary())],
-                                          ["mark", "n", "regs"])
+                                           pa.array(list(map(len, sets)), pa.int64()), pa.array([registers(s).tobytes() for s in sets], pa.binary()),
+                                           pa.array(list(map(parity_bits, sets)), pa.binary())], ["mark", "n", "regs", "odd"])
 
     return texts(docs).select("doc_id", of("text").alias("s")).select("doc_id", "s.*")
 
@@ -132,24 +134,36 @@ def _pivoted(listed: DataFrame, pivots: int) -> DataFrame:
 
 
 def _plausible(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
-    """(child, parent, estimate) of pairs that neither set sizes nor the likelihood of their registers rule out."""
+    """(child, parent, estimate) of pairs that neither set sizes, parity bitmaps nor the likelihood of their registers rule out.
+
+    Sets of a Jaccard similarity s have (n_a + n_b) (1 - s) / (1 + s) elements at
+    most that are not in both, and parity bitmaps cannot differ in more places.
+    """
+    share = Fraction(str(similarity))
 
     @F.arrow_udf("struct<estimate: double, lost: double>")
-    def judged(a: pa.Array, b: pa.Array, n_a: pa.Array, n_b: pa.Array) -> pa.Array:
-        rows = [np.frombuffer(b"".join(x.to_pylist()), np.uint8).reshape(-1, REGISTERS) for x in (a, b)]
-        found = estimated(*rows, n_a.to_numpy().astype(float), n_b.to_numpy().astype(float), similarity)
-        return pa.StructArray.from_arrays([pa.array(x, pa.float64()) for x in found], ["estimate", "lost"])
+    def judged(a: pa.Array, b: pa.Array, n_a: pa.Array, n_b: pa.Array, odd_a: pa.Array, odd_b: pa.Array) -> pa.Array:
+        n_a, n_b = (x.to_numpy().astype(float) for x in (n_a, n_b))
+        apart = np.array([parity_distance(x, y) for x, y in zip(odd_a.to_pylist(), odd_b.to_pylist())], np.int64)
+        able = pa.array(apart * (share.denominator + share.numerator) <= (n_a + n_b) * (share.denominator - share.numerator))
+        rows = [np.frombuffer(b"".join(x.filter(able).to_pylist()), np.uint8).reshape(-1, REGISTERS) for x in (a, b)]
+        able = able.to_numpy(zero_copy_only=False)
+        out = [np.zeros(len(able)), np.full(len(able), np.inf)]
+        for whole, part in zip(out, estimated(*rows, n_a[able], n_b[able], similarity)):
+            whole[able] = part
+        return pa.StructArray.from_arrays([pa.array(x, pa.float64()) for x in out], ["estimate", "lost"])
 
-    share = Fraction(str(similarity))
     for x in ("child", "parent"):
-        pairs = pairs.join(nodes.select(F.col("node").alias(x), F.col("regs").alias(f"r_{x}"), F.col("n").alias(f"n_{x}")), x)
+        pairs = pairs.join(nodes.select(F.col("node").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("regs", "n", "odd")]), x)
     near = F.least("n_child", "n_parent") * share.denominator >= F.greatest("n_child", "n_parent") * share.numerator
-    told = pairs.where(near).select("child", "parent", judged("r_child", "r_parent", "n_child", "n_parent").alias("j"))
+    told = pairs.where(near).select("child", "parent", judged("regs_child", "regs_parent", "n_child", "n_parent", "odd_child", "odd_parent").alias("j"))
     return told.where(F.col("j.lost") < RULED_OUT).select("child", "parent", F.col("j.estimate").alias("estimate"))
 
 
 def _rare(docs: DataFrame, words: int, similarity: float) -> DataFrame:
-    """(node, shingle): the n - ceil(s n) + 1 rarest shingles of each document; two sets of similarity s share one of theirs.
+    """(node, n, after, shingle): the n - ceil(s n) + 1 rarest shingles of each document of n; two sets of similarity s share one of theirs.
+
+    `after` is how many of its shingles are no rarer, itself included.
 
     Rarity is counted in 2^20 hash buckets over these documents: any order is
     right, this one keeps common passages apart. What is counted once is shared
@@ -170,28 +184,40 @@ def _rare(docs: DataFrame, words: int, similarity: float) -> DataFrame:
     seen[told["at"].to_numpy()] = told["n"].to_numpy()
     shared = docs.sparkSession.sparkContext.broadcast(seen)
 
-    @F.arrow_udf("array<bigint>")
+    @F.arrow_udf("struct<n: int, alone: int, shingles: array<bigint>>")
     def first(text: pa.Array) -> pa.Array:
-        out = []
+        sizes, alone, out = [], [], []
         for t in text:
             own = shingle_set(t.as_py().encode(), words)
             often = shared.value[(own >> low).astype(np.int64)]
             order = np.argsort(often, kind="stable")[:len(own) - -(-share.numerator * len(own) // share.denominator) + 1]
-            out.append(own[order[often[order] > 0]].view(np.int64))
-        return pa.array(out, pa.list_(pa.int64()))
+            met = order[often[order] > 0]
+            sizes.append(len(own))
+            alone.append(len(order) - len(met))
+            out.append(own[met].view(np.int64))
+        return pa.StructArray.from_arrays([pa.array(sizes, pa.int32()), pa.array(alone, pa.int32()), pa.array(out, pa.list_(pa.int64()))], ["n", "alone", "shingles"])
+
+    rows = docs.select("node", first("text").alias("r")).select("node", "r.n", "r.alone", F.posexplode("r.shingles").alias("at", "shingle"))
+    return rows.select("node", "n", (F.col("n") - F.col("alone") - F.col("at")).alias("after"), "shingle")
 
-    return docs.select("node", F.explode(first("text")).alias("shingle"))
 
+def _across(listed: DataFrame, found: DataFrame, key: str, similarity: float) -> DataFrame:
+    """Pairs (child, parent) of one block and different groups, one of them outside the block's largest group.
 
-def _across(listed: DataFrame, found: DataFrame, key: str) -> DataFrame:
-    """Pairs (child, parent) of one block and different groups, one of them outside the block's largest group."""
+    Of sets listed by `_rare` a pair meets where each has, from the shingle on,
+    as many as two sets of their sizes and the similarity have in common: so has
+    the first shingle that both have.
+    """
+    share = Fraction(str(similarity))
     sided = kept(with_groups(listed, found, ("node",)), "sided")
     sums = sided.groupBy(key, "c_node").agg(F.count(F.lit(1)).alias("k"))
     largest = sums.groupBy(key).agg(F.max_by("c_node", F.struct("k", "c_node")).alias("largest"), F.count(F.lit(1)).alias("groups"))
     still = sided.join(largest.where("groups > 1").drop("groups"), key)
-    a = still.where("c_node <> largest").select(key, F.col("node").alias("x"), F.col("c_node").alias("cx"))
-    b = still.select(key, F.col("node").alias("y"), F.col("c_node").alias("cy"))
-    return a.join(b, key).where("cx <> cy").select(*child_parent("x", "y")).distinct()
+    a = still.where("c_node <> largest").select(key, *[F.col(c).alias(f"{c}_x") for c in ("node", "c_node", "n", "after")])
+    b = still.select(key, (F.col("c_node") == F.col("largest")).alias("main"), *[F.col(c).alias(f"{c}_y") for c in ("node", "c_node", "n", "after")])
+    enough = F.least("after_x", "after_y") * (share.denominator + share.numerator) >= (F.col("n_x") + F.col("n_y")) * share.numerator
+    once = F.col("main") | (F.col("node_x") < F.col("node_y"))
+    return a.join(b, key).where((F.col("c_node_x") != F.col("c_node_y")) & once & enough).select(*child_parent("node_x", "node_y")).distinct()
 
 
 def _open_nodes(listed: DataFrame, found: DataFrame) -> DataFrame:
@@ -204,7 +230,7 @@ def _open_nodes(listed: DataFrame, found: DataFrame) -> DataFrame:
 def links(nodes: DataFrame, docs: DataFrame, words: int, similarity: float, pivots: int = 3) -> DataFrame:
     """Edges (a, b) between nodes whose groups are those of all similar pairs that share a band of registers.
 
-    `nodes` are (node, n, regs), `docs` (node, text) of the same nodes at least.
+    `nodes` are (node, n, regs, odd), `docs` (node, text) of the same nodes at least.
     """
     listed = kept(_buckets(nodes), "buckets")
     likely = kept(_plausible(_pivoted(listed, pivots), nodes, similarity), "likely")
@@ -216,7 +242,7 @@ def links(nodes: DataFrame, docs: DataFrame, words: int, similarity: float, pivo
     ids = _open_nodes(listed, found)
     discarded(listed)
     rare = kept(_rare(texts_of(docs, ids).join(ids, "node", "left_semi"), words, similarity), "rare")
-    pairs = _across(rare, found, "shingle").join(likely, ["child", "parent"], "left_anti")
+    pairs = _across(rare, found, "shingle", similarity).join(likely, ["child", "parent"], "left_anti")
     able = kept(_plausible(pairs, nodes, similarity).select("child", "parent"), "pairs")
     discarded(rare)
     return found.union(alike_pairs(able, docs, words, similarity))
@@ -233,7 +259,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.85, *
     """
     rows = kept(sketches(docs, words), "sketches")
     own = F.coalesce("doc_id", F.lit(NO_ID))
-    nodes = kept(rows.where("n > 0").groupBy("mark").agg(F.min(own).alias("node"), F.first("n").alias("n"), F.first("regs").alias("regs")), "nodes")
+    nodes = kept(rows.where("n > 0").groupBy("mark").agg(F.min(own).alias("node"), *[F.first(c).alias(c) for c in ("n", "regs", "odd")]), "nodes")
     whole = node_texts(docs, rows)
     group = components(links(nodes, whole, words, similarity, **settings))
     named = nodes.join(group, "node", "left").select("mark", F.coalesce("component", "node").alias("component"))

@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sinogrid.llm.components import components
-from sinogrid.llm.pairing import alike_pairs, child_parent, node_texts, with_groups
+from sinogrid.llm.pairing import alike_pairs, child_parent, node_texts, parity_bits, parity_distance, with_groups
 from sinogrid.llm.tables import NO_ID, discarded, kept, texts, unused
 
 SEED = 42
@@ -196,25 +196,6 @@ def _common(docs: DataFrame, words: int) -> np.ndarray:
     return total
 
 
-def parity_bits(hashes: np.ndarray) -> bytes:
-    """Of each of 2^k places (64 at least, as many as hashes up to 2^16) whether an odd number of hashes fall on it.
-
-    Two sets differ in as many places at most as they have elements of their
-    own. Folding the halves of a wide bitmap on one another gives the narrow one.
-    """
-    places = 1 << min(max(int(len(hashes) - 1).bit_length(), 6), 16)
-    odd = np.bincount((hashes & np.uint64(places - 1)).astype(np.int64), minlength=places) & 1
-    return np.packbits(odd.astype(bool)).tobytes()
-
-
-def parity_distance(a: bytes, b: bytes) -> int:
-    """Places in which two parity bitmaps differ, the wider one folded to the width of the other."""
-    one, other = sorted((np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)), key=len)
-    while len(other) > len(one):
-        other = other[:len(other) // 2] ^ other[len(other) // 2:]
-    return int(np.bitwise_count(one ^ other).sum())
-
-
 def _described(docs: DataFrame, words: int, share: Fraction, bits: int) -> DataFrame:
     """(doc_id, mark, n, fp, odd, prefix): of each shingle set a digest, its size, SimHash, parity bitmap and first shingles, rare ones first.
 

@@ -104,6 +104,22 @@ def test_estimates_find_the_similarity(share):
         assert max(lost) < setsketch.RULED_OUT if share >= 0.85 else min(lost) > setsketch.RULED_OUT
 
 
+def test_copies_beyond_the_limit_do_not_meet_a_family(spark, monkeypatch):
+    """Texts too far from a large family of near copies, though alike to all of it: few pairs go to the full sets."""
+    r = random.Random(31)
+    base = h.words(30, 200)
+    rows = [(k, edited(r, base, r.randrange(4))) for k in range(80)] + [(100 + k, edited(r, base, 9 + k % 6)) for k in range(40)]
+    compared, whole = [], setsketch.alike_pairs
+
+    def counted(pairs, *more):
+        compared.append(pairs.count())
+        return whole(pairs, *more)
+
+    monkeypatch.setattr(setsketch, "alike_pairs", counted)
+    assert got(setsketch.near_duplicates(h.documents(spark, rows))) == plain(rows)
+    assert sum(compared) < 6 * len(rows)
+
+
 def test_pivots_list_few_pairs(spark):
     """n texts with a common passage, alike to none: the pairs judged grow with n, not with its square."""
     counts = []
