@@ -382,7 +382,9 @@ def repeated(docs: DataFrame, length: int = 100, gram: int = 32, most: int = 204
             .select("id", "tie", (F.col("lo") + F.col("k")).alias("lo"), F.md5(F.expr(f"substring(data, k + 1, {length})")).alias("w")))
     earliest = many.groupBy("w").agg(F.min(F.struct("id", "tie", "lo")).alias("f"), F.count("*").alias("n")).where("n > 1").drop("n")
     late = many.join(earliest, "w").where("NOT (id = f.id AND tie = f.tie AND lo = f.lo)").select("id", "tie", "lo", F.col("lo").alias("hi"))
-    return copies.union(kept(few.union(late), "ranges"))
+    ranges = kept(few.union(late), "ranges")
+    discarded(met)
+    return copies.union(ranges)
 
 
 def without_repeats(docs: DataFrame, length: int = 100, **settings) -> DataFrame:

@@ -133,6 +133,24 @@ def test_repeats_of_odd_documents(spark):
     assert suffix.without_repeats(h.documents(spark, [])).count() == 0
 
 
+def test_repeats_leave_their_ranges_alone(spark, monkeypatch):
+    """What goes on disk beside the shuffle of the texts: the runs found, no contexts."""
+    from sinogrid import scratch
+
+    made = []
+
+    def noted(df, name):
+        made.append((name, tables.kept(df, name)))
+        return made[-1][1]
+
+    monkeypatch.setattr(suffix, "kept", noted)
+    passage = h.words(9, 30)
+    rows = [(i, 0, f"{h.words(200 + i, 20)} {passage} {h.words(300 + i, 20)}".encode()) for i in range(8)]
+    found = suffix.repeated(spark.createDataFrame(rows, "id long, tie long, data binary"))
+    assert {name for name, df in made if scratch.exists(spark, df.stored_at)} == {"copies", "ranges"}
+    assert {x.id for x in found.collect()} == set(range(1, 8))
+
+
 def test_anchor_chunks_join(monkeypatch):
     data = (h.words(4, 600) + "z" * 700).encode()
     whole = suffix.anchors(data, 100, 32)
