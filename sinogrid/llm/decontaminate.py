@@ -91,6 +91,12 @@ def _word_slot(codes: np.ndarray) -> np.ndarray:
     return (codes >> np.uint64(62 - _WORD_BITS)).astype(np.int64)
 
 
+def _has(packed: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Whether a window's hash has its bit in a bitmap of 2**_MAP_BITS bits, which stays packed: 2 MB in each worker."""
+    slot = (hashes >> np.uint64(64 - _MAP_BITS)).astype(np.int64)
+    return (packed[slot >> 3] >> (slot & 7).astype(np.uint8) & 1).astype(bool)
+
+
 def _hashed(codes: np.ndarray, size: int) -> np.ndarray:
     n = len(codes) - size + 1
     total = np.zeros(max(n, 0), np.uint64)
@@ -344,7 +350,8 @@ def matches(docs: DataFrame, benchmark: DataFrame, words: int = 8, least: int =
     shared = spark.sparkContext.broadcast((packed.tobytes(), _known_words(benchmark)))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, known = (np.unpackbits(np.frombuffer(x, np.uint8), bitorder="little").view(bool) for x in shared.value)
+        seen, known = (np.frombuffer(x, np.uint8) for x in shared.value)
+        known = np.unpackbits(known, bitorder="little").view(bool)  # asked for every word
         vocabulary, shortest = _Vocabulary(), min(sizes, default=1)
 
         def hits(held: Stretches, docs: list) -> list[tuple]:
@@ -352,7 +359,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, words: int = 8, least: int =
             for t in readings(held.joined()):
                 for size in sizes if t.verbatim else [k for k in sizes if k >= least]:
                     starts, hashes = t.windows(size)
-                    hit = np.nonzero(seen[(hashes >> np.uint64(64 - _MAP_BITS)).astype(np.int64)])[0]
+                    hit = np.nonzero(_has(seen, hashes))[0]
                     for _, *row in t.rows(0, size, starts[hit].tolist(), hashes[hit].view(np.int64).tolist()):
                         key = row[1], row[0], row[3]  # a place of all texts
                         if key not in own:

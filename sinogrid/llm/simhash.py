@@ -275,15 +275,21 @@ def _block_pairs(nodes: DataFrame, bits: int, parts: int) -> DataFrame:
 
 
 def _prefix_pairs(nodes: DataFrame, found: DataFrame, share: Fraction) -> DataFrame:
-    """(child, parent): nodes of different groups that share a prefix shingle and are of near sizes, one of them outside the largest group there."""
-    listed = with_groups(nodes.where("n > 0").select("node", "n", "prefix"), found, ("node",)).select("node", "n", F.col("c_node").alias("c"), F.explode("prefix").alias("block"))
+    """(child, parent): nodes of different groups that share a prefix shingle, one of them outside the largest group there.
+
+    Both have, from the shingle on, as many as two sets of their sizes and the
+    similarity have in common: so has the first shingle that a similar pair shares.
+    """
+    listed = with_groups(nodes.where("n > 0").select("node", "n", "prefix"), found, ("node",)).select("node", "n", F.col("c_node").alias("c"), F.posexplode("prefix").alias("at", "block"))
     mixed = listed.groupBy("block").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("block")
-    listed = kept(listed.join(mixed, "block", "left_semi"), "blocks")
+    listed = kept(listed.join(mixed, "block", "left_semi").select("block", "node", "n", "c", (F.col("n") - F.col("at")).alias("after")), "blocks")
     sums = listed.groupBy("block", "c").agg(F.count("*").alias("k")).groupBy("block").agg(F.max_by("c", F.struct("k", "c")).alias("largest"))
-    a = listed.join(sums, "block").where("c <> largest").select("block", F.col("node").alias("x"), F.col("c").alias("cx"), F.col("n").alias("nx"))
-    b = listed.select("block", F.col("node").alias("y"), F.col("c").alias("cy"), F.col("n").alias("ny"))
-    near = F.least("nx", "ny") * share.denominator >= F.greatest("nx", "ny") * share.numerator
-    pairs = kept(a.join(b, "block").where((F.col("cx") != F.col("cy")) & near).select(*child_parent("x", "y")).distinct(), "pairs")
+    sided = listed.join(sums, "block")
+    a = sided.where("c <> largest").select("block", *[F.col(c).alias(f"{c}_x") for c in ("node", "c", "n", "after")])
+    b = sided.select("block", (F.col("c") == F.col("largest")).alias("main"), *[F.col(c).alias(f"{c}_y") for c in ("node", "c", "n", "after")])
+    enough = F.least("after_x", "after_y") * (share.denominator + share.numerator) >= (F.col("n_x") + F.col("n_y")) * share.numerator
+    once = F.col("main") | (F.col("node_x") < F.col("node_y"))
+    pairs = kept(a.join(b, "block").where((F.col("c_x") != F.col("c_y")) & once & enough).select(*child_parent("node_x", "node_y")).distinct(), "pairs")
     discarded(listed)
     return pairs
 

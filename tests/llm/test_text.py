@@ -317,3 +317,13 @@ def test_warc_derivatives(spark, tmp_path):
     assert sorted(seen) == sorted((x.record_id, x.refers_to, x.content) for x in rows)
     folder = "/root/testdata/sf0.001"
     assert check(queries.all_queries()["op2_warc_derivatives"](spark, folder), connect(folder), oracles.all_oracles()["op2_warc_derivatives"]) is None
+
+
+def test_windows_are_looked_up_in_a_packed_bitmap():
+    r = np.random.default_rng(4)
+    bits = r.random(1 << decontaminate._MAP_BITS) < 0.3
+    hashes = r.integers(0, 2**64, 5000, np.uint64)
+    packed = np.packbits(bits, bitorder="little")
+    assert packed.nbytes == 2**21
+    assert (decontaminate._has(packed, hashes) == bits[(hashes >> np.uint64(64 - decontaminate._MAP_BITS)).astype(np.int64)]).all()
+    assert not len(decontaminate._has(packed, hashes[:0]))
