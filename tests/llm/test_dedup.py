@@ -1,4 +1,5 @@
 import random
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -103,6 +104,26 @@ def test_alike_finds_every_pair_at_the_limit(spark):
     assert simhash.alike(h.documents(spark, [])).count() == 0
 
 
+def test_texts_beyond_the_limit_meet_few_of_a_family(spark):
+    """Texts that have most of a large family's shingles, but too few of them behind their own: only those near enough meet it."""
+    r = random.Random(31)
+    base, share = h.words(30, 200).split(), Fraction(4, 5)
+
+    def copy(changes):
+        text = list(base)
+        for at in r.sample(range(5, 195), changes):
+            text[at] = f"edit{r.randrange(10**9)}"
+        return " ".join(text)
+
+    rows = [(k, copy(r.randrange(4))) for k in range(80)] + [(100 + k, copy(4 + 3 * (k % 8 > 0))) for k in range(40)]
+    own = {i: set(simhash.shingle_set(t.encode(), 5).tolist()) for i, t in rows}
+    nodes = tables.kept(simhash._described(h.documents(spark, rows), 5, share, 2304).withColumnRenamed("doc_id", "node"), "nodes")
+    got = simhash._prefix_pairs(nodes, spark.createDataFrame([(0, k) for k in range(1, 80)], "a long, b long"), share)
+    pairs = [frozenset((x.child, x.parent)) for x in got.collect()]
+    alike = {frozenset((a, b)) for a in range(100, 140) for b in own if b < a and 5 * len(own[a] & own[b]) >= 4 * len(own[a] | own[b])}
+    assert alike and alike <= set(pairs) and len(pairs) == len(set(pairs)) < 1000
+
+
 def test_deduplicated_keeps_columns_and_one_row(spark):
     df = h.with_clashes(h.documents(spark, h.odd_documents()))
     got = simhash.deduplicated(df)
