@@ -218,12 +218,13 @@ def _anchors(data: np.ndarray, length: int, gram: int, base: int):
 
 
 def _slot(hashes: np.ndarray) -> np.ndarray:
-    return (hashes >> np.uint64(64 - _MAP_BITS)).astype(np.int64)
+    """Place in a bitmap: the trailing bits, as anchors are the smallest hashes around and their leading bits are alike."""
+    return (hashes & np.uint64(2**_MAP_BITS - 1)).astype(np.int64)
 
 
 def _bitmap(hashes: DataFrame, name: str) -> bytes:
-    """2**_MAP_BITS bits, set where a hash's leading bits say; summed up by words before they reach the driver."""
-    slot = F.shiftrightunsigned(name, 64 - _MAP_BITS)
+    """2**_MAP_BITS bits, set where a hash's trailing bits say; summed up by words before they reach the driver."""
+    slot = F.col(name).bitwiseAND(F.lit(2**_MAP_BITS - 1))
     rows = (hashes.groupBy(F.shiftright(slot, 6).cast("int").alias("w"))
             .agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (slot % 64).cast("int"))).alias("bits")))
     out = np.zeros(2**_MAP_BITS // 64, np.int64)
@@ -312,7 +313,7 @@ def repeated(docs: DataFrame, length: int = 100, gram: int = 32, most: int = 204
 
     places = kept(docs.mapInArrow(classed, f"{_WHERE}, g array<long>, c array<long>, lo array<int>, more array<int>"), "places")
     each = places.select("id", "tie", F.explode(F.arrays_zip("g", "c", "lo")).alias("p"))
-    firsts = kept(each.select("p.g", "p.c", F.struct("id", "tie", "p.lo").alias("f")).groupBy("g", "c").agg(F.min("f").alias("f")), "classes")
+    firsts = kept(each.select("p.g", "p.c", F.struct("id", "tie", "p.lo").alias("f")).groupBy("g", "c").agg(F.min("f").alias("f")).drop("c"), "classes")
     copies = kept(_late_runs(places, firsts), "copies")
     discarded(places)
     several = firsts.groupBy("g").agg(F.count("*").alias("classes")).where("classes > 1")

@@ -172,6 +172,16 @@ def test_repeats_leave_their_ranges_alone(spark, monkeypatch):
     assert {x.id for x in found.collect()} == set(range(1, 8))
 
 
+def test_anchors_spread_over_their_bitmap(spark):
+    """Anchors are the smallest hashes around: places by their leading bits met in a part of the bitmap."""
+    found = np.unique(suffix.anchors(np.random.default_rng(5).bytes(1 << 21), 100, 32)[0])
+    assert len(found) > 50_000
+    assert len(np.unique(suffix._slot(found))) > 0.995 * len(found)
+    some = found[:500]
+    packed = suffix._bitmap(spark.createDataFrame([(int(x),) for x in some.view(np.int64)], "g long"), "g")
+    assert suffix._has(np.frombuffer(packed, np.uint8), some).all()
+
+
 def test_anchor_chunks_join(monkeypatch):
     data = (h.words(4, 600) + "z" * 700).encode()
     whole = suffix.anchors(data, 100, 32)
