@@ -71,7 +71,12 @@ def texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def alike_pairs(pairs: DataFrame, docs: DataFrame, words: int, similarity: float) -> DataFrame:
-    """Edges (a, b): pairs (child, parent) of documents whose full sets are similar. Texts go to their pairs and are cut there."""
+    """Edges (a, b): pairs (child, parent) of documents whose full sets are similar. Texts go to their pairs and are cut there.
+
+    The joins shuffle, however few the pairs: over a broadcast one the scan's
+    Python and that of the comparison are one stage, where each task has two
+    workers, which an executor keeps from then on.
+    """
     share = Fraction(str(similarity))
 
     @F.arrow_udf("boolean")
@@ -88,7 +93,7 @@ def alike_pairs(pairs: DataFrame, docs: DataFrame, words: int, similarity: float
 
     held = texts_of(docs, pairs.select(F.col("child").alias("node")).union(pairs.select("parent")).distinct())
     for x in ("child", "parent"):
-        pairs = pairs.join(held.select(F.col("node").alias(x), F.col("text").alias(f"t_{x}")), x)
+        pairs = pairs.join(held.select(F.col("node").alias(x), F.col("text").alias(f"t_{x}")).hint("merge"), x)
     return kept(pairs.where(alike("t_child", "t_parent")).select(F.col("child").alias("a"), F.col("parent").alias("b")), "links")
 
 

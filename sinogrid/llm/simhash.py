@@ -252,8 +252,9 @@ def _plausible(pairs: DataFrame, nodes: DataFrame, share: Fraction, bits: int, d
     if distance is not None:
         pairs = pairs.where(_distance(bits) <= distance)
     told = pairs.select("child", "parent", (F.col("n_a") + F.col("n_b")).alias("sum"), differing("odd_a", "odd_b").alias("d"))
-    able = told.where(F.col("d") * (share.denominator + share.numerator) <= F.col("sum") * (share.denominator - share.numerator))
-    return able.groupBy("child", "parent").agg(F.min(F.col("d") / F.col("sum")).alias("apart"))
+    # chosen within the sum: a filter on d would go below it and run `differing` twice, each in a worker of its own
+    able = F.col("d") * (share.denominator + share.numerator) <= F.col("sum") * (share.denominator - share.numerator)
+    return told.groupBy("child", "parent").agg(F.min(F.when(able, F.col("d") / F.col("sum"))).alias("apart")).where("apart IS NOT NULL")
 
 
 def _confirmed(likely: DataFrame, docs: DataFrame, words: int, similarity: float, found: DataFrame | None = None) -> DataFrame:

@@ -172,6 +172,31 @@ def test_repeats_leave_their_ranges_alone(spark, monkeypatch):
     assert {x.id for x in found.collect()} == set(range(1, 8))
 
 
+def test_comparison_has_one_python_node_in_a_stage(spark, monkeypatch):
+    """Few pairs were broadcast, so that the scan of the texts and the comparison ran two workers in each task."""
+    from sinogrid.llm import pairing
+
+    seen = []
+    monkeypatch.setattr(pairing, "kept", lambda df, name: seen.append(df) or tables.kept(df, name))
+    texts = [h.words(1, 40), h.words(1, 40) + " more", h.words(2, 40)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "node long, text string")
+    pairs = tables.kept(spark.createDataFrame([(1, 0), (2, 0)], "child long, parent long"), "pairs")
+    assert [(r.a, r.b) for r in pairing.alike_pairs(pairs, docs, 5, 0.8).collect()] == [(1, 0)]
+    plan = seen[0]._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+def test_bitmaps_of_a_pair_are_compared_once(spark):
+    """A filter on their distance went below its column, which each task then computed twice, in two workers."""
+    sets = [np.arange(n, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) for n in (100, 101, 300)]
+    nodes = spark.createDataFrame([(k, len(x), bytearray(simhash.parity_bits(x))) for k, x in enumerate(sets)], "node long, n int, odd binary")
+    pairs = spark.createDataFrame([(1, 0), (2, 0)], "child long, parent long")
+    got = simhash._plausible(pairs, nodes, Fraction("0.8"), 64, None)
+    assert [(r.child, r.parent) for r in got.collect()] == [(1, 0)]
+    plan = got._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
+
+
 def test_anchors_spread_over_their_bitmap(spark):
     """Anchors are the smallest hashes around: places by their leading bits met in a part of the bitmap."""
     found = np.unique(suffix.anchors(np.random.default_rng(5).bytes(1 << 21), 100, 32)[0])
